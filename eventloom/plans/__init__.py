@@ -2,7 +2,7 @@
 
 from eventloom.plans.registry import QUERIES
 
-MODULES = ["events", "series"]
+MODULES = ["events", "series", "scalars", "relational"]
 
 
 def load() -> dict:
