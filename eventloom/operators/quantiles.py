@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,11 @@ def exact_quantiles(
     rows below the bounds and ranks only the distinct values between them: about ``4 / accuracy`` of the
     group.  The neighbours just outside the bracket are kept too, since interpolation may need one of them.
     """
+    if not keys:
+        whole = exact_quantiles(df.withColumn("__one", F.lit(0)), ["__one"], value, probs, accuracy)
+        return whole.drop("__one")
     keys = list(keys)
+    one_row = keys == ["__one"]
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     names, ps = list(probs), list(probs.values())
     delta = 2.0 / accuracy
@@ -31,15 +36,7 @@ def exact_quantiles(
         F.count("*").alias("__n"),
         F.percentile_approx("__v", ends, accuracy).alias("__q"),
     )
-    if keys:
-        on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        joined = rows.alias("a").join(sketch.alias("b"), cond).select("a.*", "__n", "__q")
-    else:
-        one = sketch.select(F.struct("__n", "__q").alias("s")).scalar()
-        joined = rows.withColumn("__s", one).select("__v", "__s.*")
+    joined = _null_safe_join(rows, F.broadcast(sketch) if one_row else sketch, keys)
     lo = [F.col("__q")[i] for i in range(k)]
     hi = [F.col("__q")[k + i] for i in range(k)]
     v = F.col("__v")
@@ -81,12 +78,7 @@ def exact_quantiles(
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys where null equals null; without keys both sides hold one row or few rows."""
-    if not keys:
-        packed = right.select(F.struct(*right.columns).alias("s")).scalar()
-        return left.withColumn("__s", packed).select(*left.columns, "__s.*")
+    """Inner join on keys where null equals null."""
     renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in keys})
-    cond = F.lit(True)
-    for c in keys:
-        cond = cond & left[c].eqNullSafe(renamed[f"__r_{c}"])
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(renamed[f"__r_{c}"]) for c in keys])
     return left.join(renamed, cond).drop(*[f"__r_{c}" for c in keys])

@@ -238,8 +238,8 @@ def melt_pivot(spark, sf):
 
 @query("confusion_crosstab", "A28 M25", "SELECT CAST(quality AS VARCHAR) AS y_true, count(*) FILTER (WHERE toxic = 0) AS pred_0, count(*) FILTER (WHERE toxic = 1) AS pred_1 FROM labels GROUP BY 1")
 def confusion_crosstab(spark, sf):
-    t = table(spark, sf, "labels").crosstab("quality", "toxic")
-    return t.select(c("quality_toxic").alias("y_true"), c("0").alias("pred_0"), c("1").alias("pred_1"))
+    t = table(spark, sf, "labels").groupBy(c("quality").cast("string").alias("y_true")).pivot("toxic", [0, 1]).agg(F.count("doc_id"))
+    return t.select("y_true", F.coalesce(c("0"), F.lit(0)).alias("pred_0"), F.coalesce(c("1"), F.lit(0)).alias("pred_1"))
 
 
 @query(

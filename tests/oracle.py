@@ -61,12 +61,16 @@ def compare(spark, con, q, sf_dir: str) -> str:
 
 def main() -> None:
     sf_dir, only = sys.argv[1], sys.argv[2:]
+    module = [o[1:] for o in only if o.startswith("@")]
+    only = [o for o in only if not o.startswith("@")]
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "false", "spark.sql.codegen.cache.maxEntries": "5000"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     for name, q in load().items():
         if only and not any(name == o or (o.endswith("*") and name.startswith(o[:-1])) for o in only):
             continue
+        if module and q.build.__module__.rsplit(".", 1)[-1] not in module:
+            continue
         t = time.time()
         try:
             out = compare(spark, con, q, sf_dir)
