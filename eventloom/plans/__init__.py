@@ -2,7 +2,7 @@
 
 from eventloom.plans.registry import QUERIES
 
-MODULES = ["events", "series", "scalars", "relational", "statistics", "audits"]
+MODULES = ["events", "series", "scalars", "relational", "statistics", "audits", "spatial", "graph"]
 
 
 def load() -> dict:
