@@ -131,18 +131,8 @@ def representative_point(line: Column) -> Column:
 
 
 def inside_ring(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule."""
-    crossings = F.aggregate(
-        edges_of(close_ring(ring)),
-        F.lit(0),
-        lambda acc, e: acc
-        + F.when(
-            ((e["a"]["y"] > y) != (e["b"]["y"] > y))
-            & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]),
-            1,
-        ).otherwise(0),
-    )
-    return F.pmod(crossings, F.lit(2)) == 1
+    """Even-odd rule on a ring."""
+    return inside_edges(edges_of(close_ring(ring)), x, y)
 
 
 def point_segment_distance(px, py, x1, y1, x2, y2) -> Column:
@@ -167,23 +157,41 @@ def segments_cross(x1, y1, x2, y2, x3, y3, x4, y4) -> Column:
     return F.coalesce(t.between(0, 1) & u.between(0, 1), F.lit(False))
 
 
-def length_inside(x1, y1, x2, y2, ring: Column) -> Column:
-    """Length of a segment inside a ring: cut at every ring edge, keep the pieces whose middle is inside."""
-    edges = edges_of(close_ring(ring))
+def inside_edges(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule on ring edges."""
+    crossings = F.aggregate(
+        edges,
+        F.lit(0),
+        lambda acc, e: acc
+        + F.when(
+            ((e["a"]["y"] > y) != (e["b"]["y"] > y))
+            & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]),
+            1,
+        ).otherwise(0),
+    )
+    return F.pmod(crossings, F.lit(2)) == 1
+
+
+def cuts_inside(x1, y1, x2, y2, edges: Column) -> Column:
+    """Sorted parameters at which a segment is cut by ring edges, with 0 and 1 at the ends."""
 
     def cut(e):
         t, u = cut_parameters(x1, y1, x2, y2, e["a"], e["b"])
-        return F.when((t > 0) & (t < 1) & u.between(0, 1), t)
+        return F.when(u.between(0, 1), t)
 
-    ts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(edges, cut), lambda t: t.isNotNull())))
-    n = F.size(ts)
-    spans = F.zip_with(F.slice(ts, 1, n - 1), F.slice(ts, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    ts = F.filter(F.transform(edges, cut), lambda t: (t > 0) & (t < 1))
+    return F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), ts))
 
-    def share(s):
-        m = (s["a"] + s["b"]) / 2
-        return F.when(inside_ring(ring, x1 + (x2 - x1) * m, y1 + (y2 - y1) * m), s["b"] - s["a"]).otherwise(F.lit(0.0))
 
-    return _sum(spans, share) * hypot(x2 - x1, y2 - y1)
+def length_between_cuts(x1, y1, x2, y2, cuts: Column, edges: Column) -> Column:
+    """Length of the pieces between cuts whose middle lies inside the ring."""
+    n = F.size(cuts)
+    share = F.zip_with(
+        F.slice(cuts, 1, n - 1),
+        F.slice(cuts, 2, n - 1),
+        lambda a, b: F.when(inside_edges(edges, x1 + (x2 - x1) * (a + b) / 2, y1 + (y2 - y1) * (a + b) / 2), b - a).otherwise(F.lit(0.0)),
+    )
+    return _sum(share, lambda s: s) * hypot(x2 - x1, y2 - y1)
 
 
 _NUM = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"

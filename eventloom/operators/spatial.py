@@ -115,14 +115,14 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, pid: str, gid: st
     at = lambda v: F.floor(F.col(v) / F.lit(cell)).cast("bigint")
     p = points.select(F.col(pid).alias("lid"), "x1", "y1", at("x1").alias("cx"), at("y1").alias("cy"))
     g = _ring_cells(polygons, gid, cell)
-    j = salted_join(p, g.select("rid", "ring", "cx", "cy"), ["cx", "cy"])
-    return j.where(G.inside_ring(F.col("ring"), F.col("x1"), F.col("y1"))).select(F.col("lid").alias(pid), F.col("rid").alias(gid))
+    j = salted_join(p, g.select("rid", "redges", "cx", "cy"), ["cx", "cy"])
+    return j.where(G.inside_edges(F.col("redges"), F.col("x1"), F.col("y1"))).select(F.col("lid").alias(pid), F.col("rid").alias(gid))
 
 
 def _ring_cells(polygons: DataFrame, gid: str, cell: float) -> DataFrame:
     xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
     box = polygons.select(
-        F.col(gid).alias("rid"), "ring",
+        F.col(gid).alias("rid"), "ring", G.edges_of(G.close_ring(F.col("ring"))).alias("redges"),
         F.array_min(xs).alias("bx1"), F.array_min(ys).alias("by1"), F.array_max(xs).alias("bx2"), F.array_max(ys).alias("by2"),
     )
     return _cells(box, ("bx1", "by1", "bx2", "by2"), cell, 0.0, "r")
@@ -153,10 +153,10 @@ def overlay_lengths(lines: DataFrame, zones: DataFrame, lid: str, gid: str, cell
     j = j.where((F.col("cx") == F.greatest("lx0", "rx0")) & (F.col("cy") == F.greatest("ly0", "ry0")))
     # boxes that miss each other are dropped before the costlier exact cut
     j = j.where((F.least("lx1", "lx2") <= F.col("bx2")) & (F.greatest("lx1", "lx2") >= F.col("bx1")) & (F.least("ly1", "ly2") <= F.col("by2")) & (F.greatest("ly1", "ly2") >= F.col("by1")))
-    inside = G.length_inside(*[F.col(c) for c in L4], F.col("ring"))
-    return (
-        j.withColumn("overlap", inside).groupBy(F.col("lid").alias(lid), F.col("rid").alias(gid)).agg(F.sum("overlap").alias("overlap")).where(F.col("overlap") > 0)
-    )
+    ends, edges = [F.col(c) for c in L4], F.col("redges")
+    # the cuts are a column of their own so that they are computed once per pair
+    j = j.withColumn("cuts", G.cuts_inside(*ends, edges)).withColumn("overlap", G.length_between_cuts(*ends, F.col("cuts"), edges))
+    return j.groupBy(F.col("lid").alias(lid), F.col("rid").alias(gid)).agg(F.sum("overlap").alias("overlap")).where(F.col("overlap") > 0)
 
 
 def dominant_zone(lines: DataFrame, overlaps: DataFrame, lid: str, length: str, zone: str, subtype: str, outside: str, no_subtype: str) -> DataFrame:

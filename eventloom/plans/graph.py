@@ -142,9 +142,9 @@ def snapped_network(spark, sf):
     lev = L.level(F.when(c("label") < 2, F.lit(None)).when(c("label") < 5, 1).otherwise(2))
     a, b = G.endpoints(c("line"))
     ends = n.select("edge_id", lev.alias("level"), F.explode(F.array(F.struct(F.lit(0).alias("k"), a.alias("p")), F.struct(F.lit(1).alias("k"), b.alias("p")))).alias("e"))
-    ends = ends.select((c("edge_id") * 2 + c("e.k")).alias("idx"), "level", c("e.p.x").alias("x"), c("e.p.y").alias("y"))
-    nodes = N.snap_endpoints(ends, 12.0)
-    at = lambda k, name: nodes.where(F.pmod("idx", F.lit(2)) == k).select(F.floor(c("idx") / 2).cast("bigint").alias("edge_id"), c("node_id").alias(name))
-    out = n.join(at(0, "u"), "edge_id").join(at(1, "v"), "edge_id")
+    ends = ends.select("edge_id", c("e.k").alias("k"), (c("edge_id") * 2 + c("e.k")).alias("idx"), "level", c("e.p.x").alias("x"), c("e.p.y").alias("y"))
+    nodes = ends.select("edge_id", "k", "idx").join(N.snap_endpoints(ends, 12.0), "idx")
+    both = nodes.groupBy("edge_id").agg(F.min_by("node_id", "k").alias("u"), F.max_by("node_id", "k").alias("v"))
+    out = n.join(both, "edge_id")
     time = G.line_length(c("line")) * 0.3048 / speed_ms(F.lit(None).cast("double"), c("label"))
     return out.select("edge_id", "u", "v", L.road_class(c("label")).alias("road_class"), r(time).alias("travel_time"))
