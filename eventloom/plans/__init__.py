@@ -2,7 +2,7 @@
 
 from eventloom.plans.registry import QUERIES
 
-MODULES = ["events", "series", "scalars", "relational", "statistics", "audits", "spatial", "graph"]
+MODULES = ["events", "series", "scalars", "relational", "statistics", "audits", "spatial", "graph", "controls", "modelling"]
 
 
 def load() -> dict:
