@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.graph import components
@@ -22,13 +22,18 @@ SAMPLE_ROWS = 12_000
 SEED = 42
 
 
-@F.pandas_udf("double")
-def l2(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Euclidean distance of two array columns, one Arrow batch at a time."""
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    if a.empty:
+        return pd.Series([], dtype="float64")
     d = np.stack(a.to_numpy()) - np.stack(b.to_numpy())
     return pd.Series(np.sqrt((d * d).sum(axis=1)))
 
 
+def l2(a: str, b: str) -> Column:
+    """Euclidean distance of two array columns, one Arrow batch at a time."""
+    return F.pandas_udf(_distance, "double")(F.col(a), F.col(b))
+
+
 def pairs_within(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
     """Pairs ``(lid, rid, dist)`` of ``(id, vec)`` rows within ``eps``, the row itself included.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,15 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared checkpoint location for tables that outlive one job."""
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
