@@ -50,7 +50,7 @@ def lonlat_to_feet(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def feet_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
-    """Planar feet to longitude and latitude (series in the conformal latitude, exact to 1e-11 degrees)."""
+    """Planar feet to longitude and latitude (series in the conformal latitude, exact to 1e-10 degrees)."""
     e = x * F.lit(US_FOOT_M) - F.lit(FALSE_EASTING_M)
     n = F.lit(_RHO0) - y * F.lit(US_FOOT_M)
     t = F.pow(F.sqrt(e * e + n * n) / F.lit(A_M * _F), F.lit(1 / _N))
@@ -59,7 +59,8 @@ def feet_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
     c2 = e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360
     c4 = 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520
     c6 = 7 * e2**3 / 120 + 81 * e2**4 / 1120
-    phi = chi + F.lit(c2) * F.sin(2 * chi) + F.lit(c4) * F.sin(4 * chi) + F.lit(c6) * F.sin(6 * chi)
+    c8 = 4279 * e2**4 / 161280
+    phi = chi + F.lit(c2) * F.sin(2 * chi) + F.lit(c4) * F.sin(4 * chi) + F.lit(c6) * F.sin(6 * chi) + F.lit(c8) * F.sin(8 * chi)
     return F.degrees(F.atan2(e, n) / F.lit(_N)) + F.lit(LON_0), F.degrees(phi)
 
 
