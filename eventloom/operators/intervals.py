@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.temporal import plus_seconds
 from eventloom.operators.joins import overlap_join, point_interval_join, salted_join
 from eventloom.operators.ordered import CHUNK, chunked_prefix, global_row_number, micros
+from eventloom.session import pin
 
 FOREVER = (1 << 63) - 1
 DAY = 86_400
@@ -17,7 +18,8 @@ DAY = 86_400
 
 def _islands(df: DataFrame, keys: list[str], is_new: Column, chunk: str = CHUNK) -> DataFrame:
     """Number the runs that start where ``is_new`` holds, per key in order of ``__s``."""
-    flagged = df.withColumn("__new", is_new.cast("bigint"))
+    # pinned because the second scan reads its input twice
+    flagged = pin(df.withColumn("__new", is_new.cast("bigint")))
     return chunked_prefix(flagged, keys, ["__s"], {"__island": ("cum_sum", F.col("__new"))}, chunk)
 
 

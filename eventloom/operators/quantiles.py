@@ -49,8 +49,9 @@ def exact_quantiles(
     hits = F.filter(
         F.array(*[F.when(v.between(lo[i], hi[i]), F.lit(i)) for i in range(k)]), lambda x: x.isNotNull()
     )
+    near = reduce(lambda a, b: a | b, [v.between(lo[i], hi[i]) for i in range(k)])
     inside = (
-        joined.select(*keys, "__v", F.explode(hits).alias("__i"))
+        joined.where(near).select(*keys, "__v", F.explode(hits).alias("__i"))
         .groupBy(*keys, "__i", "__v")
         .agg(F.count("*").alias("__c"))
     )

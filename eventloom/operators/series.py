@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.temporal import plus_seconds
 from eventloom.operators.joins import point_interval_join
 from eventloom.operators.ordered import CHUNK, chunked_prefix, global_row_number, micros, time_chunk
+from eventloom.session import pin
 
 YEAR = 365 * 86_400
 HOUR_US = 3_600_000_000
@@ -72,9 +73,10 @@ def gap_fill(df: DataFrame, station: str, ts: str, value: str, chunk_seconds: in
 
 
 def _wet_groups(wet: DataFrame, station: str, ts: str, is_new: Column, chunk_seconds: int) -> DataFrame:
-    rows = wet.withColumn(CHUNK, time_chunk(F.col(ts), chunk_seconds))
+    # each scan reads its input twice, so the inputs are pinned instead of recomputed
+    rows = pin(wet.withColumn(CHUNK, time_chunk(F.col(ts), chunk_seconds)))
     prev = chunked_prefix(rows, [station], [ts], {"__prev": ("prev_last", F.col(ts))})
-    flagged = prev.withColumn("__new", F.coalesce(is_new, F.lit(True)).cast("bigint"))
+    flagged = pin(prev.withColumn("__new", F.coalesce(is_new, F.lit(True)).cast("bigint")))
     return chunked_prefix(flagged, [station], [ts], {"grp": ("cum_sum", F.col("__new"))})
 
 
@@ -88,7 +90,7 @@ def rain_events(
     """
     wet = records.where(F.col(value) > 0).join(intervals, station, "left")
     step = F.coalesce("interval_minutes", F.lit(DEFAULT_INTERVAL_MINUTES))
-    wet = wet.withColumn("__step", step)
+    wet = wet.select(station, ts, value, step.alias("__step"))
     pause = micros(F.col(ts)) - micros(F.col("__prev")) - F.col("__step") * 60_000_000
     grouped = _wet_groups(wet, station, ts, pause >= int(dry_gap_hours * HOUR_US), chunk_seconds)
     ev = grouped.groupBy(station, "grp").agg(
@@ -115,7 +117,7 @@ def rain_event_windows(
 ) -> DataFrame:
     """The variant that splits on a pause strictly above ``max(gap, 1.5 steps)`` and sums every record in the window."""
     rows = records.where(F.col(value) >= 0)
-    wet = rows.where(F.col(value) > 0).join(steps.select(station, (F.col("interval_minutes") * 60).alias("__sec")), station)
+    wet = rows.where(F.col(value) > 0).select(station, ts, value).join(steps.select(station, (F.col("interval_minutes") * 60).alias("__sec")), station)
     limit = F.greatest(F.lit(gap_hours * 3600.0), F.col("__sec") * F.lit(1.5)) * 1_000_000
     pause = micros(F.col(ts)) - micros(F.col("__prev"))
     ev = _wet_groups(wet, station, ts, pause > limit, chunk_seconds).groupBy(station, F.col("grp").alias("event_id")).agg(
