@@ -84,7 +84,7 @@ def matched_controls(positives: DataFrame, universe: DataFrame, flags: DataFrame
             again = again.join(now.select("start", "end", "event_id", "k3"), ["start", "end"])
             bans = pin(bans.unionByName(again.select("k3", "segment", F.lit(None).cast(storm_type).alias("storm"), "event_id")))
         # most exclusions any positive of the step can meet
-        most = bans.groupBy("k3", "storm", "event_id").agg(F.count("*").alias("n")).groupBy("k3").agg(F.sum(F.lit(0)).alias("z"), F.max("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        most = bans.groupBy("k3", "storm", "event_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         keep = step + 2 * most + 2
         live = universe.join(usage, "segment")
         pool = None

@@ -18,7 +18,6 @@ def unique_lookup(candidates: DataFrame, keys: Sequence[str], member: str) -> Da
 def name_candidates(segments: DataFrame, segment: str, names: Sequence[Column], boroughs: Sequence[Column]) -> DataFrame:
     """Distinct ``(segment, name, borough)`` over several name columns and both street sides."""
     name = F.explode(F.array_compact(F.array_distinct(F.array(*names))))
-    boro = F.explode(F.array_compact(F.array_distinct(F.array(*boroughs))))
     return segments.select(segment, F.array(*boroughs).alias("__b"), name.alias("name")).select(
         segment, "name", F.explode(F.array_compact(F.array_distinct("__b"))).alias("borough")
     ).distinct()
