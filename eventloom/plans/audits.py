@@ -137,12 +137,12 @@ def bias_by_group(spark, sf):
 @query(
     "residual_bias_by_group",
     "M22 M39",
-    f"""WITH {PRED}, {BIAS_LONG} SELECT set_name, bias_dimension, group_value, count(*) AS n, round(avg(y_num - p_num), 6) AS mean_residual, round(avg(abs(y_num - p_num)), 6) AS mae, round(avg(CAST(y_num - p_num > 0 AS INTEGER)), 6) AS underprediction_rate, round(median(y_num - p_num), 6) AS median_residual FROM lg GROUP BY ALL""",
+    f"""WITH {PRED}, {BIAS_LONG} SELECT set_name, bias_dimension, group_value, count(*) AS n, round(avg(y_num - p_num), 4) AS mean_residual, round(avg(abs(y_num - p_num)), 4) AS mae, round(avg(CAST(y_num - p_num > 0 AS INTEGER)), 6) AS underprediction_rate, round(median(y_num - p_num), 6) AS median_residual FROM lg GROUP BY ALL""",
 )
 def residual_bias_by_group(spark, sf):
     b, dims = _bands(spark, sf)
     t = X.regression_bias(b, "set_name", dims, "y_num", "p_num")
-    return t.withColumns({x: r(c(x)) for x in ("mean_residual", "mae", "underprediction_rate", "median_residual")})
+    return t.withColumns({"mean_residual": r(c("mean_residual"), 4), "mae": r(c("mae"), 4), "underprediction_rate": r(c("underprediction_rate")), "median_residual": r(c("median_residual"))})
 
 
 @query(
@@ -160,11 +160,11 @@ def fairness_terciles(spark, sf):
 @query(
     "residual_summary_by_borough",
     "M39 M38",
-    f"WITH {PRED} SELECT borough, count(*) AS n, round(avg(abs(y_num - p_num)), 6) AS mae, round(avg(y_num), 6) AS mean_observed, round(avg(p_num), 6) AS mean_predicted FROM pred WHERE set_name = 'test' GROUP BY 1",
+    f"WITH {PRED} SELECT borough, count(*) AS n, round(avg(abs(y_num - p_num)), 4) AS mae, round(avg(y_num), 4) AS mean_observed, round(avg(p_num), 4) AS mean_predicted FROM pred WHERE set_name = 'test' GROUP BY 1",
 )
 def residual_summary_by_borough(spark, sf):
     p = predictions(spark, sf).where("set_name = 'test'")
-    return p.groupBy("borough").agg(F.count("*").alias("n"), r(F.avg(F.abs(c("y_num") - c("p_num")))).alias("mae"), r(F.avg("y_num")).alias("mean_observed"), r(F.avg("p_num")).alias("mean_predicted"))
+    return p.groupBy("borough").agg(F.count("*").alias("n"), r(F.avg(F.abs(c("y_num") - c("p_num"))), 4).alias("mae"), r(F.avg("y_num"), 4).alias("mean_observed"), r(F.avg("p_num"), 4).alias("mean_predicted"))
 
 
 @query(
