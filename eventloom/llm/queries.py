@@ -38,3 +38,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.mixing import mix
 
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.packing import pack
+
+    pieces = pack(documents(spark, sf_dir))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
