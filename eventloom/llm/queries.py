@@ -46,3 +46,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = pack(documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.common import held_out
+    from eventloom.llm.toxicity import FOLDS, predicted, score, train
+
+    docs = documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "score", predicted(F.col("score")).alias("predicted"))
