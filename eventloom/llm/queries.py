@@ -56,3 +56,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "score", predicted(F.col("score")).alias("predicted"))
+
+
+@query("op7_minhash_near_dedup", r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+  ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w),
+s AS MATERIALIZED (SELECT doc_id, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.g) + len(y.g) - c)),
+u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(n, c) AS (SELECT doc_id, doc_id FROM g UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.n)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM g JOIN r ON r.n = doc_id GROUP BY doc_id, g""")
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.minhash import near_classes
+
+    return near_classes(documents(spark, sf_dir))

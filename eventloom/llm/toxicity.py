@@ -17,7 +17,6 @@ prior (0 without labels).  Rows that repeat an id are scored one by one.  An emp
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,10 +37,9 @@ def word_set(text: bytes) -> set[bytes]:
     return set(text.translate(FOLD).split())
 
 
-@lru_cache(maxsize=1 << 18)
 def buckets_of(word: bytes) -> tuple[int, ...]:
-    """Feature numbers of a word: itself and its first three, four and five bytes."""
-    return tuple(zlib.crc32(x) % BUCKETS for x in (word, *(bytes([n]) + word[:n] for n in (3, 4, 5) if len(word) >= n)))
+    """Feature numbers of a word: itself and its beginnings of three to eight bytes."""
+    return tuple(zlib.crc32(x) % BUCKETS for x in (word, *(bytes([n]) + word[:n] for n in range(3, 9) if len(word) > n)))
 
 
 def _features(batches):
@@ -52,7 +50,7 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "f"])
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, width: int, steps: int = 400, rate: float = 0.1, l2: float = 3e-4) -> np.ndarray:
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, width: int, steps: int = 500, rate: float = 0.1, l2: float = 5e-5) -> np.ndarray:
     """Weights of ``width`` binary features and, last, the intercept.  ``rows``: feature numbers of each sample row; all rows
     are the unlabelled mixture, those marked ``positive`` also the positives."""
     lens = np.array([len(r) for r in rows])
@@ -121,38 +119,45 @@ def _fit_local(sample, keep: np.ndarray, prior: float) -> tuple[np.ndarray, np.n
     return keep, w[:-1], float(w[-1])
 
 
-def _scorer(keep: np.ndarray, weights: np.ndarray, intercept: float):
-    def run(batches):
-        import math
+class Scorer:
+    """Scores of texts given as bytes; remembers which features of a word have a weight."""
 
-        import pyarrow as pa
+    def __init__(self, keep: np.ndarray, weights: np.ndarray, intercept: float):
+        self.of, self.intercept = dict(zip(keep.tolist(), weights.tolist())), intercept
+        self.known: dict[bytes, tuple] = {}
 
-        of = dict(zip(keep.tolist(), weights.tolist()))
-        known: dict[bytes, tuple] = {}  # features of a word that have a weight
-        for b in slices(batches):
-            scores = []
-            for t in raw(b.column("text")):
-                found: set[int] = set()
-                for w in word_set(t):
-                    f = known.get(w)
-                    if f is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        f = known[w] = tuple(x for x in buckets_of.__wrapped__(w) if x in of)
-                    if f:
-                        found.update(f)
-                z = intercept + math.fsum(of[x] for x in found)
-                scores.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(scores, pa.float64())], names=[*(c for c in b.schema.names if c != "text"), "score"])
+    def __call__(self, texts: list[bytes]) -> list[float]:
+        import math
 
-    return run
+        of, known, out = self.of, self.known, []
+        for t in texts:
+            found: set[int] = set()
+            for w in word_set(t):
+                f = known.get(w)
+                if f is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    f = known[w] = tuple(x for x in buckets_of(w) if x in of)
+                if f:
+                    found.update(f)
+            z = self.intercept + math.fsum(of[x] for x in found)
+            out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
+        return out
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``*keys, score`` for every row of ``docs``: the estimated probability that the text is toxic."""
     rows = docs.select(*keys, F.col("text").cast("string").alias("text"))
     types = dict(docs.dtypes)
-    return arrow_map(rows, _scorer(*model), ", ".join(f"`{k}` {types[k]}" for k in keys) + ", score double")
+
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = Scorer(*model)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(scorer(raw(b.column("text"))), pa.float64())], names=[*keys, "score"])
+
+    return arrow_map(rows, run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", score double")
 
 
 def predicted(score: Column) -> Column:
@@ -162,17 +167,12 @@ def predicted(score: Column) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     """``docs`` without the rows the classifier calls toxic; all columns as they are, texts never shuffled."""
     model = train(docs, labels, folds)
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
 
     def keep(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        run = _scorer(*model)
-        for b in batches:
-            for piece in slices([b]):
-                text = pa.RecordBatch.from_arrays([piece.column("text").cast(pa.large_string())], names=["text"])
-                scores = next(run([text])).column("score")
-                yield piece.filter(pc.less(scores, 0.5))
+        scorer = Scorer(*model)
+        for b in slices(batches):
+            yield b.filter(pa.array([s < 0.5 for s in scorer(raw(b.column("text")))], pa.bool_()))
 
-    return arrow_map(docs, keep, fields)
+    return arrow_map(docs, keep, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
