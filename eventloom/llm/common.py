@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -65,6 +67,22 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
+#: ASCII but for white space other than the blank and the line feed, and the Latin letters up to U+00FF.
+LATIN = bytes(c for c in range(1, 256) if c == 10 or (c < 128 and not 9 <= c <= 13) or (c >= 0xC0 and c not in (0xD7, 0xF7)))
+
+
+@contextmanager
+def paused_gc():
+    """Many small containers live at once here and none is part of a cycle."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 @lru_cache(maxsize=4)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -74,12 +92,12 @@ class WordTokenizer:
     """Byte-level BPE of the tokenizers library with a memo of words and pre-tokens.
 
     Byte-level BPE never merges across the pre-tokens its pattern cuts, so the ids of a text are the ids of its pre-tokens
-    one after another, and a single blank between two words always starts a pre-token.  Texts of ASCII and Latin letters
+    one after another, and a single blank between two words always starts a pre-token.  Texts of ASCII and Latin-1 letters
     without doubled blanks are cut at blanks and line ends; other texts made of characters up to U+024F, whose classes no
     Unicode version changed, at pre-tokens.  Only pieces not met before go to the library; any other text goes there whole.
     """
 
-    LIMIT = 400_000  # entries of a memo; it starts anew beyond that, which changes nothing but speed
+    LIMIT = 400_000  # entries of a generation of a memo; words not met again go with the old one, which changes nothing but speed
 
     def __init__(self, path: str):
         import re
@@ -92,9 +110,9 @@ class WordTokenizer:
         space = r"\t-\r \x85\xa0"
         self.cut = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         self.low = regex.compile("[\x00-\u024f]*").fullmatch
-        self.latin = re.compile("[\x01-\x08\n\x0e-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*").fullmatch
         self.worded = re.compile(" [^\\W\\d_]+").fullmatch
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -102,21 +120,33 @@ class WordTokenizer:
 
     def encode_all(self, texts: list) -> list[bytes]:
         """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
-        cuts, new = [], set()
-        if len(self.words) > self.LIMIT:
-            self.words = {}
-        for t in texts:
-            if t and self.simple(t):
-                cuts.append(("\0" + t.replace("\n", " \n \0")).split(" "))  # \0 marks a word without a blank before it
-                new.update(cuts[-1])
-            else:
-                cuts.append(None)
-        self.meet(new.difference(self.words))
-        words = self.words
-        return [self.special(t) if c is None else b"".join([words[w] for w in c]) for t, c in zip(texts, cuts)]
+        with paused_gc():
+            cuts, found, new = [], [], set()
+            if len(self.words) > self.LIMIT:
+                self.words, self.old = {}, self.words
+            get = self.words.get
+            for t in texts:
+                if t and self.simple(t):
+                    cut = ("\0" + t.replace("\n", " \n \0")).split(" ")  # \0 marks a word without a blank before it
+                    ids = list(map(get, cut))
+                    if None in ids:
+                        new.update([w for w, i in zip(cut, ids) if i is None])
+                    cuts.append(cut)
+                    found.append(ids)
+                else:
+                    cuts.append(None)
+                    found.append(None)
+            self.meet(new)
+            get = self.words.__getitem__
+            return [self.special(t) if i is None else b"".join([get(w) if x is None else x for w, x in zip(c, i)] if None in i else i) for t, c, i in zip(texts, cuts, found)]
 
     def simple(self, text: str) -> bool:
-        return not any(x in text for x in ("  ", "\n\n", " \n", "\n ")) and self.latin(text) is not None
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        try:
+            return not text.encode("latin-1").translate(None, LATIN)
+        except UnicodeEncodeError:
+            return False
 
     def special(self, text: str | None) -> bytes:
         if not text:
@@ -128,7 +158,11 @@ class WordTokenizer:
         return b"".join([self.parts[p] for p in cut])
 
     def meet(self, words: set[str]) -> None:
-        cuts = [(w, self.cut(w[1:] if w[:1] == "\0" else w if w == "\n" else " " + w)) for w in words]
+        known = self.old.get
+        for w in words:
+            if (ids := known(w)) is not None:
+                self.words[w] = ids
+        cuts = [(w, self.cut(w[1:] if w[:1] == "\0" else w if w == "\n" else " " + w)) for w in words if w not in self.words]
         self.learn({p for _, cut in cuts for p in cut})
         parts = self.parts
         for w, cut in cuts:

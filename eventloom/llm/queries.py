@@ -72,3 +72,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.minhash import near_classes
 
     return near_classes(documents(spark, sf_dir))
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.sharding import shard
+
+    plan = shard(documents(spark, sf_dir))
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
