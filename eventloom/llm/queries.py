@@ -80,3 +80,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     plan = shard(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_vector_dedup", r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+g AS MATERIALIZED (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+  AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n)
+SELECT d.vec_id, (SELECT count(*) FROM e WHERE e.a = d.vec_id) AS n_links, min(r.c) AS component_id, d.vec_id = min(r.c) AS kept
+FROM embeddings d JOIN r ON r.n = d.vec_id GROUP BY d.vec_id""")
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.vector_dedup import vector_classes
+
+    return vector_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
