@@ -94,3 +94,12 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.vector_dedup import vector_classes
 
     return vector_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op9_context_tree")
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.common import held_out
+    from eventloom.llm.ctw import FOLDS, score_texts
+
+    out = score_texts(documents(spark, sf_dir))
+    return out.select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
