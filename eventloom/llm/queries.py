@@ -103,3 +103,10 @@ def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = score_texts(documents(spark, sf_dir))
     return out.select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.license_scan import scan
+
+    return scan(documents(spark, sf_dir)).drop("places")
