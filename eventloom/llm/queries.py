@@ -110,3 +110,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.license_scan import scan
 
     return scan(documents(spark, sf_dir)).drop("places")
+
+
+@query("op2_token_file")
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.token_file import read_tokens, write_tokens
+    from eventloom.session import scratch_path
+
+    path = scratch_path(spark, "tokens")
+    write_tokens(documents(spark, sf_dir), path, scratch_path(spark, "plain"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
