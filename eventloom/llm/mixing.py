@@ -86,7 +86,8 @@ def multipliers(hist: DataFrame, targets: DataFrame, limit: float = LIMIT, steps
         near = F.abs("gap") <= F.greatest(F.col("target") * tolerance, F.lit(1e-9))
         t = F.when(~F.col("open") | near, F.col("t")).when(inside, F.col("newton")).otherwise(half)
         state = pin(j.withColumns({"t": t, "open": F.col("open") & ~near}).select(*state.columns))
-    return state.select("source", "source_size", "target", "mean", "t")
+    # sums of doubles depend on their order in the last digits: rounded, a rerun gives the same rates
+    return state.select("source", "source_size", "target", "mean", F.round("t", 9).alias("t"))
 
 
 def _round(batches):
@@ -131,6 +132,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float =
 
     order = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))
     tagged = docs.withColumn("__no", F.row_number().over(order))
-    plan = mix(tagged, weights, limit, keys=("doc_id", "source", "__no")).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("__no").alias("__no2"), "copies")
+    plan = mix(tagged, weights, limit, keys=("doc_id", "source", "__no")).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("__no").alias("__no2"), F.col("copies").alias("__copies"))
     same = tagged["doc_id"].eqNullSafe(F.col("__id")) & (tagged["__no"] == F.col("__no2"))
-    return tagged.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+    return tagged.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
