@@ -195,21 +195,33 @@ def length_between_cuts(x1, y1, x2, y2, cuts: Column, edges: Column) -> Column:
     return _sum(share, lambda s: s) * hypot(x2 - x1, y2 - y1)
 
 
-_NUM = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
-_JSON_POINTS = "array<array<double>>"
+def parse_parts(text: Column) -> Column:
+    """Parts of a shape as lists of points: from GeoJSON text, a bare coordinates object (a line), a wrapped feature, or WKT.
+
+    A line or point is one part, a polygon one per ring, a multi-part shape all of theirs; anything else is null.
+    """
+    inner = F.when(F.get_json_object(text, "$.geometry.coordinates").isNotNull(), F.get_json_object(text, "$.geometry")).otherwise(text)
+    kind, coords = F.coalesce(F.get_json_object(inner, "$.type"), F.lit("LineString")), F.get_json_object(inner, "$.coordinates")
+    deep = lambda n: F.from_json(coords, "array<" * n + "double" + ">" * n)
+    pairs = (
+        F.when(kind == "Point", F.array(F.array(deep(1))))
+        .when(kind.isin("LineString", "MultiPoint"), F.array(deep(2)))
+        .when(kind.isin("MultiLineString", "Polygon"), deep(3))
+        .when(kind == "MultiPolygon", F.flatten(deep(4)))
+    )
+    from_json = F.transform(pairs, lambda part: F.transform(part, lambda p: point(p[0], p[1])))
+    shaped = text.rlike(r"(?i)^\s*(MULTI)?(POINT|LINESTRING|POLYGON)\s*Z?\s*\([-+0-9.eE,()\s]+\)\s*$")
+    groups = F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    number = lambda p, i: F.get(F.split(p, r"\s+"), i).try_cast("double")
+    from_wkt = F.transform(groups, lambda g: F.transform(F.split(F.trim(g), r"\s*,\s*"), lambda p: point(number(p, 0), number(p, 1))))
+    parts = F.when(text.rlike(r"^\s*\{"), from_json).when(shaped, from_wkt)  # only the branch that fits a row is evaluated
+    whole = F.forall(parts, lambda part: part.isNotNull() & F.forall(part, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    return F.when((F.size(parts) > 0) & whole, parts)
 
 
 def parse_line(text: Column) -> Column:
-    """Line from GeoJSON text, a bare coordinates object, a wrapped feature, or WKT; anything else is null."""
-    kind = F.coalesce(F.get_json_object(text, "$.type"), F.lit("LineString"))
-    flat = F.when(kind == "LineString", F.get_json_object(text, "$.coordinates"))
-    feature = F.when(F.get_json_object(text, "$.geometry.type") == "LineString", F.get_json_object(text, "$.geometry.coordinates"))
-    pairs = F.from_json(F.coalesce(feature, flat), _JSON_POINTS)
-    from_json = F.transform(pairs, lambda p: point(p[0], p[1]))
-    body = F.regexp_extract(text, rf"(?i)^\s*LINESTRING\s*\(((?:\s*{_NUM}\s+{_NUM}\s*,?)+)\)\s*$", 1)
-    from_wkt = F.transform(F.split(F.trim(body), r"\s*,\s*"), lambda p: point(F.split(p, r"\s+")[0].try_cast("double"), F.split(p, r"\s+")[1].try_cast("double")))
-    # only the branch that fits a row is evaluated
-    return F.when(text.rlike(r"^\s*\{"), from_json).when(body != "", from_wkt)
+    """The first part of a shape."""
+    return F.get(parse_parts(text), 0)
 
 
 def looks_like_geometry(text: Column) -> Column:

@@ -49,5 +49,12 @@ def tide_level_m(value: Column, product: Column, clearance_m: Column) -> Column:
     return F.when(product == "air_gap", clearance_m - value).otherwise(value)
 
 
+def tide_labels(product: Column, clearance_m: Column) -> tuple[Column, Column]:
+    """Kind of measurement and of series of a product; an air gap becomes a tide only with a known clearance."""
+    measured = F.when(product == "hourly_height", "water_level_m").when(product == "high_low", "high_low_m").when(product == "air_gap", "air_gap_m").otherwise("level_m")
+    gap = F.when(clearance_m.isNotNull(), "air_gap_to_tide").otherwise("air_gap_raw")
+    return measured, F.when(product == "air_gap", gap).when(product == "high_low", "observed_high_low").otherwise("observed_hourly")
+
+
 def sigmoid(margin: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))

@@ -50,7 +50,7 @@ def resolution_class(df: DataFrame, station: str, ts: str, chunk_seconds: int =
     """Subhourly, hourly, daily or unknown by the smallest positive step."""
     low = F.min(F.when(F.col("delta_us") > 0, F.col("delta_us")))
     return step_deltas(df, station, ts, chunk_seconds).groupBy(station).agg(
-        F.when(low.isNull(), "unknown").when(low < HOUR_US, "subhourly").when(low <= HOUR_US, "hourly").otherwise("daily").alias("resolution")
+        F.when(low.isNull(), "unknown").when(low < HOUR_US, "subhourly").when(low < 24 * HOUR_US, "hourly").otherwise("daily").alias("resolution")
     )
 
 

@@ -7,7 +7,9 @@ are salted by ``salted_join``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from eventloom.operators.joins import salted_join
 from eventloom.operators.sampling import top_n_per_group
 from eventloom.session import pin
 
+ENDS = ("x1", "y1", "x2", "y2")
 L4, R4 = ("lx1", "ly1", "lx2", "ly2"), ("rx1", "ry1", "rx2", "ry2")
 
 
@@ -80,11 +83,22 @@ def nearest_join(
     """One row per left shape: its nearest right shape (smallest id on ties) and the distance.
 
     Searches within ``radius``; only shapes that found nothing go on with a four times larger radius, so the
-    answer is exact and the candidates stay local.  With ``max_distance`` farther shapes are left out.
+    answer is exact and the candidates stay local.  With ``max_distance`` farther shapes are left out.  Without it, shapes
+    with a null or NaN vertex, and all shapes when the right side has none to offer, get a null id and distance.
     """
-    if max_distance is None and right.isEmpty():
-        raise ValueError("nearest_join needs a non-empty right side")
-    todo, found, r = left, None, radius if max_distance is None else min(radius, max_distance)
+    whole = reduce(lambda a, b: a & b, [F.col(x).isNotNull() & ~F.isnan(F.col(x)) for x in ENDS])
+    kind = dict(right.dtypes)[rid]
+    blank = lambda ids: ids.select(lid, F.lit(None).cast(kind).alias(rid), F.lit(None).cast("double").alias(out_distance))
+    right, todo = right.where(whole), left.where(whole)
+    box = right.select(*ENDS).union(todo.select(*ENDS)).agg(*[f(g(a, b)) for f, g in ((F.min, F.least), (F.max, F.greatest)) for a, b in (("x1", "x2"), ("y1", "y2"))]).first()
+    none = right.isEmpty()
+    reach = 0.0 if box[0] is None else 1.01 * math.hypot(box[2] - box[0], box[3] - box[1]) + 1e-9
+    found, r = None, radius if max_distance is None else min(radius, max_distance)
+    if none:
+        ids = left.select(lid).distinct()
+        return blank(ids) if max_distance is None else blank(ids.limit(0))
+    if max_distance is None and not left.where(~whole).isEmpty():
+        found = blank(left.select(lid).distinct().join(todo.select(lid).distinct(), lid, "left_anti"))
     while True:
         pairs = within_pairs(todo, right, lid, rid, r, points)
         best = pairs.groupBy("lid").agg(F.min(F.struct("dist", "rid")).alias("b"))
@@ -93,7 +107,7 @@ def nearest_join(
         if max_distance is not None and r >= max_distance:
             return found
         todo = pin(todo.join(best.select(lid), lid, "left_anti"))
-        if todo.isEmpty():
+        if todo.isEmpty() or (max_distance is None and r > reach):
             return found
         r = r * 4 if max_distance is None else min(r * 4, max_distance)
 

@@ -154,7 +154,7 @@ def text_fallback_match(spark, sf):
     "template_rows",
     "J16 W6 A29 O4",
     """WITH f AS (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS first_open, arg_min(o_orderpriority, o_orderkey) AS first_priority FROM orders GROUP BY 1)
-    SELECT 'POSSIBLE_' || o_custkey || '_' || lpad(CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 4, '0') AS event_id, o_orderkey, first_open, first_priority, c_mktsegment
+    SELECT 'POSSIBLE_' || o_custkey || '_' || printf('%04d', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS event_id, o_orderkey, first_open, first_priority, c_mktsegment
     FROM orders LEFT JOIN f USING (o_custkey) LEFT JOIN customer ON o_custkey = c_custkey""",
 )
 def template_rows(spark, sf):
@@ -168,7 +168,7 @@ def template_rows(spark, sf):
     chunked = o.withColumn(CHUNK, time_chunk(c("o_orderdate"), 90 * 86400))
     num = chunked_prefix(chunked, ["o_custkey"], ["o_orderdate", "o_orderkey"], {"seq": ("cum_sum", F.lit(1))})
     j = num.join(first, "o_custkey", "left").join(cu, c("o_custkey") == c("c_custkey"), "left")
-    eid = F.concat(F.lit("POSSIBLE_"), c("o_custkey").cast("string"), F.lit("_"), F.lpad(c("seq").cast("string"), 4, "0"))
+    eid = F.format_string("POSSIBLE_%d_%04d", "o_custkey", "seq")
     return j.select(eid.alias("event_id"), "o_orderkey", "first_open", "first_priority", "c_mktsegment")
 
 

@@ -44,7 +44,7 @@ def normalize_segment_ids(spark, sf):
 
 
 _BORO = "CASE " + " ".join(f"WHEN u = '{k}' THEN '{v}'" for k, v in X.BOROUGH_CODES.items()) + " ELSE u END"
-_COUNTY = "CASE " + " ".join(f"WHEN k IN ({', '.join(repr(a) for a in al)}) THEN '{n}'" for n, al in X.COUNTY_BOROUGHS.items()) + " ELSE k END"
+_COUNTY = "CASE " + " ".join(f"WHEN k = '{k}' THEN '{v}'" for k, v in X.COUNTY_BOROUGHS.items()) + " ELSE k END"
 
 
 @query(
@@ -138,16 +138,17 @@ def number_parsing(spark, sf):
 @query(
     "tide_levels",
     "F10 F11",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN 'air_gap_converted' WHEN 'N' THEN 'observed' ELSE 'predicted' END AS series_kind,
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN CASE WHEN l_tax > 0 THEN 'air_gap_to_tide' ELSE 'air_gap_raw' END WHEN l_returnflag = 'N' THEN 'observed_high_low' ELSE 'observed_hourly' END AS series_kind,
+    CASE WHEN l_returnflag = 'A' THEN 'air_gap_m' WHEN l_returnflag = 'N' THEN 'high_low_m' WHEN l_linestatus = 'F' THEN 'water_level_m' ELSE 'level_m' END AS measurement_kind,
     round(CASE WHEN l_returnflag = 'A' THEN CASE WHEN l_tax > 0 THEN l_tax * 1000 END - l_quantity ELSE l_quantity END, 6) AS tide_level_m,
     round(coalesce(CASE WHEN l_discount > 0.05 THEN l_quantity END, l_quantity * 0.3048), 6) AS ladder_m FROM lineitem""",
 )
 def tide_levels(spark, sf):
-    product = F.when(c("l_returnflag") == "A", "air_gap").when(c("l_returnflag") == "N", "water_level").otherwise("predictions")
-    kind = F.when(product == "air_gap", "air_gap_converted").when(product == "water_level", "observed").otherwise("predicted")
+    product = F.when(c("l_returnflag") == "A", "air_gap").when(c("l_returnflag") == "N", "high_low").when(c("l_linestatus") == "F", "hourly_height").otherwise("other")
     clearance = F.when(c("l_tax") > 0, c("l_tax") * 1000)
+    measured, kind = U.tide_labels(product, clearance)
     return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", kind.alias("series_kind"), r(U.tide_level_m(c("l_quantity"), product, clearance)).alias("tide_level_m"),
+        "l_orderkey", "l_linenumber", "l_partkey", kind.alias("series_kind"), measured.alias("measurement_kind"), r(U.tide_level_m(c("l_quantity"), product, clearance)).alias("tide_level_m"),
         r(F.coalesce(F.when(c("l_discount") > 0.05, c("l_quantity")), c("l_quantity") * U.FT_TO_M)).alias("ladder_m"),
     )
 
@@ -199,7 +200,7 @@ def calendar_labels(spark, sf):
 @query(
     "census_rates",
     "F21 F22 P13 S17",
-    """SELECT c_custkey, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS geoid,
+    """SELECT c_custkey, printf('%02d', c_nationkey) || printf('%09d', c_custkey) AS geoid,
     round(CASE WHEN round(c_acctbal) = 0 OR c_mktsegment = 'BUILDING' THEN NULL ELSE c_nationkey / (CASE WHEN c_mktsegment = 'FURNITURE' THEN NULL ELSE c_acctbal END) END, 9) AS poverty_rate,
     round(coalesce(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal END, CASE WHEN c_acctbal > 0 THEN c_acctbal * 2 END), 6) AS median_income FROM customer""",
 )
@@ -209,7 +210,7 @@ def census_rates(spark, sf):
     wide = cu.select("c_custkey", c("c_nationkey").alias("B17001_002E"), den.alias("B17001_001E"), F.lit("x").alias("B17001_001EA"), "c_nationkey", "c_mktsegment", "c_acctbal")
     estimates = [n for n in wide.columns if n[-1] == "E" and not n.endswith(("EA", "MA"))]
     wide = wide.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal", *[U.safe_numeric(c(n)).alias(n) for n in estimates])
-    geoid = F.concat(F.lpad(c("c_nationkey").cast("string"), 2, "0"), F.lpad(c("c_custkey").cast("string"), 9, "0"))
+    geoid = F.format_string("%02d%09d", "c_nationkey", "c_custkey")
     income = F.coalesce(F.when(c("c_mktsegment") == "MACHINERY", c("c_acctbal")), F.when(c("c_acctbal") > 0, c("c_acctbal") * 2))
     return wide.select("c_custkey", geoid.alias("geoid"), r(U.safe_ratio(c("B17001_002E"), c("B17001_001E")), 9).alias("poverty_rate"), r(income).alias("median_income"))
 
@@ -237,16 +238,19 @@ def confidence_labels(spark, sf):
     "composite_keys",
     "F27 F32 S18",
     """SELECT o_orderkey, coalesce(nullif(CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END, ''), '__NA__') || '|' || coalesce(CASE WHEN o_totalprice > 100000 THEN o_orderpriority END, '__NA__') AS lookup_key,
-    substr(sha1(concat_ws('_', o_orderkey, o_orderstatus, o_orderpriority)), 1, 16) AS content_key,
-    array_to_string([CAST(o_custkey AS VARCHAR), 'GHCND:' || o_custkey, 'COOP:' || o_custkey], ',') AS aliases FROM orders""",
+    substr(sha1(concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)), 1, 16) AS content_key,
+    CASE o_orderpriority WHEN '1-URGENT' THEN printf('GHCND:%d,%d,COOP:%d,LCD:%d', o_custkey, o_custkey, o_custkey, o_custkey) WHEN '2-HIGH' THEN printf('COOP:%d,GHCND:%d,%d,LCD:%d', o_custkey, o_custkey, o_custkey, o_custkey)
+      WHEN '3-MEDIUM' THEN printf('LCD:%d,COOP:%d,GHCND:%d,%d', o_custkey, o_custkey, o_custkey, o_custkey) WHEN '5-LOW' THEN printf('GHCND:%d,COOP:%d,%d,LCD:%d', o_custkey, o_custkey, o_custkey, o_custkey)
+      ELSE printf('%d,COOP:%d,GHCND:%d,LCD:%d', o_custkey, o_custkey, o_custkey, o_custkey) END AS aliases FROM orders""",
 )
 def composite_keys(spark, sf):
-    code = c("o_custkey").cast("string")
+    code, p = c("o_custkey").cast("string"), c("o_orderpriority")
+    dataset = F.when(p == "1-URGENT", "GHCND").when(p == "2-HIGH", "PRECIP_HLY").when(p == "3-MEDIUM", "LCD").when(p == "5-LOW", "GLOBAL_HOURLY").otherwise("other")
     return table(spark, sf, "orders").select(
         "o_orderkey",
         X.key_with_null_token(F.when(c("o_orderstatus") == "F", "").otherwise(c("o_orderstatus")), F.when(c("o_totalprice") > 100000, c("o_orderpriority"))).alias("lookup_key"),
         X.content_key(c("o_orderkey").cast("string"), c("o_orderstatus"), c("o_orderpriority")).alias("content_key"),
-        F.array_join(X.station_aliases(code, F.lit("GHCND")), ",").alias("aliases"),
+        F.array_join(X.station_aliases(code, dataset), ",").alias("aliases"),
     )
 
 

@@ -73,9 +73,10 @@ def calendar_windows(spark, sf):
     "chunk_windows",
     "S12",
     f"""WITH {BOUNDS}, y AS (SELECT 'year' AS plan, CAST(greatest(g, s) AS DATE) AS window_start, CAST(least(g + INTERVAL 1 YEAR - INTERVAL 1 DAY, e) AS DATE) AS window_end FROM (SELECT unnest(generate_series(date_trunc('year', s)::TIMESTAMP, e::TIMESTAMP, INTERVAL 1 YEAR)) AS g, s, e FROM b)),
-    f AS (SELECT 'fixed' AS plan, CAST(g AS DATE) AS window_start, CAST(least(g + INTERVAL 30 DAY, e) AS DATE) AS window_end FROM (SELECT unnest(generate_series(s::TIMESTAMP, e::TIMESTAMP, INTERVAL 31 DAY)) AS g, e FROM b)),
-    k AS (SELECT *, row_number() OVER (ORDER BY window_start) AS rn, count(*) OVER () AS n FROM f)
-    SELECT * FROM y UNION ALL SELECT * FROM f UNION ALL SELECT 'probe', window_start, window_end FROM k WHERE rn IN (1, n // 2 + 1, n)""",
+    f AS (SELECT 'fixed' AS plan, CAST(g AS DATE) AS window_start, CAST(least(g + INTERVAL 31 DAY, e) AS DATE) AS window_end FROM (SELECT unnest(generate_series(s::TIMESTAMP, e::TIMESTAMP, INTERVAL 32 DAY)) AS g, e FROM b)),
+    m AS (SELECT s::TIMESTAMP AS s, e::TIMESTAMP AS e, s::TIMESTAMP + (date_diff('day', s, e) * 12)::INTEGER * INTERVAL 1 HOUR AS mid FROM b)
+    SELECT * FROM y UNION ALL SELECT * FROM f UNION ALL SELECT 'probe', CAST(a AS DATE), CAST(z AS DATE) FROM (
+      SELECT s AS a, least(s + INTERVAL 30 DAY, e) AS z FROM m UNION SELECT date_trunc('day', greatest(mid - INTERVAL 15 DAY, s)), date_trunc('day', least(mid + INTERVAL 15 DAY, e)) FROM m UNION SELECT greatest(e - INTERVAL 30 DAY, s), e FROM m)""",
 )
 def chunk_windows(spark, sf):
     b = _bounds(spark, sf)

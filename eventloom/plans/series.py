@@ -149,7 +149,7 @@ def interval_overlap_features(spark, sf):
     "F29",
     """WITH d AS (SELECT user_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS us FROM (SELECT DISTINCT user_id, ts FROM events)),
     m AS (SELECT user_id, min(CASE WHEN us > 0 THEN us END) AS lo FROM d GROUP BY user_id)
-    SELECT user_id, CASE WHEN lo IS NULL THEN 'unknown' WHEN lo < 3600000000 THEN 'subhourly' WHEN lo <= 3600000000 THEN 'hourly' ELSE 'daily' END AS resolution FROM m""",
+    SELECT user_id, CASE WHEN lo IS NULL THEN 'unknown' WHEN lo < 3600000000 THEN 'subhourly' WHEN lo < 86400000000 THEN 'hourly' ELSE 'daily' END AS resolution FROM m""",
 )
 def station_resolution(spark, sf):
     return S.resolution_class(table(spark, sf, "events"), "user_id", "ts", 7 * 86400)

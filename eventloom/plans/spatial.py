@@ -95,13 +95,14 @@ def project_coordinates(spark, sf):
     """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 40 + l_quantity / 100 WHEN l_returnflag = 'N' AND l_tax > 0.06 THEN 140.5 END AS lat, CASE WHEN l_returnflag = 'A' THEN -74 + l_discount END AS lon,
       l_linestatus = 'O' AS has_loc, l_tax > 0.02 AS has_sp, l_extendedprice FROM lineitem),
     k AS (SELECT *, CASE WHEN lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 THEN 'latlon' WHEN has_loc THEN 'location' WHEN has_sp THEN 'state_plane' END AS coordinate_source FROM t)
-    SELECT l_orderkey, l_linenumber, l_partkey, coordinate_source, round(CASE coordinate_source WHEN 'latlon' THEN lat WHEN 'location' THEN 40.25 END, 6) AS latitude, round(CASE coordinate_source WHEN 'latlon' THEN lon WHEN 'location' THEN -173.5 END, 6) AS longitude,
+    SELECT l_orderkey, l_linenumber, l_partkey, coordinate_source, round(CASE coordinate_source WHEN 'latlon' THEN lat WHEN 'location' THEN 40.25 END, 6) AS latitude, round(CASE coordinate_source WHEN 'latlon' THEN lon WHEN 'location' THEN CASE WHEN l_linenumber % 2 = 0 THEN -73.5 ELSE -173.5 END END, 6) AS longitude,
       CASE coordinate_source WHEN 'state_plane' THEN l_extendedprice END AS x_state_plane FROM k""",
 )
 def coordinate_coalescing(spark, sf):
     lat = F.when(c("l_returnflag") == "A", 40 + c("l_quantity") / 100).when((c("l_returnflag") == "N") & (c("l_tax") > 0.06), F.lit(140.5))
     lon = F.when(c("l_returnflag") == "A", -74 + c("l_discount"))
-    loc = F.when(c("l_linestatus") == "O", F.concat(F.lit("(-173.5, 40.25) part "), c("l_partkey").cast("string")))
+    nested = F.when(c("l_linenumber") % 2 == 0, F.lit('{"type": "Point", "coordinates": [-73.5, 40.25]}'))
+    loc = F.when(c("l_linestatus") == "O", F.coalesce(nested, F.concat(F.lit("(-173.5, 40.25) part "), c("l_partkey").cast("string"))))
     t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", lat.alias("lat"), lon.alias("lon"), loc.alias("loc"), F.when(c("l_tax") > 0.02, c("l_extendedprice")).alias("sp"))
     t = t.withColumn("pt", decimal_point(c("loc")))
     direct = c("lat").between(-90, 90) & c("lon").between(-180, 180)

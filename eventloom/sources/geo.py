@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.functions.geometry import looks_like_geometry, parse_line, point
+from eventloom.functions.geometry import looks_like_geometry, parse_parts, point
 from eventloom.functions.units import safe_numeric
 
 # ---- fixed values: names tried in this order ----
@@ -26,31 +26,33 @@ def detect_geometry_column(df: DataFrame) -> str | None:
     for name in GEOMETRY_NAMES:
         if name in df.columns:
             return name
-    structs = [f.name for f in df.schema if isinstance(f.dataType, T.StructType) and "coordinates" in f.dataType.names]
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    probe = {}
-    if texts:
-        row = df.agg(*[F.max(looks_like_geometry(F.col(t)).cast("int")).alias(t) for t in texts]).first()
-        probe = row.asDict()
-    for name in df.columns:
-        if name in structs or probe.get(name):
-            return name
+    for f in df.schema:
+        if not isinstance(f.dataType, (T.StructType, T.StringType)):
+            continue
+        some = df.where(F.col(f.name).isNotNull())  # the first row that has a value ends the scan
+        if isinstance(f.dataType, T.StructType):
+            if "coordinates" in f.dataType.names and not some.isEmpty():
+                return f.name
+            continue
+        first = some.select(looks_like_geometry(F.col(f.name))).first()
+        if first and first[0]:
+            return f.name
     return None
 
 
 def parse_geometry(df: DataFrame, column: str) -> Column:
-    """Line column from text or from a ``struct<type, coordinates>``."""
+    """Parts of a shape, each a list of points, from text or from a ``struct<type, coordinates>``."""
     if isinstance(df.schema[column].dataType, T.StructType):
-        return F.transform(F.col(f"{column}.coordinates"), lambda p: point(p[0], p[1]))
-    return parse_line(F.col(column))
+        return parse_parts(F.to_json(F.col(column)))
+    return parse_parts(F.col(column))
 
 
 def build_geo_table(df: DataFrame, column: str, project=None, drop_unparsed: bool = True) -> DataFrame:
-    """Add ``line``; ``project(x, y)`` maps coordinates to the working plane."""
-    line = parse_geometry(df, column)
+    """Add ``parts`` and ``line``, the first part; ``project(x, y)`` maps coordinates to the working plane."""
+    parts = parse_geometry(df, column)
     if project is not None:
-        line = F.transform(line, lambda p: point(*project(p["x"], p["y"])))
-    out = df.withColumn("line", line)
+        parts = F.transform(parts, lambda line: F.transform(line, lambda p: point(*project(p["x"], p["y"]))))
+    out = df.withColumn("parts", parts).withColumn("line", F.get("parts", F.lit(0)))
     return out.where(F.col("line").isNotNull()) if drop_unparsed else out
 
 

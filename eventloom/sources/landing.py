@@ -14,6 +14,9 @@ from eventloom.session import path_exists
 from eventloom.sources.columns import is_complete
 
 
+ROWS_PER_FILE = 4_000_000
+
+
 def scan_folders(spark: SparkSession, paths: Sequence[str], wanted: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Union of several Parquet folders, the wanted columns that exist, and the names of those that do not."""
     present = [p for p in paths if path_exists(spark, p)]
@@ -27,16 +30,21 @@ def scan_folders(spark: SparkSession, paths: Sequence[str], wanted: Sequence[str
 
 
 def land_months(batch: DataFrame, ts: str, path: str, clean: Callable[[DataFrame], DataFrame] | None = None) -> int:
-    """Write only the months that are not landed yet, one partition per month; returns how many were new."""
+    """Write only the months that are not landed yet, one partition per month; returns how many were new.
+
+    Rows without a time are the month ``undated``.
+    """
     spark = batch.sparkSession
-    rows = (clean(batch) if clean else batch).withColumn("month", F.date_format(ts, "yyyy_MM"))
+    rows = (clean(batch) if clean else batch).withColumn("month", F.coalesce(F.date_format(ts, "yyyy_MM"), F.lit("undated")))
     if path_exists(spark, path):
         landed = spark.read.parquet(path).select(F.col("month").cast("string").alias("month")).distinct()
         rows = rows.join(F.broadcast(landed), "month", "left_anti")  # one row per landed month
-    new = rows.select("month").distinct().count()
+    months = rows.groupBy("month").agg(F.ceil(F.count("*") / ROWS_PER_FILE).alias("__files"))
+    new = months.count()
     if new:
-        # spread each month over tasks by a row hash, so one busy month is not one task
-        rows.repartition(F.col("month"), F.pmod(F.xxhash64(ts), F.lit(8))).write.mode("append").partitionBy("month").parquet(path)
+        # a month is as many tasks and files as its rows ask for; the table has one row per month
+        spread = rows.join(F.broadcast(months), "month").withColumn("__file", F.pmod(F.xxhash64(*batch.columns), F.col("__files")))
+        spread.repartition("month", "__file").drop("__files", "__file").write.mode("append").partitionBy("month").parquet(path)
     return new
 
 

@@ -41,13 +41,18 @@ def year_chunks(start: Column, end: Column) -> Column:
 
 
 def fixed_windows(start: Column, end: Column, days: int = 31) -> Column:
-    """Consecutive windows of ``days`` days, closed on both sides."""
-    starts = F.sequence(start, end, F.make_dt_interval(F.lit(days)))
-    return F.transform(starts, lambda s: _span(s.cast("date"), F.least(F.date_add(s.cast("date"), days - 1), end)))
+    """Consecutive windows that end ``days`` days after they start, both days included; the next starts the day after."""
+    starts = F.sequence(start, end, F.make_dt_interval(F.lit(days + 1)))
+    return F.transform(starts, lambda s: _span(s.cast("date"), F.least(F.date_add(s.cast("date"), days), end)))
 
 
 def probe_windows(start: Column, end: Column, days: int = 31) -> Column:
-    """First, middle and last fixed window, without repeats."""
-    w = fixed_windows(start, end, days)
-    n = F.size(w)
-    return F.array_distinct(F.array(F.element_at(w, 1), F.element_at(w, F.floor(n / 2).cast("int") + 1), F.element_at(w, -1)))
+    """``days`` days from the start, around the midpoint and up to the end, within the period and without repeats.
+
+    Half days are floored, at both ends of the middle window."""
+    span, whole = days - 1, F.datediff(end, start)
+    low, high = (F.floor(F.greatest(whole, F.lit(0)) / 2 + k * span / 2).cast("int") for k in (-1, 1))
+    first = _span(start, F.least(F.date_add(start, span), end))
+    middle = _span(F.greatest(F.date_add(start, low), start), F.least(F.date_add(start, high), end))
+    last = _span(F.greatest(F.date_sub(end, span), start), end)
+    return F.filter(F.array_distinct(F.array(first, middle, last)), lambda w: w["window_end"] >= w["window_start"])
