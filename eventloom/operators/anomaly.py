@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,14 +47,24 @@ def _depths(tree: tuple, x: np.ndarray, base: float = 0.0) -> np.ndarray:
 
 
 def isolation_scores(points: DataFrame, trees: int = TREES, rows: int = TREE_ROWS) -> DataFrame:
-    """Isolation score per point. Trees grow from ``trees * rows`` sampled rows at most; scoring is distributed."""
-    sample = points.select("vec", F.xxhash64("id", F.lit(SEED)).alias("h")).orderBy("h").limit(trees * rows).toPandas()
-    x = np.stack(sample["vec"].to_numpy())
-    rng = np.random.default_rng(SEED)
-    size = min(rows, len(x))
-    depth = int(np.ceil(np.log2(max(size, 2))))
-    forest = [_grow(x[rng.choice(len(x), size, replace=False)], depth, rng) for _ in range(trees)]
-    shared = points.sparkSession.sparkContext.broadcast((forest, float(_average_path(size))))
+    """Isolation score per point.  Each tree draws its own ``rows`` rows from the whole table and grows in a task of its own;
+    scoring is distributed and the forest, ``trees * rows`` leaves at most, is broadcast."""
+    n = points.count()
+    if not n:
+        return points.select("id", F.lit(None).cast("double").alias("score"))
+    chance = min(1.0, 2.0 * rows / n)
+    draw = lambda t: F.pmod(F.xxhash64("id", t, F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("u"))), lambda d: d["u"] < chance)
+    sample = points.select("vec", F.explode(drawn).alias("d")).select("d.tree", "d.u", "vec")  # about 2 * trees * rows rows
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("u").head(rows)
+        x = np.stack(pdf["vec"].to_numpy())
+        depth = int(np.ceil(np.log2(max(len(x), 2))))
+        return pd.DataFrame({"tree": [pickle.dumps(_grow(x, depth, np.random.default_rng([SEED, int(pdf["tree"].iloc[0])])))]})
+
+    forest = [pickle.loads(t.tree) for t in sample.groupBy("tree").applyInPandas(grow, "tree binary").collect()]
+    shared = points.sparkSession.sparkContext.broadcast((forest, float(_average_path(min(rows, n)))))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest_, c = shared.value

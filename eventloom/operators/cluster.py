@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,23 +15,15 @@ from pyspark.sql import functions as F
 from eventloom.operators.graph import components
 from eventloom.operators.joins import salted_join
 from eventloom.operators.quantiles import exact_quantiles
-from eventloom.operators.sampling import seeded_sample, top_n_per_group
+from eventloom.operators.sampling import top_n_per_group
 from eventloom.session import pin
 
-SAMPLE_ROWS = 12_000
 SEED = 42
 
 
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    if a.empty:
-        return pd.Series([], dtype="float64")
-    d = np.stack(a.to_numpy()) - np.stack(b.to_numpy())
-    return pd.Series(np.sqrt((d * d).sum(axis=1)))
-
-
 def l2(a: str, b: str) -> Column:
-    """Euclidean distance of two array columns, one Arrow batch at a time."""
-    return F.pandas_udf(_distance, "double")(F.col(a), F.col(b))
+    """Euclidean distance of two array columns."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
 def pairs_within(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
@@ -83,36 +75,14 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return points.select("id").join(own, "id", "left").join(border, "id", "left").select("id", F.coalesce("component", "near").alias("cluster"))
 
 
-def silhouette(points: DataFrame, label: str, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """Mean Euclidean silhouette on at most ``limit`` rows, the size the measure is defined for here.
+def silhouette(points: DataFrame, label: str) -> DataFrame:
+    """Mean silhouette in squared Euclidean distance over all rows with a label; one row.
 
-    The sample is bounded, so it may be broadcast; every task compares its own rows with it in one matrix step.
+    Squared distances to a cluster follow from its size, sum and sum of squares, so the work is linear in the rows.
     """
-    spark = points.sparkSession
-    sample = pin(seeded_sample(points.where(F.col(label).isNotNull()).select("id", "vec", F.col(label).alias("lab")), "id", limit, SEED))
-    local = sample.toPandas()
-    codes, _ = pd.factorize(local["lab"], sort=True)
-    shared = spark.sparkContext.broadcast((np.stack(local["vec"].to_numpy()), codes, dict(zip(local["id"], codes))))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, lab, code = shared.value
-        sizes = np.bincount(lab)
-        for b in batches:
-            if b.empty:
-                continue
-            x = np.stack(b["vec"].to_numpy())
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (matrix * matrix).sum(1)[None, :] - 2 * x @ matrix.T, 0))
-            sums = np.stack([d[:, lab == c].sum(axis=1) for c in range(len(sizes))], axis=1)
-            own = b["id"].map(code).to_numpy()
-            pos = np.arange(len(b))
-            a = sums[pos, own] / np.maximum(sizes[own] - 1, 1)
-            other = sums / sizes
-            other[pos, own] = np.inf
-            m = other.min(axis=1)
-            s = np.where(sizes[own] > 1, (m - a) / np.maximum(np.maximum(a, m), 1e-300), 0.0)
-            yield pd.DataFrame({"s": s})
-
-    return sample.repartition(spark.sparkContext.defaultParallelism).mapInPandas(rows, "s double").agg(F.avg("s").alias("silhouette_score"))
+    rows = points.where(F.col(label).isNotNull()).select(array_to_vector("vec").alias("features"), F.col(label).cast("double").alias("prediction"))
+    score = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(rows)
+    return points.sparkSession.createDataFrame([(score,)], "silhouette_score double")
 
 
 def group_indices(points: DataFrame, label: str, dims: int) -> DataFrame:
@@ -148,7 +118,7 @@ def kmeans_labels(points: DataFrame, k: int, out: str = "cluster") -> DataFrame:
 def sweep(points: DataFrame, ks: Sequence[int], dims: int) -> DataFrame:
     """KMeans, bisecting KMeans (the hierarchical stand-in) and Gaussian mixtures over ``k`` with validity indices.
 
-    AIC and BIC count ``k - 1`` weights, ``k d`` means and ``k d (d + 1) / 2`` covariances.
+    A model that cannot be fitted leaves a row with its error.  AIC and BIC count ``k - 1`` weights, ``k d`` means and ``k d (d + 1) / 2`` covariances.
     """
     data = with_vector(points).cache()
     n = data.count()
@@ -159,7 +129,11 @@ def sweep(points: DataFrame, ks: Sequence[int], dims: int) -> DataFrame:
             ("bisecting_kmeans", BisectingKMeans(k=k, seed=SEED)),
             ("gaussian_mixture", GaussianMixture(k=k, seed=SEED)),
         ):
-            model = est.fit(data)
+            try:
+                model = est.fit(data)
+            except Exception as ex:  # a mixture of too few rows for its covariances cannot be fitted: recorded, not hidden
+                rows.append((name, k, None, None, None, None, None, None, n, type(ex).__name__))
+                continue
             lab = model.transform(data).select("id", "vec", F.col("prediction").alias("cluster"))
             idx = group_indices(lab, "cluster", dims).first()
             sil = silhouette(lab, "cluster").first()[0]
@@ -168,8 +142,9 @@ def sweep(points: DataFrame, ks: Sequence[int], dims: int) -> DataFrame:
                 free = (k - 1) + k * dims + k * dims * (dims + 1) / 2
                 ll = model.summary.logLikelihood
                 aic, bic = 2 * free - 2 * ll, free * float(np.log(n)) - 2 * ll
-            rows.append((name, k, idx["n_clusters"], sil, idx["calinski_harabasz_score"], idx["davies_bouldin_score"], aic, bic, min(n, SAMPLE_ROWS)))
-    cols = "algorithm string, k int, n_clusters int, silhouette_score double, calinski_harabasz_score double, davies_bouldin_score double, aic double, bic double, sample_n int"
+            rows.append((name, k, idx["n_clusters"], sil, idx["calinski_harabasz_score"], idx["davies_bouldin_score"], aic, bic, n, None))
+    data.unpersist()
+    cols = "algorithm string, k int, n_clusters int, silhouette_score double, calinski_harabasz_score double, davies_bouldin_score double, aic double, bic double, n_rows bigint, error string"
     return points.sparkSession.createDataFrame(rows, cols)
 
 

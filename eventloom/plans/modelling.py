@@ -35,7 +35,7 @@ def preprocessed_matrix(spark, sf):
     p = predictions(spark, sf).withColumn("price", F.when(c("set_name") != "test", c("price")))
     prep = M.fit_preprocessor(p, ["price", "y_num"], ["borough"])
     v = prep.transform(p).select("event_id", vector_to_array("features").alias("v"))
-    slot = F.array_position(F.slice("v", 3, 1000), F.lit(1.0)) - 1
+    slot = F.array_position(F.slice("v", 3, F.size("v") - 2), F.lit(1.0)) - 1
     return v.select("event_id", r(c("v")[0]).alias("price_scaled"), r(c("v")[1]).alias("quantity_scaled"), slot.alias("borough_slot"))
 
 
@@ -96,27 +96,27 @@ def intensity_models(spark, sf):
     return fit["results"].select("model_name", "best_params", "cv_validation_primary_score", "error", "test_mae", "test_rmse", "test_r2", "possible_overfitting")
 
 
-DIMS = 6
+DIMS = 64
 
 
 def vectors(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select(c("vec_id").alias("id"), F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("vec"), "label")
+    return e.select(c("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")
 
 
-VEC = f"v AS (SELECT vec_id AS id, label, CAST(embedding[1:{DIMS}] AS DOUBLE[]) AS vec FROM embeddings)"
+VEC = f"v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
 D = "list_distance(a.vec, b.vec)"
 
 
 @query("cluster_sweep", "M29 M30 M32")
 def cluster_sweep(spark, sf):
-    return U.sweep(vectors(spark, sf).select("id", "vec"), [3], DIMS)
+    return U.sweep(vectors(spark, sf).select("id", "vec"), range(2, 11), DIMS)
 
 
 @query(
     "silhouette_exact",
     "M32",
-    f"""WITH {VEC}, d AS (SELECT a.id, a.label AS la, b.label AS lb, avg({D}) AS m, sum({D}) / nullif(count(*) - 1, 0) AS own, count(*) AS n FROM v a, v b GROUP BY 1, 2, 3),
+    f"""WITH {VEC}, d AS (SELECT a.id, a.label AS la, b.label AS lb, avg({D} ** 2) AS m, sum({D} ** 2) / nullif(count(*) - 1, 0) AS own, count(*) AS n FROM v a, v b GROUP BY 1, 2, 3),
     s AS (SELECT id, max(own) FILTER (WHERE la = lb) AS a, min(m) FILTER (WHERE la <> lb) AS b FROM d GROUP BY 1) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette_score FROM s""",
 )
 def silhouette_exact(spark, sf):
@@ -136,7 +136,8 @@ def cluster_validity_indices(spark, sf):
     return g.select("n_clusters", r(c("calinski_harabasz_score")).alias("calinski_harabasz_score"), r(c("davies_bouldin_score")).alias("davies_bouldin_score"))
 
 
-EPS, MIN_PTS = 0.16, 6
+EPS, MIN_PTS = 1.15, 4
+GRID = [(1.1, 3), (1.1, 6), (1.2, 4), (1.2, 8)]
 
 
 @query(
@@ -151,6 +152,19 @@ def dbscan_labels(spark, sf):
     return U.dbscan(vectors(spark, sf), EPS, MIN_PTS)
 
 
+@query(
+    "dbscan_grid",
+    "M31",
+    "WITH " + VEC + ", g(eps, min_samples) AS (VALUES " + ", ".join(f"({e}::DOUBLE, {m})" for e, m in GRID) + f"""), pr AS (SELECT eps, min_samples, a.id AS lid, b.id AS rid FROM g, v a, v b WHERE {D} <= eps),
+    co AS (SELECT eps, min_samples, lid FROM pr GROUP BY ALL HAVING count(*) >= min_samples), nr AS (SELECT DISTINCT pr.eps, pr.min_samples, pr.lid FROM pr JOIN co ON co.eps = pr.eps AND co.min_samples = pr.min_samples AND co.lid = pr.rid)
+    SELECT g.eps, g.min_samples, round(1 - count(nr.lid) / (SELECT count(*) FROM v), 6) AS noise_share FROM g LEFT JOIN nr ON nr.eps = g.eps AND nr.min_samples = g.min_samples GROUP BY 1, 2""",
+)
+def dbscan_grid(spark, sf):
+    v = vectors(spark, sf)
+    runs = [U.dbscan(v, e, m).agg(r(F.avg(c("cluster").isNull().cast("double"))).alias("noise_share")).select(F.lit(e).alias("eps"), F.lit(m).alias("min_samples"), "noise_share") for e, m in GRID]
+    return reduce(lambda a, b: a.unionByName(b), runs)
+
+
 @query("kmeans_archetypes", "M33 M27 M37")
 def kmeans_archetypes(spark, sf):
     v = vectors(spark, sf)
@@ -189,12 +203,12 @@ def robust_deviation(spark, sf):
     lr AS (SELECT nn.lid, 1.0 / (avg(greatest(dist, kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.lid = nn.rid GROUP BY 1) SELECT nn.lid AS id, round(avg(o.lrd) / any_value(s.lrd), 6) AS score FROM nn JOIN lr o ON o.lid = nn.rid JOIN lr s ON s.lid = nn.lid GROUP BY 1""",
 )
 def local_outlier_factor(spark, sf):
-    return A.local_outlier_factor(vectors(spark, sf), 35, 0.3).withColumn("score", r(c("score")))
+    return A.local_outlier_factor(vectors(spark, sf), 35, 1.3).withColumn("score", r(c("score")))
 
 
 @query("anomaly_ensemble", "M35 W9 W12")
 def anomaly_ensemble(spark, sf):
-    e = A.ensemble(vectors(spark, sf).select("id", "vec"), 35, 0.3, EPS, MIN_PTS)
+    e = A.ensemble(vectors(spark, sf).select("id", "vec"), 35, 1.3, EPS, MIN_PTS)
     return e.withColumns({x: r(c(x)) for x in e.columns if "score" in x})
 
 
