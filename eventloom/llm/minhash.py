@@ -5,8 +5,8 @@ shingles; a second, shifted circularly by k, gives coordinate k of the signature
 Bands of the signature name candidates and the exact Jaccard similarity of the full sets decides.
 
 No bucket is expanded into pairs.  Each member is compared with the bucket's smallest document; members that are then in one
-component need no further test, and in what remains the members outside the bucket's largest component are compared with all
-others.  Every pair of a bucket ends either in one component or tested, so the components equal those of all candidate
+component need no further test, and in what remains the members outside the bucket's largest component meet all others
+inside tasks, which let only pairs through whose signatures allow the threshold.  Every pair of a bucket ends either in one component or tested, so the components equal those of all candidate
 pairs.  Equal sets are folded to their smallest document first, so thousands of copies are one node.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing.  A text of fewer words than a shingle has
@@ -26,7 +26,10 @@ from eventloom.llm.common import arrow_map, raw, slices
 from eventloom.operators.graph import components
 from eventloom.session import pin
 
-BANDS, ROWS = 32, 5  # at a similarity of 0.8 a pair misses every band with a chance of 3e-6
+BANDS, ROWS = 48, 7  # at a similarity of 0.8 a pair misses every band with a chance of 1.2e-5, at 0.3 it shares one with 1 %
+
+FEW = 400  # shingles of a set that is compared whole before its text is fetched
+BLOCK = 4096  # members of a bucket that meet in one task
 
 _U64 = np.uint64
 
@@ -141,6 +144,88 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> D
     return pin(arrow_map(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb"), _judge(n, threshold), "a bigint, b bigint").distinct())
 
 
+def _resketch(n: int, size: int) -> Callable:
+    """Per text the low bytes of its signature and, of small sets, the shingles themselves as 32-bit numbers."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        memo: dict[bytes, int] = {}
+        for b in slices(batches):
+            sets = [shingle_set(t, n, memo) for t in raw(b.column("text"))]
+            low = [signature(x, size).astype(np.uint8).tobytes() if len(x) else b"" for x in sets]
+            few = [x.astype("<u4").tobytes() if len(x) <= FEW else None for x in sets]
+            arrays = [b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(low, pa.binary()), pa.array(few, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["m", "size", "low", "few"])
+
+    return run
+
+
+def _screen(threshold: float, size: int) -> Callable:
+    """Pairs of a bucket's smaller components with its other members that may reach the threshold.
+
+    Signatures discard what is five deviations below it; where both sets are at hand, their intersection decides."""
+    least = threshold - 5.5 * (threshold * (1 - threshold) / size) ** 0.5
+
+    def judge(t):
+        import pyarrow as pa
+
+        node, c, n, minor = (np.array(t[k].to_pylist()) for k in ("node", "c", "size", "minor"))
+        low = np.frombuffer(b"".join(t["low"].to_pylist()), dtype=np.uint8).reshape(len(node), size)
+        few = [None if x is None else np.frombuffer(x, dtype="<u4") for x in t["few"].to_pylist()]
+        found = []
+        for p in np.flatnonzero(minor):
+            q = np.flatnonzero(~minor & (c != c[p]) & (n >= threshold * n[p] - 1e-6) & (n[p] >= threshold * n - 1e-6))
+            q = q[(low[q] == low[p]).mean(axis=1) >= least]
+            for x in q.tolist():
+                if few[p] is not None and few[x] is not None:
+                    both = len(np.intersect1d(few[p], few[x]))
+                    if both < threshold * (n[p] + n[x] - both) - 1e-6:
+                        continue
+                found.append((min(node[p], node[x]), max(node[p], node[x])))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, key = [], None
+        for b in batches:
+            ids = list(zip(*(b.column(k).to_pylist() for k in ("key", "i", "j"))))
+            at = 0
+            while at < len(ids):
+                end = at
+                while end < len(ids) and ids[end] == ids[at]:
+                    end += 1
+                if ids[at] != key and held:
+                    yield judge(pa.Table.from_batches(held))
+                    held = []
+                key = ids[at]
+                held.append(b.slice(at, end - at))
+                at = end
+        if held:
+            yield judge(pa.Table.from_batches(held))
+
+    return run
+
+
+def _screened(tagged: DataFrame, texts: DataFrame, shingle: int, threshold: float, size: int) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of ``tagged (key, node, c, major)`` to verify.
+
+    A bucket's members outside its largest component meet all its members, inside tasks: both sides are cut into blocks of
+    ``BLOCK`` members and every pair of blocks is a unit of its own, so a bucket of any size is spread over the cluster."""
+    need = tagged.select(F.col("node").alias("id")).distinct()
+    sketch = arrow_map(texts.join(need, texts["doc_id"] == need["id"], "left_semi"), _resketch(shingle, size), "m bigint, size bigint, low binary, few binary").where("size > 0")
+    is_minor = F.col("c") != F.col("major")
+    counts = tagged.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count(F.when(is_minor, 1)) / BLOCK).alias("minors"))
+    rows = tagged.join(counts, F.col("key") == F.col("k"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    member = rows.select("key", "node", "c", F.explode(upto("minors")).alias("i"), own("blocks").alias("j"), F.lit(False).alias("minor"))
+    minor = rows.where(is_minor).select("key", "node", "c", own("minors").alias("i"), F.explode(upto("blocks")).alias("j"), F.lit(True).alias("minor"))
+    both = member.unionByName(minor).join(sketch, F.col("node") == F.col("m")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "c", "minor", "size", "low", "few")
+    return arrow_map(both, _screen(threshold, size), "a bigint, b bigint").distinct()
+
+
 def near_classes(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -150,29 +235,27 @@ def near_classes(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, band
     # a document with several sets belongs to all their classes, linked below
     members = pin(owned.select("doc_id", "print").distinct().join(node, "print").select("doc_id", "node", "print"))
     chosen = owned.groupBy("print").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("node"), F.min("n").alias("n"))
-    spread = chosen.select("node", "n", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    spread = chosen.select(F.explode("bands").alias("key"), "node", "n")
+    one = F.struct("node", "n")
+    shared = spread.groupBy("key").agg(F.min(one).alias("low"), F.max("node").alias("high")).where("low.node < high").select("key", "low")
     bucket = pin(spread.join(shared, "key"))  # members of buckets that hold more than one document
 
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * round(100 * threshold)) & (F.col(y) * 100 >= F.col(x) * round(100 * threshold))
-    sizes = bucket.groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most"))
-    star = bucket.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    star = pin(_sized(star, sizes, fits))
+    whole = round(100 * threshold)
+    fits = lambda x, y: (x * 100 >= y * whole) & (y * 100 >= x * whole)  # what the set sizes alone allow
+    star = bucket.where((F.col("node") > F.col("low.node")) & fits(F.col("n"), F.col("low.n"))).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+    star = pin(star)
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     links = _verified(star, plain, shingle, threshold)
     linked = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     # what stars left open: buckets whose members lie in several components
-    named = bucket.join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    named = bucket.join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
     named = pin(named.join(mixed, "key"))
     counts = named.groupBy("key", "c").agg(F.count("*").alias("k"))
     major = counts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("major"))
     tagged = pin(named.join(major, "key"))
-    minor = tagged.where("c <> major").select("key", F.col("node").alias("p"), F.col("c").alias("pc"))
-    meet = minor.join(tagged.select("key", F.col("node").alias("q"), F.col("c").alias("qc")), "key").where("pc <> qc")
-    rest = meet.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    rest = pin(_sized(rest, sizes, fits).join(star, ["a", "b"], "left_anti"))
+    rest = pin(_screened(tagged, plain, shingle, threshold, bands * rows).join(star, ["a", "b"], "left_anti"))
     more = links
     if not rest.isEmpty():
         more = links.union(_verified(rest, plain, shingle, threshold))
@@ -186,14 +269,6 @@ def near_classes(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, band
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, fits) -> DataFrame:
-    """Pairs whose set sizes allow the threshold (a document of several sets passes if any of them may)."""
-    a = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"))
-    b = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-    fit = fits("na", "nb") | (F.col("na") < F.col("ma")) | (F.col("nb") < F.col("mb"))
-    return pairs.join(a, "a").join(b, "b").where(fit).select("a", "b")
-
-
 def drop_near(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate class (the smallest id), all columns as they are."""
     kept = near_classes(docs, shingle, threshold).where("kept").select(F.col("doc_id").alias("__id")).distinct()
