@@ -132,9 +132,11 @@ def positive_state(df: DataFrame, target: str):
 
 
 def conditional_table(df: DataFrame, target: str, a: str, b: str, min_rows: int = MIN_CELL) -> DataFrame:
-    """P(target is positive | a, b), null for cells with too few rows."""
+    """P(target is positive | a, b) for every pair of states of ``a`` and ``b``, null for cells with too few rows or none."""
     hit = df.withColumn("__pos", F.col(target) == positive_state(df, target))
     g = hit.groupBy(a, b).agg(F.count("*").alias("n"), F.avg(F.col("__pos").cast("double")).alias("p"))
+    grid = df.select(a).distinct().withColumn("__one", F.lit(1)).join(df.select(b).distinct().withColumn("__one", F.lit(1)), "__one")  # a cell per pair of states
+    g = grid.drop("__one").join(g, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return g.select(a, b, "n", F.when(F.col("n") >= min_rows, F.col("p")).alias("probability"))
 
 

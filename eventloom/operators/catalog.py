@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.stats import _stack
 
 # ---- fixed values: feature groups and leakage rules ----
 FEATURE_GROUPS = {
@@ -71,14 +70,15 @@ TASK_REASONS = {
 
 
 def column_facts(df: DataFrame) -> DataFrame:
-    """Per column: type, share of non-null values, distinct values; one aggregate over the table."""
-    names = df.columns
-    one = df.agg(
-        *[F.avg(F.col(c).isNotNull().cast("double")).alias(f"non_null_rate__{i}") for i, c in enumerate(names)],
-        *[F.count_distinct(F.col(c)).alias(f"n_unique__{i}") for i, c in enumerate(names)],
-    )
-    one = one.withColumns({f"dtype__{i}": F.lit(t) for i, (_, t) in enumerate(df.dtypes)})
-    return _stack(one, names, {"dtype": "string", "non_null_rate": "double", "n_unique": "bigint"}).withColumnRenamed("column", "feature")
+    """Per column: type, share of non-null values, distinct values.
+
+    Columns are laid out as (column, value) rows and folded map-side, so no row is expanded once per distinct aggregate.
+    """
+    names = df.sparkSession.createDataFrame([(i, n, t) for i, (n, t) in enumerate(df.dtypes)], "i int, feature string, dtype string")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(df.columns)])).alias("c")
+    values = df.select(cells).select("c.*").groupBy("i", "v").agg(F.count("*").alias("n"))
+    facts = values.groupBy("i").agg((F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("non_null_rate"), F.count("v").alias("n_unique"))
+    return names.join(facts, "i", "left").select("feature", "dtype", "non_null_rate", F.coalesce("n_unique", F.lit(0)).alias("n_unique"))
 
 
 def feature_catalog(df: DataFrame) -> DataFrame:
@@ -113,10 +113,10 @@ def leakage_rules(task: str) -> dict[str, str]:
     return rules | SHARED_REASONS | TASK_REASONS[task]
 
 
-def leakage_audit(df: DataFrame, task: str) -> DataFrame:
-    """Every column with its exclusion verdict and reason for the task."""
+def leakage_audit(df: DataFrame, task: str, facts: DataFrame | None = None) -> DataFrame:
+    """Every column with its exclusion verdict and reason for the task; ``facts`` spares counting them again."""
     rules = df.sparkSession.createDataFrame(list(leakage_rules(task).items()), "feature string, reason string")
-    j = column_facts(df).join(F.broadcast(rules), "feature", "left")
+    j = (column_facts(df) if facts is None else facts).join(F.broadcast(rules), "feature", "left")
     present = F.col("feature").startswith("present_")
     reason = F.when(present, F.lit(PRESENCE_REASON)).otherwise(F.col("reason"))
     return j.select("feature", reason.isNotNull().alias("excluded_from_predictors"), reason.alias("reason"), "dtype", "non_null_rate", "n_unique")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.bins import rank_bins
-from eventloom.operators.ordered import CHUNK, chunk_by_range, chunked_prefix
+from eventloom.operators.ordered import CHUNK, chunk_by_range, chunked_prefix, value_ranks
 from eventloom.operators.quantiles import exact_quantiles
 
 
@@ -68,14 +68,14 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], truth: str, pred:
     )
     rank = ranking_metrics(df, keys, truth, score)
     if keys:
-        out = a.join(rank, list(keys))
+        out = _per_key(a, rank, keys)  # a group without scores keeps its counts
     else:
         out = a.withColumn("__r", rank.select(F.struct("roc_auc", "pr_auc")).scalar()).select(*a.columns, "__r.*")
     return out.withColumn("brier_score", F.when(F.col("roc_auc").isNotNull(), F.col("brier_score")))
 
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], truth: str, pred: str) -> DataFrame:
-    """RMSE, MAE, R2, Pearson, MAPE (only without a zero truth) and the exact median absolute error."""
+    """RMSE, MAE, R2, Pearson, MAPE (only without a zero truth), exact median absolute error and Spearman's rank correlation."""
     y, p = F.col(truth).cast("double"), F.col(pred).cast("double")
     d = df.withColumn("__ae", F.abs(y - p))
     a = d.groupBy(*keys).agg(
@@ -86,9 +86,20 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], truth: str, pred: str
         F.when(F.count_if(y == 0) == 0, F.avg(F.col("__ae") / F.nullif(F.abs(y), F.lit(0.0)))).alias("mape"),
     )
     med = exact_quantiles(d, keys, "__ae", {"median_absolute_error": 0.5})
+    both = df.where(y.isNotNull() & p.isNotNull()).select(*keys, y.alias("__y"), p.alias("__p"))
+    for v in ("__y", "__p"):  # mean rank of equal values, per key
+        ranks = value_ranks(both.select(*keys, v), v, keys).select(*keys, v, (F.col("n_below") + (F.col("n_eq") + 1) / 2).alias(f"{v}r"))
+        both = both.join(ranks, [*keys, v])
+    rank = both.groupBy(*keys).agg(F.corr("__yr", "__pr").alias("spearman_correlation"))
     if keys:
-        return a.join(med, list(keys))
-    return a.withColumn("median_absolute_error", med.scalar())
+        return _per_key(_per_key(a, med, keys), rank, keys)
+    return a.withColumn("median_absolute_error", med.scalar()).withColumn("spearman_correlation", rank.scalar())
+
+
+def _per_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    r = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(r, [left[k].eqNullSafe(r[f"__k_{k}"]) for k in keys], "left").drop(*[f"__k_{k}" for k in keys])
 
 
 def roc_points(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataFrame:

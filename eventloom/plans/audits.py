@@ -12,6 +12,7 @@ from eventloom.operators import metrics as X
 from eventloom.operators import sampling as S
 from eventloom.operators.quantiles import exact_quantiles
 from eventloom.plans.registry import query, table
+from eventloom.session import pin
 
 c = F.col
 
@@ -67,7 +68,8 @@ def roc_curve_points(spark, sf):
     "regression_metrics",
     "M15",
     f"""WITH {PRED} SELECT model_name, set_name, round(sqrt(avg((y_num - p_num) ** 2)), 6) AS rmse, round(avg(abs(y_num - p_num)), 6) AS mae, round(1 - sum((y_num - p_num) ** 2) / (var_pop(y_num) * count(*)), 6) AS r2, round(corr(y_num, p_num), 6) AS pearson_correlation,
-    round(avg(abs(y_num - p_num) / abs(y_num)), 6) AS mape, round(median(abs(y_num - p_num)), 6) AS median_absolute_error FROM pred GROUP BY ALL""",
+    round(avg(abs(y_num - p_num) / abs(y_num)), 6) AS mape, round(median(abs(y_num - p_num)), 6) AS median_absolute_error, round(corr(ry, rp), 6) AS spearman_correlation FROM (SELECT *, rank() OVER (PARTITION BY model_name, set_name ORDER BY y_num) + (count(*) OVER (PARTITION BY model_name, set_name, y_num) - 1) / 2.0 AS ry,
+      rank() OVER (PARTITION BY model_name, set_name ORDER BY p_num) + (count(*) OVER (PARTITION BY model_name, set_name, p_num) - 1) / 2.0 AS rp FROM pred) GROUP BY model_name, set_name""",
 )
 def regression_metrics(spark, sf):
     m = X.regression_metrics(predictions(spark, sf), KEYS, "y_num", "p_num")
@@ -204,11 +206,16 @@ CATALOG = f"""{FRAME}, {FACTS}, {EXPECTED}, cat AS (SELECT coalesce(feature_grou
   WHERE NOT (feature_group IS NULL AND (feature LIKE 'present_%' OR feature IN {HIDDEN})))"""
 
 
-@query("feature_catalog", "M7 M27", f"WITH {CATALOG} SELECT * FROM cat")
+@query("feature_catalog", "M7", f"WITH {CATALOG} SELECT * FROM cat")
 def feature_catalog(spark, sf):
     return C.feature_catalog(modelling_frame(spark, sf)).withColumn("non_null_rate", r(c("non_null_rate")))
 
 
+@query("unavailable_features", "M7", f"WITH {CATALOG} SELECT * FROM cat WHERE NOT available")
+def unavailable_features(spark, sf):
+    return C.unavailable_features(C.feature_catalog(modelling_frame(spark, sf))).withColumn("non_null_rate", r(c("non_null_rate")))
+
+
 @query("feature_group_summary", "M7", f"WITH {CATALOG} SELECT feature_group, count(*) AS expected_features, count(*) FILTER (WHERE available) AS available_features, round(avg(non_null_rate), 5) AS mean_non_null_rate, count(*) FILTER (WHERE NOT available) AS missing_features FROM cat GROUP BY 1")
 def feature_group_summary(spark, sf):
     s = C.feature_group_summary(C.feature_catalog(modelling_frame(spark, sf)))
@@ -226,7 +233,8 @@ def _audit_sql(task):
 @query("leakage_audit", "M8", f"WITH {FRAME}, {FACTS}, {', '.join(_rules_sql(t) for t in C.TASK_REASONS)} " + " UNION ALL ".join(_audit_sql(t) for t in C.TASK_REASONS))
 def leakage_audit(spark, sf):
     f = modelling_frame(spark, sf)
-    parts = [C.leakage_audit(f, t).withColumn("task", F.lit(t)) for t in C.TASK_REASONS]
+    facts = pin(C.column_facts(f))  # one row per column, shared by the tasks
+    parts = [C.leakage_audit(f, t, facts).withColumn("task", F.lit(t)) for t in C.TASK_REASONS]
     return reduce(lambda a, b: a.unionByName(b), parts).withColumn("non_null_rate", r(c("non_null_rate")))
 
 

@@ -330,7 +330,7 @@ def markov_blanket(spark, sf):
     return Y.markov_blanket(edge_table(spark, sf))
 
 
-@query("cond_prob_table", "B7", f"WITH {DISC} SELECT precip, price_bin, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN avg(CAST(occurrence = 'yes' AS INTEGER)) END, 6) AS probability FROM disc GROUP BY 1, 2")
+@query("cond_prob_table", "B7", f"WITH {DISC} SELECT a.precip, b.price_bin, count(d.precip) AS n, round(CASE WHEN count(d.precip) >= 10 THEN avg(CAST(d.occurrence = 'yes' AS INTEGER)) END, 6) AS probability FROM (SELECT DISTINCT precip FROM disc) a, (SELECT DISTINCT price_bin FROM disc) b LEFT JOIN disc d ON d.precip = a.precip AND d.price_bin = b.price_bin GROUP BY 1, 2")
 def cond_prob_table(spark, sf):
     return Y.conditional_table(discrete(spark, sf), "occurrence", "precip", "price_bin").withColumn("probability", r(c("probability")))
 

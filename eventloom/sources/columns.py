@@ -23,12 +23,6 @@ def resolve_column(df: DataFrame, candidates: Sequence[str], required: bool = Tr
     return None
 
 
-def require_columns(df: DataFrame, names: Sequence[str]) -> None:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise KeyError(f"missing required columns: {missing}")
-
-
 def fill_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Add each column only when it is absent."""
     return df.withColumns({n: e for n, e in defaults.items() if n not in df.columns})

@@ -12,25 +12,6 @@ from eventloom.functions.units import safe_numeric
 from eventloom.operators.ordered import keep_first
 from eventloom.sources.columns import fill_columns
 
-# ---- fixed values: request columns asked for at the source ----
-REQUEST_COLUMNS = [
-    "unique_key",
-    "created_date",
-    "closed_date",
-    "agency",
-    "agency_name",
-    "complaint_type",
-    "descriptor",
-    "status",
-    "borough",
-    "incident_zip",
-    "incident_address",
-    "street_name",
-    "latitude",
-    "longitude",
-]
-# ---- end of fixed values ----
-
 
 def clean_requests(frame: DataFrame, order: Sequence[Column] | None = None, key: str = "unique_key") -> DataFrame:
     """Typed requests with a creation time and coordinates, one row per key (first in ``order``)."""
