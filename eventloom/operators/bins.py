@@ -20,15 +20,34 @@ def rank_bin(rank: Column, n: Column, q: Column) -> Column:
 def rank_bins(df: DataFrame, value: str, tie: Sequence[str], q: int, out: str = "bin") -> DataFrame:
     """Equal-frequency bins by order of value, ties broken by ``tie`` (which must make rows unique).
 
-    Null values get a null bin; fewer than two distinct values give no bin at all.
+    Only values are ranked; rows are ordered where equal values lie on both sides of an edge.  Null values get a null bin; fewer than two distinct values give no bin at all.
     """
-    valid = df.where(F.col(value).isNotNull())
-    ranked = global_row_number(valid, [value, *tie], "__rn")
-    info = ranked.agg(F.struct(F.count("*").alias("n"), F.count_distinct(value).alias("d"))).scalar()
-    ranked = ranked.withColumn("__i", info)
-    bin_ = F.when(F.col("__i.d") > 1, rank_bin(F.col("__rn"), F.col("__i.n"), F.least(F.lit(q), F.col("__i.d"))))
-    binned = ranked.withColumn(out, bin_).drop("__rn", "__i")
-    return binned.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("bigint")))
+    v = F.col(value)
+    ranks = value_ranks(df.select(value).where(v.isNotNull()), value)  # distinct values with the rows below and equal
+    n, d = ranks.agg(F.max("n_all"), F.count("*")).first()
+    if not n or d < 2:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
+    bin_of = lambda rank: rank_bin(rank, F.lit(n), F.lit(min(q, d)))
+    spans = ranks.select(v, "n_below", "n_eq", bin_of(F.col("n_below") + 1).alias("lo"), bin_of(F.col("n_below") + F.col("n_eq")).alias("hi"))
+    # at most q of each: the first value of every bin, and values whose equal rows lie in several bins
+    edges = spans.where("lo > 0").groupBy("lo").agg(F.min(value).alias("e")).collect()
+    cut = sorted((tuple(r) for r in spans.where("lo < hi").select(value, "n_below", "n_eq").collect()), key=lambda r: r[1])
+    steps = sorted((r["lo"], r["e"]) for r in edges)
+    levels = [0, *[lo for lo, _ in steps]]
+    by_value = F.lit(0).cast("bigint")
+    for before, (lo, e) in zip(levels, steps):
+        by_value = by_value + F.when(v >= F.lit(e), lo - before).otherwise(0)
+    whole = df.where(v.isNull() | ~v.isin([c[0] for c in cut])) if cut else df
+    binned = whole.withColumn(out, F.when(v.isNotNull(), by_value))
+    if not cut:
+        return binned
+    # rows of a cut value need their place among equals
+    placed = global_row_number(df.where(v.isin([c[0] for c in cut])), [value, *tie], "__rn")
+    shift, at = F.lit(0), 0
+    for x, below, equal in cut:
+        shift = F.when(v == F.lit(x), F.lit(below - at)).otherwise(shift)
+        at += equal
+    return binned.unionByName(placed.withColumn(out, bin_of(F.col("__rn") + shift)).drop("__rn"))
 
 
 def band_label(bin_: Column, prefix: str) -> Column:
