@@ -7,7 +7,6 @@ map-side by ``groupBy`` before they travel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -10,7 +10,6 @@ from eventloom.operators import bins as B
 from eventloom.operators import catalog as C
 from eventloom.operators import metrics as X
 from eventloom.operators import sampling as S
-from eventloom.operators.quantiles import exact_quantiles
 from eventloom.plans.registry import query, table
 from eventloom.session import pin
 

@@ -10,7 +10,6 @@ from eventloom.functions import labels as L
 from eventloom.functions import temporal as T
 from eventloom.functions import text as X
 from eventloom.functions import units as U
-from eventloom.operators.ordered import keep_first
 from eventloom.plans.registry import query, table
 
 c = F.col

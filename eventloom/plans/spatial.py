@@ -9,7 +9,6 @@ from eventloom.functions import labels as L
 from eventloom.functions.text import decimal_point
 from eventloom.functions.units import US_FT_TO_M
 from eventloom.operators import spatial as S
-from eventloom.operators.ordered import global_row_number
 from eventloom.plans.registry import query, table
 
 c = F.col
