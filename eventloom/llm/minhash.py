@@ -41,7 +41,7 @@ def word_numbers(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
     get = memo.get
     out = [get(w) for w in words]
     if None in out:
-        if len(memo) > 300_000:
+        if len(memo) > 120_000:
             memo.clear()
         for w in set(words):
             if w not in memo:

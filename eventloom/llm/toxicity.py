@@ -135,7 +135,7 @@ class Scorer:
             for w in word_set(t):
                 f = known.get(w)
                 if f is None:
-                    if len(known) > 300_000:
+                    if len(known) > 120_000:
                         known.clear()
                     f = known[w] = tuple(x for x in buckets_of(w) if x in of)
                 if f:
