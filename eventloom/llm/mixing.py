@@ -21,7 +21,7 @@ from eventloom.session import pin
 
 WEIGHTS = (1.0, 2.0, 3.0)
 LIMIT = 3.0
-ROWS_PER_CHUNK = 20_000
+ROWS_PER_CHUNK = 2_000
 
 
 def words(text: Column) -> Column:
