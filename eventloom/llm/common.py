@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
+BATCH_ROWS = 2_000
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -23,10 +24,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package from any working folder."""
+    """``mapInArrow`` whose workers find this package from any working folder.
+
+    Lowers the session's rows per Arrow batch to ``BATCH_ROWS`` where it is higher."""
     env = df.sparkSession.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    # whole texts travel: smaller batches than the default keep the buffers on both sides small
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 
@@ -57,20 +63,14 @@ def is_held_out(doc_id, folds: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
-def digest_ids(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
-
-
-def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    from eventloom.session import path_exists
-
-    return spark.read.parquet(path) if path_exists(spark, path) else None
-
-
 #: ASCII but for white space other than the blank and the line feed, and the Latin letters up to U+00FF.
 LATIN = bytes(c for c in range(1, 256) if c == 10 or (c < 128 and not 9 <= c <= 13) or (c >= 0xC0 and c not in (0xD7, 0xF7)))
 
 
+#: Signs that stand alone behind a word; apostrophes are left to the pattern.
+MARKS = tuple("!#$%&()*+,-./:;<=>?@")
+
+
 @contextmanager
 def paused_gc():
     """Many small containers live at once here and none is part of a cycle."""
@@ -97,20 +97,19 @@ class WordTokenizer:
     Unicode version changed, at pre-tokens.  Only pieces not met before go to the library; any other text goes there whole.
     """
 
-    LIMIT = 400_000  # entries of a generation of a memo; words not met again go with the old one, which changes nothing but speed
+    LIMIT = 200_000  # entries of a generation of a memo; words not met again go with the old one, which changes nothing but speed
 
     def __init__(self, path: str):
-        import re
-
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # a byte-level token spells each of its bytes as one character
+        self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], dtype=np.int64)
         space = r"\t-\r \x85\xa0"
         self.cut = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         self.low = regex.compile("[\x00-\u024f]*").fullmatch
-        self.worded = re.compile(" [^\\W\\d_]+").fullmatch
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -140,6 +139,10 @@ class WordTokenizer:
             get = self.words.__getitem__
             return [self.special(t) if i is None else b"".join([get(w) if x is None else x for w, x in zip(c, i)] if None in i else i) for t, c, i in zip(texts, cuts, found)]
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the younger words only."""
+        self.old = {}
+
     def simple(self, text: str) -> bool:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return False
@@ -154,7 +157,7 @@ class WordTokenizer:
         if not self.low(text):
             return self.whole(text)
         cut = self.cut(text)
-        self.learn(set(cut))
+        self.learn(set(), set(cut))
         return b"".join([self.parts[p] for p in cut])
 
     def meet(self, words: set[str]) -> None:
@@ -162,29 +165,43 @@ class WordTokenizer:
         for w in words:
             if (ids := known(w)) is not None:
                 self.words[w] = ids
-        cuts = [(w, self.cut(w[1:] if w[:1] == "\0" else w if w == "\n" else " " + w)) for w in words if w not in self.words]
-        self.learn({p for _, cut in cuts for p in cut})
+        cuts, blank, other = [], set(), set()
+        for w in words:
+            if w in self.words:
+                continue
+            if w.isalpha():
+                cut = (" " + w,)
+                blank.add(cut[0])
+            elif w[-1:] in MARKS and w[:-1].isalpha():
+                cut = (" " + w[:-1], w[-1])
+                blank.add(cut[0])
+                other.add(cut[1])
+            else:
+                cut = self.cut(w[1:] if w[:1] == "\0" else w if w == "\n" else " " + w)
+                other.update(cut)
+            cuts.append((w, cut))
+        self.learn(blank, other)
         parts = self.parts
         for w, cut in cuts:
-            self.words[w] = b"".join([parts[p] for p in cut])
+            self.words[w] = parts[cut[0]] if len(cut) == 1 else b"".join([parts[p] for p in cut])
 
-    def learn(self, parts: set[str]) -> None:
-        """Fill the memo for ``parts``.  Parts of a blank and letters are cut again at the blanks, so they may be joined."""
+    def learn(self, blank: set[str], other: set[str]) -> None:
+        """Fill the memo for pre-tokens.  Those in ``blank``, a blank and letters, are cut again at the blanks if joined; where
+        one ends follows from the bytes its ids stand for."""
         if len(self.parts) > 2 * self.LIMIT:
             self.parts = {}
-        new = parts.difference(self.parts)
-        blank = [p for p in new if self.worded(p)]
-        other = [p for p in new if not self.worded(p)]
-        for group, given in ((blank, "".join(blank)), (other, other)):
-            if not group:
-                continue
-            e = self.library.encode(given, is_pretokenized=group is other, add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            ends = (np.searchsorted(np.array(e.word_ids), np.arange(len(group)), side="right") * 4).tolist()
-            at = 0
-            for p, end in zip(group, ends):
-                self.parts[p] = ids[at:end]
+        group = list(blank.difference(self.parts))
+        if group:
+            ids = np.array(self.library.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
+            bytes_of = np.fromiter(map(len, map(str.encode, group)), np.int64, len(group))
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(bytes_of)) + 1
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(group, (ends * 4).tolist()):
+                self.parts[p] = raw[at:end]
                 at = end
+        group = list(other.difference(self.parts))
+        for p, e in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False)):
+            self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
 
 
 def byte_bpe() -> str:

@@ -2,7 +2,7 @@
 
 The token stream of a partition, in document order, is cut into sequences of at most ``capacity`` tokens.  Cuts may fall at
 document ends (free), sentence ends (``sentence_cost``) and, where sentences are long, inside them (``inner_cost``); a
-sequence costs its padding (none when its length is a power of two) plus ``sequence_cost``.  The cheapest series of cuts is a
+sequence costs its padding (none when its length is a power of two from 64 on) plus ``sequence_cost``.  The cheapest series of cuts is a
 shortest path whose transitions read a sliding-window minimum, kept in a monotone queue.
 
 Range partitions follow the document order and are worked through in windows of ``window`` tokens; the last, open sequence
@@ -14,6 +14,8 @@ documents, ordered by a hash of the text; rows repeated whole are interchangeabl
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,11 +43,11 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, grai
     return pos, pen
 
 
-def best_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int, sequence_cost: float) -> list[int]:
-    """Positions of the cheapest cuts, first and last included."""
+def best_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int, sequence_cost: float, shortest: int = 64) -> list[int]:
+    """Positions of the cheapest cuts, first and last included; unpadded powers of two are used from ``shortest`` tokens on."""
     m = len(pos) - 1
     exact: dict[int, list[int]] = {}
-    k = 1
+    k = shortest
     while k < capacity:
         i = np.searchsorted(pos, pos - k)
         for j in np.flatnonzero((pos[np.minimum(i, m)] == pos - k) & (pos >= k)).tolist():
@@ -77,6 +79,7 @@ def best_cuts(pos: np.ndarray, pen: np.ndarray, capacity: int, sequence_cost: fl
     return cuts[::-1]
 
 
+@lru_cache(maxsize=4)
 def sentence_ends(path: str) -> np.ndarray:
     """For each id, whether its token ends a sentence or a line."""
     library = word_tokenizer(path).library
@@ -127,6 +130,7 @@ def _packer(path: str, capacity: int, window: int, grain: int, sentence_cost: fl
                     yield from close(False)
         if held:
             yield from close(True)
+        tokenizer.rest()
 
     return run
 

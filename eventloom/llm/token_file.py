@@ -63,6 +63,7 @@ def _tokens(path: str):
             kept = [(i.astype("<u2") if narrow else i).tobytes() for i in ids]
             cols = [b.column("doc_id"), pa.array(np.full(len(ids), part)), pa.array(before), pa.array(n), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "before", "n", "ids"])
+        tokenizer.rest()
 
     return run
 

@@ -163,7 +163,7 @@ def test_best_cuts_equal_brute_force():
         pad = lambda n: 0 if n & (n - 1) == 0 else 40 - n
         for j in range(1, len(pos)):
             best[j] = min(best[i] + pad(int(pos[j] - pos[i])) + pen[j] + 8 for i in range(j) if pos[j] - pos[i] <= 40)
-        cuts = packing.best_cuts(pos, pen, 40, 8.0)
+        cuts = packing.best_cuts(pos, pen, 40, 8.0, 1)
         cost = dict(zip(pos.tolist(), pen.tolist()))
         assert math.isclose(sum(pad(b - a) + cost[b] + 8 for a, b in zip(cuts, cuts[1:])), best[-1])
 
