@@ -302,6 +302,31 @@ def test_toxicity_learns_and_marks_held_out_rows(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, blank)).collect()} == {1 / (1 + math.exp(40))}
 
 
+def test_toxicity_finds_hidden_positives(spark):
+    """Few toxic texts are labelled, others hide among the labels of 0 and among texts without a label."""
+    import random
+
+    rng = random.Random(2)
+    rows, labels, truth = [], [], {}
+    for i in range(2400):
+        truth[i] = int(rng.random() < 0.2)
+        words = [rng.choice("alpha beta gamma delta eta theta iota".split()) for _ in range(30)]
+        if truth[i]:
+            words[rng.randrange(30)] = rng.choice(["vile", "nasty"])
+        rows.append((i, " ".join(words)))
+        if i < 800:
+            labels.append((i, truth[i] if rng.random() < 0.3 else 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    sample, _ = toxicity.sampled_ids(docs, marks)
+    got = {r.doc_id: (r.p, r.u) for r in sample.collect()}
+    marked = dict(labels)
+    free = lambda i: zlib.crc32(str(i).encode()) % toxicity.FOLDS != 0
+    assert got == {i: (0, 1) if i not in marked else (1, 0) for i in truth if free(i) and marked.get(i) != 0}
+    scores = toxicity.score(docs, toxicity.train(docs, marks, prior=0.2)).collect()
+    assert sum((r.score >= 0.5) == truth[r.doc_id] for r in scores) >= 2380
+
+
 def test_non_negative_step_keeps_hidden_positives():
     rows = [np.array([0]) if i < 30 else np.array([1]) for i in range(100)]
     w = toxicity.fit_nnpu(rows, np.arange(100) < 10, 0.3, 2)
