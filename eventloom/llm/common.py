@@ -94,7 +94,8 @@ class WordTokenizer:
     Byte-level BPE never merges across the pre-tokens its pattern cuts, so the ids of a text are the ids of its pre-tokens
     one after another, and a single blank between two words always starts a pre-token.  Texts of ASCII and Latin-1 letters
     without doubled blanks are cut at blanks and line ends; other texts made of characters up to U+024F, whose classes no
-    Unicode version changed, at pre-tokens.  Only pieces not met before go to the library; any other text goes there whole.
+    Unicode version changed, at pre-tokens.  Only pieces not met before go to the library; any other text goes there whole, as
+    does a text that holds an added token such as ``<|endoftext|>``, which the library finds before it cuts.
     """
 
     LIMIT = 200_000  # entries of a generation of a memo; words not met again go with the old one, which changes nothing but speed
@@ -104,7 +105,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         # a byte-level token spells each of its bytes as one character
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], dtype=np.int64)
         space = r"\t-\r \x85\xa0"
@@ -125,7 +126,7 @@ class WordTokenizer:
                 self.words, self.old = {}, self.words
             get = self.words.get
             for t in texts:
-                if t and self.simple(t):
+                if t and not self.marked(t) and self.simple(t):
                     cut = ("\0" + t.replace("\n", " \n \0")).split(" ")  # \0 marks a word without a blank before it
                     ids = list(map(get, cut))
                     if None in ids:
@@ -143,6 +144,9 @@ class WordTokenizer:
         """Between tasks a worker keeps the younger words only."""
         self.old = {}
 
+    def marked(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
     def simple(self, text: str) -> bool:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return False
@@ -154,7 +158,7 @@ class WordTokenizer:
     def special(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.low(text):
+        if self.marked(text) or not self.low(text):
             return self.whole(text)
         cut = self.cut(text)
         self.learn(set(), set(cut))

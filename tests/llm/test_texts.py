@@ -48,6 +48,16 @@ def test_tokenizer_memo_equals_library():
         assert np.frombuffer(ids, dtype="<u4").tolist() == plain_ids(text)[:-1]
 
 
+def test_added_tokens_as_in_a_fresh_library():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(byte_bpe())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "l'été  <|endoftext|>\n", "漢 <|endoftext|> 字", "<|endoftext", "|>", "a b"]
+    for text, ids in zip(texts * 2, WordTokenizer(byte_bpe()).encode_all(texts * 2)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert 50256 in fresh.encode(texts[0], add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("block", [8, 16_384])
 def test_exact_classes(docs, rows, block):
     got = exact_dedup.exact_classes(docs, block).collect()
