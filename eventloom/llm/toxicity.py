@@ -13,7 +13,8 @@ feature weights and the sample's sparse rows, both bounded.
 Defined cases: a null or empty text has no feature and gets the score of the intercept.  Null labels and null ids are never
 trained on.  A document with several labels is toxic if one says so.  Without a positive, or without labels, every score is the
 prior (0 without labels).  Where fewer documents lack a label than are positive, labelled documents join the mixture with their
-labels hidden; with every document labelled the fit is that of plain logistic regression.  Rows that repeat an id are scored one by one.  An empty table gives an empty result.
+labels hidden; with every document labelled the fit is that of plain logistic regression.  Rows that repeat an id are scored one by one; the
+fit takes one of them, the text first by hash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_rows: int
     """``(feature buckets ascending, weights, intercept)`` learnt from positives and unlabelled texts outside the held-out fold."""
     sample, share = sampled_ids(docs, labels, folds, max_rows)
     prior = share if prior is None else prior
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("p", "u", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "p", "u").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("p", "u", "text")  # one row per sampled id
     rows = arrow_map(texts, _features, "p int, u int, f array<int>").persist()
     try:
         n_p, n_u = rows.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("u"), F.lit(0))).first()

@@ -337,6 +337,17 @@ def test_toxicity_finds_hidden_positives(spark):
     assert sum((r.score >= 0.5) == truth[r.doc_id] for r in scores) >= 2380
 
 
+def test_toxicity_fits_on_one_row_per_id(spark, monkeypatch):
+    seen = []
+    fit = toxicity._fit_local
+    monkeypatch.setattr(toxicity, "_fit_local", lambda sample, keep, prior: seen.extend(sample) or fit(sample, keep, prior))
+    rows = [(i, "vile words" if i % 4 == 0 else "plain words") for i in range(80)] + [(i, f"repeated {k % 3}") for k in range(300) for i in (8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40) if i != 9], "doc_id bigint, toxic int")
+    toxicity.train(docs, marks)
+    assert 0 < len(seen) == toxicity.sampled_ids(docs, marks)[0].count() <= 80
+
+
 def test_non_negative_step_keeps_hidden_positives():
     rows = [np.array([0]) if i < 30 else np.array([1]) for i in range(100)]
     w = toxicity.fit_nnpu(rows, np.arange(100) < 10, 0.3, 2)
