@@ -1,4 +1,4 @@
-"""The ten operators applied to whole tables, one query each, and their DuckDB SQL where SQL can express the result."""
+"""The operators applied to whole tables, one query each, and their DuckDB SQL where SQL can express the result."""
 
 from __future__ import annotations
 
@@ -120,3 +120,37 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, scratch_path(spark, "plain"))
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+#: crc32 in SQL: the table of the reflected polynomial, then one list reduction over the bytes of a text.
+CRC_TABLE = """z(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM z WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM z WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, with ``crc`` of ``CRC_TABLE`` in the FROM clause."""
+    octets = f"list_transform(range(1, 2 * strlen({text}) + 1, 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295)"
+
+
+def words_sql(table: str) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"(SELECT *, row_number() OVER () AS r, list_filter(string_split_regex({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM {table})"
+
+
+@query("op11_resampling", rf"""
+WITH RECURSIVE {CRC_TABLE},
+d AS MATERIALIZED {words_sql("documents")}, b AS MATERIALIZED {words_sql("benchmark")},
+x AS MATERIALIZED (SELECT r, unnest(w) AS w FROM d), y AS (SELECT unnest(w) AS w FROM b),
+v AS MATERIALIZED (SELECT w, {crc32_sql("w")} % 10000 AS k FROM (SELECT w FROM x UNION SELECT w FROM y), crc),
+s AS (SELECT k, count(*) AS n FROM x JOIN v USING (w) GROUP BY k), t AS (SELECT k, count(*) AS n FROM y JOIN v USING (w) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT sum(n) FROM s) + 10000.0::DOUBLE) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT sum(n) FROM t) + 10000.0::DOUBLE))))::BIGINT AS g FROM s LEFT JOIN t USING (k)),
+m AS (SELECT r, count(*) AS n, sum(g)::DOUBLE AS g FROM x JOIN v USING (w) JOIN g USING (k) GROUP BY r),
+u AS (SELECT doc_id, len(w) AS n, coalesce(floor(m.g / m.n), 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+c AS MATERIALIZED (SELECT doc_id, n::BIGINT AS n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM u),
+e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM c WHERE n_features >= 20)
+SELECT c.*, CASE WHEN rank <= 10 * (SELECT count(*) FROM e) // 100 THEN rank END AS rank FROM c LEFT JOIN e USING (doc_id)""")
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.resampling import draw
+
+    return draw(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
