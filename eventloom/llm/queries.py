@@ -154,3 +154,24 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.resampling import draw
 
     return draw(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op12_spelling_variants", rf"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+a AS MATERIALIZED (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM d GROUP BY ALL),
+h AS (SELECT w, n, {crc32_sql("(doc_id || ':' || w)")} AS h FROM a, crc),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS w, sum(n)::BIGINT AS n FROM h GROUP BY 1),
+v AS MATERIALIZED (SELECT w, n FROM c WHERE n >= 3 AND length(w) >= 5),
+k AS MATERIALIZED (SELECT w, n, i, left(w, i - 1) AS p, substr(w, i + 1) AS s FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v)),
+e AS MATERIALIZED (SELECT x.w AS a, y.w AS b, y.n AS n FROM k x JOIN k y ON x.p = y.p AND x.s = y.s AND x.w <> y.w
+  UNION SELECT k.w, v.w, v.n FROM k JOIN v ON v.w = p || s UNION SELECT v.w, k.w, k.n FROM k JOIN v ON v.w = p || s),
+m AS (SELECT a, count(*) AS n_near, max(n) AS top FROM e GROUP BY a),
+f AS MATERIALIZED (SELECT v.w, v.n, n_near, min(e.b) FILTER (e.n = top AND top >= 2 * v.n) AS form, max(top) FILTER (top >= 2 * v.n) AS form_n
+  FROM v LEFT JOIN m ON m.a = v.w LEFT JOIN e ON e.a = v.w GROUP BY ALL),
+r(w, root) AS (SELECT w, w FROM f WHERE form IS NULL UNION ALL SELECT f.w, r.root FROM r JOIN f ON f.form = r.w)
+SELECT f.w AS word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM f JOIN r USING (w)""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.spelling import variants
+
+    return variants(documents(spark, sf_dir))
