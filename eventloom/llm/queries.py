@@ -175,3 +175,19 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.spelling import variants
 
     return variants(documents(spark, sf_dir))
+
+
+@query("op13_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, strlen(html)::BIGINT AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS o FROM p)
+SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((('0x' || substr(h, 10 * (i // 8) + 1, 10))::BIGINT >> (5 * (7 - i % 8))::BIGINT) & 31) + 1), 1)), 'string_agg', '') AS payload_digest,
+CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> o THEN o END AS refers_to FROM s""")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.warc import read_records, write_archive
+    from eventloom.session import scratch_path
+
+    path = scratch_path(spark, "archive")
+    write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    number = lambda c: F.col(c).cast("bigint").alias(c)
+    return read_records(spark, path).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))

@@ -64,4 +64,4 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11)) and len(QUERIES) == 10
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14)) and len(QUERIES) == 13
