@@ -43,6 +43,17 @@ def slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def sized(batches, column: int, size: int = 6 << 20):
+    """Pieces of Arrow batches whose texts in ``column`` are together about ``size`` bytes at most, or one row if that has more."""
+    for batch in batches:
+        ends = flat(batch.column(column))[1]
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(ends, ends[at] + size, "right")) - 1, at + 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def raw(column) -> list:
     """An Arrow string column as a list of UTF-8 bytes; null is empty."""
     import pyarrow as pa
@@ -63,12 +74,36 @@ def is_held_out(doc_id, folds: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
-#: ASCII but for white space other than the blank and the line feed, and the Latin letters up to U+00FF.
-LATIN = bytes(c for c in range(1, 256) if c == 10 or (c < 128 and not 9 <= c <= 13) or (c >= 0xC0 and c not in (0xD7, 0xF7)))
+#: Classes of the bytes of ASCII and Latin-1 letters: blank, other white space, letter, digit, any other sign.
+BLANK, WHITE, LETTER, DIGIT, SIGN = range(5)
+CLASSES = np.array(
+    [BLANK if c == 32 else WHITE if 9 <= c <= 13 else DIGIT if 48 <= c <= 57 else LETTER if c >= 128 or chr(c).isalpha() else SIGN for c in range(256)],
+    dtype=np.uint8,
+)
+#: Lead bytes of characters outside ASCII and U+00C0 to U+00FF.
+FOREIGN = np.array([c >= 0xC2 and c != 0xC3 for c in range(256)])
+
+
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values of an Arrow string or binary column, and the offsets of its values in them; null is empty."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
 
+def binary_column(values: np.ndarray, ends: np.ndarray):
+    """An Arrow binary column whose values lie one after another in the array ``values`` and end at its elements ``ends``."""
+    import pyarrow as pa
 
-#: Signs that stand alone behind a word; apostrophes are left to the pattern.
-MARKS = tuple("!#$%&()*+,-./:;<=>?@")
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * values.itemsize
+    whole = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    return whole.cast(pa.binary())
 
 
 @contextmanager
@@ -89,16 +124,18 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 class WordTokenizer:
-    """Byte-level BPE of the tokenizers library with a memo of words and pre-tokens.
-
-    Byte-level BPE never merges across the pre-tokens its pattern cuts, so the ids of a text are the ids of its pre-tokens
-    one after another, and a single blank between two words always starts a pre-token.  Texts of ASCII and Latin-1 letters
-    without doubled blanks are cut at blanks and line ends; other texts made of characters up to U+024F, whose classes no
-    Unicode version changed, at pre-tokens.  Only pieces not met before go to the library; any other text goes there whole, as
-    does a text that holds an added token such as ``<|endoftext|>``, which the library finds before it cuts.
+    """Byte-level BPE of the tokenizers library with a memo of pre-tokens.
+
+    Byte-level BPE never merges across the pre-tokens its pattern cuts, so the ids of a text are the ids of its pre-tokens one
+    after another.  Texts of ASCII and Latin-1 letters are cut by array comparisons of neighbouring bytes' classes, all texts of a
+    batch at once; Arrow reduces a batch's pre-tokens to its distinct ones, the memo and the library see only those, and the
+    ids are gathered by offsets.  Texts made of other characters up to U+024F, whose classes no Unicode version changed, are
+    cut by the pattern; any other text goes to the library whole, as does a text that holds an added token such as
+    ``<|endoftext|>``, which the library finds before it cuts.
     """
 
-    LIMIT = 200_000  # entries of a generation of a memo; words not met again go with the old one, which changes nothing but speed
+    LIMIT = 1_000_000  # pre-tokens of the memo; beyond it those met in one batch only go, which changes nothing but speed
+    CHUNK = 1_000_000  # pre-tokens whose ids are gathered at a time
 
     def __init__(self, path: str):
         import regex
@@ -111,101 +148,185 @@ class WordTokenizer:
         space = r"\t-\r \x85\xa0"
         self.cut = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         self.low = regex.compile("[\x00-\u024f]*").fullmatch
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.place: dict[bytes, int] = {}  # number of a pre-token in the arrays below
+        self.ids = np.zeros(0, np.uint32)
+        self.first = self.count = self.hits = np.zeros(0, np.int64)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def encode_all(self, texts: list) -> list[bytes]:
         """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+        import pyarrow as pa
+
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        cuts = [0, *ends.tolist()]
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def encode_column(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow string column one after another, and where each text's ids end; null is empty."""
+        data, offsets = flat(column)
+        rows = len(offsets) - 1
+        odd = np.zeros(rows, dtype=bool)
+        odd[np.searchsorted(offsets, np.flatnonzero(FOREIGN[data]), "right") - 1] = True
+        for mark in self.added:
+            if data.tobytes().find(mark.encode()) >= 0:
+                odd |= np.array([mark in (t or "") for t in column.to_pylist()], dtype=bool)
+        starts = np.flatnonzero(pre_token_starts(data, offsets))
+        edges = np.append(starts, len(data))
+        of_row = np.searchsorted(starts, offsets)
+        counts = np.zeros(len(starts) + 1, np.int64)
+        parts = []
         with paused_gc():
-            cuts, found, new = [], [], set()
-            if len(self.words) > self.LIMIT:
-                self.words, self.old = {}, self.words
-            get = self.words.get
-            for t in texts:
-                if t and not self.marked(t) and self.simple(t):
-                    cut = ("\0" + t.replace("\n", " \n \0")).split(" ")  # \0 marks a word without a blank before it
-                    ids = list(map(get, cut))
-                    if None in ids:
-                        new.update([w for w, i in zip(cut, ids) if i is None])
-                    cuts.append(cut)
-                    found.append(ids)
-                else:
-                    cuts.append(None)
-                    found.append(None)
-            self.meet(new)
-            get = self.words.__getitem__
-            return [self.special(t) if i is None else b"".join([get(w) if x is None else x for w, x in zip(c, i)] if None in i else i) for t, c, i in zip(texts, cuts, found)]
-
-    def rest(self) -> None:
-        """Between tasks a worker keeps the younger words only."""
-        self.old = {}
-
-    def marked(self, text: str) -> bool:
-        return any(a in text for a in self.added)
-
-    def simple(self, text: str) -> bool:
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return False
-        try:
-            return not text.encode("latin-1").translate(None, LATIN)
-        except UnicodeEncodeError:
-            return False
-
-    def special(self, text: str | None) -> bytes:
+            for at in range(0, len(starts), self.CHUNK):
+                some = edges[at : at + self.CHUNK + 1]
+                ids, n = self.look_up(data, some, self.usable(odd, of_row, at, len(some) - 1))
+                parts.append(ids)
+                counts[at + 1 : at + len(some)] = n
+        ids = np.concatenate(parts) if len(parts) != 1 else parts[0] if parts else np.zeros(0, np.uint32)
+        ends = np.cumsum(counts)[of_row]
+        if not odd.any():
+            return ids, ends[1:]
+        pieces, sizes = [], np.diff(ends)
+        for r in range(rows):
+            if odd[r]:
+                own = self.special(column[r].as_py())
+                sizes[r] = len(own)
+                pieces.append(own)
+            else:
+                pieces.append(ids[ends[r] : ends[r + 1]])
+        return np.concatenate(pieces), np.cumsum(sizes)
+
+    @staticmethod
+    def usable(odd: np.ndarray, of_row: np.ndarray, at: int, n: int) -> np.ndarray | None:
+        """Which of the pre-tokens ``at`` to ``at + n`` lie in texts cut by bytes; None for all of them."""
+        if not odd.any():
+            return None
+        return ~np.repeat(odd, np.diff(of_row))[at : at + n]
+
+    def look_up(self, data: np.ndarray, edges: np.ndarray, usable: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens between ``edges``, and how many each has; none for those not usable."""
+        import pyarrow as pa
+
+        n = len(edges) - 1
+        low = edges[0] if n else 0
+        spans = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((edges - low).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[low : edges[-1]]))])
+        if usable is not None:
+            spans = spans.filter(pa.array(usable))
+        coded = spans.dictionary_encode()
+        place = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        found = self.count[place]
+        ids = self.gather(place, found)
+        if usable is None:
+            return ids, found
+        counts = np.zeros(n, np.int64)
+        counts[usable] = found
+        return ids, counts
+
+    def gather(self, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(self.first[place] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def places(self, tokens: list[bytes]) -> np.ndarray:
+        """Numbers of distinct pre-tokens; those not met before are learnt."""
+        if len(self.place) > self.LIMIT:
+            self.forget()
+        get = self.place.get
+        found = list(map(get, tokens))
+        if None in found:
+            self.learn([t for t, f in zip(tokens, found) if f is None])
+            found = list(map(get, tokens))
+        out = np.array(found, dtype=np.int64)
+        self.hits[out] += 1
+        return out
+
+    def forget(self) -> None:
+        """Keep pre-tokens met again since the last time, or none if those are too many."""
+        keep = self.hits > 1
+        if keep.sum() > self.LIMIT // 2:
+            keep[:] = False
+        old = np.flatnonzero(keep)
+        new = np.cumsum(keep) - 1
+        self.place = {t: int(new[i]) for t, i in self.place.items() if keep[i]}
+        count = self.count[old]
+        self.ids = self.gather(old, count)
+        self.count, self.hits = count, np.zeros(len(old), np.int64)
+        self.first = np.cumsum(count) - count
+
+    def learn(self, tokens: list[bytes]) -> None:
+        """Add pre-tokens to the memo.  All but white space go to the library as one text: those with a blank first one after another,
+        before each of the others a line end; where each one's ids end follows from the bytes they stand for."""
+        alone = [t for t in tokens if not t.decode().strip()]
+        lone = set(alone)
+        joined = [t for t in tokens if t[0] == 32 and t not in lone]
+        lined = [t for t in tokens if t[0] != 32 and t not in lone]
+        order, ids, count = joined + lined + alone, [], []
+        if joined or lined:
+            text = b"".join(joined) + b"".join([b"\n" + t for t in lined])
+            found = np.array(self.library.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            width = np.fromiter(map(len, joined + lined), np.int64, len(joined) + len(lined))
+            ends = np.cumsum(width)
+            ends[len(joined) :] += np.arange(1, len(lined) + 1)
+            at = np.concatenate([[0], np.cumsum(self.width[found])])
+            first, last = np.searchsorted(at, ends - width), np.searchsorted(at, ends)
+            if not (np.array_equal(at[first], ends - width) and np.array_equal(at[last], ends)):
+                raise ValueError("the tokenizer's ids do not end where its pre-tokens do")
+            ids.append(np.delete(found, first[len(joined) :] - 1))
+            count.append(last - first)
+        for t in alone:
+            ids.append(self.whole(t.decode()))
+            count.append(np.array([len(ids[-1])]))
+        n = len(self.count)
+        self.place.update(zip(order, range(n, n + len(order))))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.count = np.concatenate([self.count, *count]).astype(np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.hits = np.concatenate([self.hits, np.zeros(len(order), np.int64)])
+
+    def special(self, text: str | None) -> np.ndarray:
         if not text:
-            return b""
-        if self.marked(text) or not self.low(text):
+            return np.zeros(0, np.uint32)
+        if any(a in text for a in self.added) or not self.low(text):
             return self.whole(text)
-        cut = self.cut(text)
-        self.learn(set(), set(cut))
-        return b"".join([self.parts[p] for p in cut])
-
-    def meet(self, words: set[str]) -> None:
-        known = self.old.get
-        for w in words:
-            if (ids := known(w)) is not None:
-                self.words[w] = ids
-        cuts, blank, other = [], set(), set()
-        for w in words:
-            if w in self.words:
-                continue
-            if w.isalpha():
-                cut = (" " + w,)
-                blank.add(cut[0])
-            elif w[-1:] in MARKS and w[:-1].isalpha():
-                cut = (" " + w[:-1], w[-1])
-                blank.add(cut[0])
-                other.add(cut[1])
-            else:
-                cut = self.cut(w[1:] if w[:1] == "\0" else w if w == "\n" else " " + w)
-                other.update(cut)
-            cuts.append((w, cut))
-        self.learn(blank, other)
-        parts = self.parts
-        for w, cut in cuts:
-            self.words[w] = parts[cut[0]] if len(cut) == 1 else b"".join([parts[p] for p in cut])
-
-    def learn(self, blank: set[str], other: set[str]) -> None:
-        """Fill the memo for pre-tokens.  Those in ``blank``, a blank and letters, are cut again at the blanks if joined; where
-        one ends follows from the bytes its ids stand for."""
-        if len(self.parts) > 2 * self.LIMIT:
-            self.parts = {}
-        group = list(blank.difference(self.parts))
-        if group:
-            ids = np.array(self.library.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
-            bytes_of = np.fromiter(map(len, map(str.encode, group)), np.int64, len(group))
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(bytes_of)) + 1
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(group, (ends * 4).tolist()):
-                self.parts[p] = raw[at:end]
-                at = end
-        group = list(other.difference(self.parts))
-        for p, e in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False)):
-            self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
+        cut = [p.encode() for p in self.cut(text)]
+        distinct = list(dict.fromkeys(cut))
+        number = dict(zip(distinct, self.places(distinct).tolist()))
+        place = np.array([number[p] for p in cut], dtype=np.int64)
+        return self.gather(place, self.count[place])
+
+
+def pre_token_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of texts of ASCII and Latin-1 letters begin.
+
+    A sign run, letter run or digit run takes one blank before it; of white space before other signs the last character stands
+    apart from the rest; an apostrophe that no sign or blank precedes takes the ending of a contraction with it."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, dtype=bool)
+    kind = CLASSES[data]
+    times = np.flatnonzero(data == 0xC3)  # the two signs among the Latin-1 letters
+    times = times[np.isin(data[np.minimum(times + 1, n - 1)], (0x97, 0xB7))]
+    kind[times], kind[np.minimum(times + 1, n - 1)] = SIGN, SIGN
+    white = kind <= WHITE
+    begin = np.zeros(n + 1, dtype=bool)
+    begin[offsets[:-1]] = True
+    starts = begin[:n].copy()
+    before, here = white[:-1], white[1:]
+    starts[1:] |= np.where(here, ~before, np.where(before, kind[:-1] == WHITE, kind[1:] != kind[:-1]))
+    starts[:-1] |= before & ~here & ~begin[1:n]
+    marks = np.flatnonzero(data == 39)
+    marks = marks[starts[marks]]
+    if len(marks):
+        end = offsets[np.searchsorted(offsets, marks, "right")]
+        near = lambda k: np.where(marks + k < end, data[np.minimum(marks + k, n - 1)], 0)
+        one, two = near(1), near(2)
+        short = np.isin(one, list(b"stmd"))
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        marks, size = marks[short | long], np.where(short, 2, 3)[short | long]
+        starts[marks + 1] = False
+        after = marks + size
+        starts[after[after < n]] = True
+    return starts
 
 
 def byte_bpe() -> str:

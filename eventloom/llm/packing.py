@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import arrow_map, byte_bpe, slices, word_tokenizer
+from eventloom.llm.common import arrow_map, byte_bpe, sized, word_tokenizer
 
 CAPACITY = 1024
 END_ID = 0
@@ -121,16 +121,17 @@ def _packer(path: str, capacity: int, window: int, grain: int, sentence_cost: fl
             for at in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + 4096]), kinds)], names=names)
 
-        for b in slices(batches):
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), tokenizer.encode_all(b.column("text").to_pylist())):
-                ids = np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(END_ID))
-                held.append((doc_id, len(ids), 0, ids))
-                size += len(ids)
+        for b in sized(batches, 1):
+            ids, ends = tokenizer.encode_column(b.column("text"))
+            ids = np.insert(ids, ends, np.uint32(END_ID)).astype("<u4")
+            ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+            for doc_id, first, end in zip(b.column("doc_id").to_pylist(), [0, *ends], ends):
+                held.append((doc_id, end - first, 0, ids[first:end].copy()))
+                size += end - first
                 if size >= window:
                     yield from close(False)
         if held:
             yield from close(True)
-        tokenizer.rest()
 
     return run
 

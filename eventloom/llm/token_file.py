@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import arrow_map, byte_bpe, slices, word_tokenizer
+from eventloom.llm.common import arrow_map, binary_column, byte_bpe, flat, sized, word_tokenizer
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
@@ -49,67 +49,76 @@ def unpack_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def _tokens(path: str):
+def _tokens(path: str, kind: str):
     def run(batches):
         import pyarrow as pa
 
         tokenizer, part, at = word_tokenizer(path), TaskContext.get().partitionId(), 0
-        narrow = tokenizer.library.get_vocab_size() <= 1 << 16
-        for b in slices(batches):
-            ids = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(END_ID)) for x in tokenizer.encode_all(b.column("text").to_pylist())]
-            n = np.array([len(i) for i in ids], dtype=np.int64)
+        for b in sized(batches, 1):
+            ids, ends = tokenizer.encode_column(b.column("text"))
+            ids = np.insert(ids, ends, np.uint32(END_ID)).astype(kind)
+            n = np.diff(ends, prepend=0) + 1
             before = at + np.cumsum(n) - n
-            at += int(n.sum())
-            kept = [(i.astype("<u2") if narrow else i).tobytes() for i in ids]
-            cols = [b.column("doc_id"), pa.array(np.full(len(ids), part)), pa.array(before), pa.array(n), pa.array(kept, pa.binary())]
+            at += len(ids)
+            cols = [b.column("doc_id"), pa.array(np.full(len(n), part)), pa.array(before), pa.array(n), binary_column(ids, np.cumsum(n))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "before", "n", "ids"])
-        tokenizer.rest()
 
     return run
 
 
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4")
-
-
-def _counts(batches):
-    import pyarrow as pa
+def _counts(kind: str):
+    def run(batches):
+        import pyarrow as pa
 
-    total = np.zeros(0, np.int64)
-    for b in batches:
-        for raw, n in zip(b.column("ids").to_pylist(), b.column("n").to_pylist()):
-            c = np.bincount(_wide(raw, n))
+        total = np.zeros(0, np.int64)
+        for b in sized(batches, 0):
+            c = np.bincount(flat(b.column("ids"))[0].view(kind))
             if len(c) > len(total):
                 total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
             total[: len(c)] += c
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+
+    return run
 
 
-def _blocks(ids_by_rank: np.ndarray, block_tokens: int):
+def _blocks(ids_by_rank: np.ndarray, block_tokens: int, kind: str):
     def run(batches):
         import pyarrow as pa
 
         rank = np.zeros(int(ids_by_rank.max(initial=0)) + 1, dtype=np.uint32)
         rank[ids_by_rank] = np.arange(len(ids_by_rank))
         names = ["part", "first_token", "doc_ids", "lengths", "control", "data"]
-        held, size, part, first = [], 0, None, 0
+        docs, lens, held, size, part, first = [], [], [], 0, None, 0
 
         def write():
-            control, data = pack_numbers(rank[np.concatenate([h[1] for h in held])])
-            docs, lens = [h[0] for h in held], [len(h[1]) for h in held]
+            control, data = pack_numbers(rank[np.concatenate(held)])
             arrays = [pa.array([part]), pa.array([first]), pa.array([docs], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for b in slices(batches):
-            for doc_id, p, before, n, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "before", "n", "ids"))):
-                if held and (p != part or before != first + size or size >= block_tokens):
-                    yield write()
-                    held, size = [], 0
-                if not held:
-                    part, first = p, before
-                held.append((doc_id, _wide(raw, n)))
-                size += n
+        for b in sized(batches, 4, 1 << 22):
+            ids = flat(b.column("ids"))[0].view(kind)
+            doc_ids, parts, before, n = (b.column(c).to_pylist() for c in ("doc_id", "part", "before", "n"))
+            # documents from ``low`` on, tokens from ``at`` on are not in a block yet
+            low = at = end = 0
+            for i in range(len(n) + 1):
+                last = i == len(n)
+                full = size + end - at >= block_tokens
+                moved = not last and (parts[i] != part or before[i] != first + size + end - at)
+                if last or full or moved:
+                    if i > low:
+                        docs += doc_ids[low:i]
+                        lens += n[low:i]
+                        held.append(ids[at:end].copy())
+                        size += end - at
+                    low, at = i, end
+                    if held and (full or moved):
+                        yield write()
+                        docs, lens, held, size = [], [], [], 0
+                    if not held and not last:
+                        part, first = parts[i], before[i]
+                if not last:
+                    end += n[i]
         if held:
             yield write()
 
@@ -121,30 +130,31 @@ def write_tokens(docs: DataFrame, path: str, scratch: str, tokenizer: str | None
     spark = docs.sparkSession
     placed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     schema = "doc_id bigint, part bigint, before bigint, n bigint, ids binary"
-    arrow_map(placed, _tokens(tokenizer or byte_bpe()), schema).write.option("compression", "zstd").parquet(scratch)
+    path_of, spell = tokenizer or byte_bpe(), "<u4"
+    if word_tokenizer(path_of).library.get_vocab_size() <= 1 << 16:
+        spell = "<u2"  # ids of a small vocabulary between the passes
+    arrow_map(placed, _tokens(path_of, spell), schema).write.option("compression", "zstd").parquet(scratch)
     plain = spark.read.parquet(scratch)
-    freq = arrow_map(plain.select("n", "ids"), _counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    freq = arrow_map(plain.select("ids"), _counts(spell), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     order = freq.orderBy(F.desc("n"), "id").toArrow()  # the vocabulary at most
     ids = order.column("id").to_numpy().astype(np.int64)
     ranks = spark.createDataFrame(list(enumerate(ids.tolist())), "rank bigint, id bigint")
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
-    arrow_map(plain, _blocks(ids, block_tokens), "part bigint, first_token bigint, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    arrow_map(plain, _blocks(ids, block_tokens, spell), "part bigint, first_token bigint, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def _reader(ids_by_rank: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
-        for b in slices(batches, 1):
-            part, first = b.column("part")[0].as_py(), b.column("first_token")[0].as_py()
-            docs, lens = b.column("doc_ids")[0].as_py(), b.column("lengths")[0].as_py()
-            ids = ids_by_rank[unpack_numbers(b.column("control")[0].as_py(), b.column("data")[0].as_py(), sum(lens))].astype("<u4")
-            ends = np.cumsum(lens)
-            for lo in range(0, len(docs), 1024):
-                hi = min(lo + 1024, len(docs))
-                own = [ids[e - n : e].tobytes() for e, n in zip(ends[lo:hi].tolist(), lens[lo:hi])]
-                starts = first + ends[lo:hi] - np.array(lens[lo:hi])
-                cols = [pa.array(docs[lo:hi], pa.int64()), pa.array(np.full(hi - lo, part)), pa.array(starts.astype(np.int64)), pa.array(lens[lo:hi], pa.int64()), pa.array(own, pa.binary())]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                b = batch.slice(at, 1)
+                part, first = b.column("part")[0].as_py(), b.column("first_token")[0].as_py()
+                docs, lens = b.column("doc_ids").flatten(), b.column("lengths").flatten().to_numpy()
+                ids = ids_by_rank[unpack_numbers(b.column("control")[0].as_py(), b.column("data")[0].as_py(), int(lens.sum()))].astype("<u4")
+                ends = np.cumsum(lens)
+                cols = [docs, pa.array(np.full(len(lens), part)), pa.array(first + ends - lens), pa.array(lens), binary_column(ids, ends)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "start", "n_tokens", "ids"])
 
     return run
