@@ -1,17 +1,15 @@
-"""Matched controls: sequential sampling under exclusions, run in bounded steps, with its diagnostics and views."""
+"""Matched controls: sampling under exclusions in three rounds, with its diagnostics and views."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import key_with_null_token
 from eventloom.operators.joins import salted_join
-from eventloom.operators.ordered import chunk_by_range, chunked_prefix, CHUNK
-from eventloom.operators.sampling import top_n_per_group
+from eventloom.operators.ordered import CHUNK, chunk_by_range, chunked_prefix, keep_first
 from eventloom.session import pin
 
 # ---- fixed values: notes per relaxation level ----
@@ -32,75 +30,92 @@ def exclusion_flags(positives: DataFrame, spatial: DataFrame, unreported: DataFr
     return rows.groupBy("storm", "segment").agg(F.max("p").alias("p"), F.max("s").alias("s"), F.max("u").alias("u"))
 
 
-def _pick(key, pos: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-    """Greedy choice for one step of one base key: at each positive the least used, then smallest, free segment."""
-    cand, banned = pool[pool["kind"] == 0], pool[pool["kind"] == 1]
-    usage = dict(zip(cand["segment"], cand["usage"]))
-    pools = {lv: cand.groupby(f"k{lv}")["segment"].agg(list).to_dict() for lv in (1, 2, 3)}
-    storm_ban = banned[banned["event_id"].isna()].groupby("storm")["segment"].agg(set).to_dict()
-    event_ban = banned[banned["event_id"].notna()].groupby("event_id")["segment"].agg(set).to_dict()
-    used, out = {}, []
-    for p in pos.sort_values("seq").itertuples(index=False):
-        taken = used.setdefault((p.start, p.end), set())
-        closed = storm_ban.get(p.storm, set()) | event_ban.get(p.event_id, set()) | taken | {p.segment}
-        for level in (1, 2, 3):
-            free = [s for s in pools[level].get(getattr(p, f"k{level}"), ()) if s not in closed]
-            if free:
-                best = min(free, key=lambda s: (usage[s], s))
-                out.append((p.event_id, best, level, float(usage[best])))
-                usage[best] += 1
-                taken.add(best)
-                break
-    return pd.DataFrame(out, columns=["event_id", "control", "level", "score"])
-
-
-def matched_controls(positives: DataFrame, universe: DataFrame, flags: DataFrame, step: int = 500) -> DataFrame:
+def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """0-based place of each row within its keys; a hot key is spread over ranges."""
+    run = chunked_prefix(chunk_by_range(df, [*keys, *order]), keys, list(order), {out: ("cum_sum", F.lit(1).cast("bigint"))})
+    return run.withColumn(out, F.col(out) - 1).drop(CHUNK)
+
+
+def _marks_up_to(asks: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, out: str) -> DataFrame:
+    """``asks`` with the number of ``marks`` of the same keys whose ``at`` is not above their own.
+
+    Both sides are one ordered run, in which marks come first among equals, so no pair of rows is formed."""
+    rest = [c for c in asks.columns if c not in (*keys, at)]
+    both = marks.select(*keys, at, F.lit(0).alias("__ask"), F.lit(None).cast(asks.select(F.struct(*rest)).schema[0].dataType).alias("__row")).unionByName(
+        asks.select(*keys, at, F.lit(1).alias("__ask"), F.struct(*rest).alias("__row"))
+    )
+    run = chunked_prefix(chunk_by_range(both, [*keys, at, "__ask", "__row"]), keys, [at, "__ask", "__row"], {out: ("cum_sum", (1 - F.col("__ask")).cast("bigint"))})
+    return run.where("__ask = 1").select(*keys, at, out, "__row.*")
+
+
+def _skipping(asks: DataFrame, gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``asks`` with ``at``, a 0-based rank among the places not in ``gaps``, turned into the place itself.
+
+    The gap of rank k lies behind ``at - k`` free places, so the gaps before the free place of rank r are those with ``at - k <= r``."""
+    behind = _numbered(gaps.select(*keys, "at").distinct(), keys, ["at"], "__k").select(*keys, (F.col("at") - F.col("__k")).alias("at"))
+    out = _marks_up_to(asks, behind, keys, "at", "__gaps")
+    return out.withColumn("at", F.col("at") + F.col("__gaps")).drop("__gaps")
+
+
+def _choose(asking: DataFrame, members: DataFrame, flags: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """``event_id, start, end, control`` for the asking positives of one level that have a free segment in their pool ``k``.
+
+    A positive's turn within its pool, in order of time, is its rank among the segments its storm leaves free, modulo their
+    number.  Positives of one window have turns in a row, so they get different segments as long as there are any."""
+    storm, window = ["storm", "k"], ["storm", "k", "start", "end"]
+    asked = _numbered(asking, ["k"], ["start", "end", "event_id"], "turn")
+    size = members.groupBy("k").agg(F.count("*").alias("n"))
+    shut = salted_join(flags, members, ["segment"]).select("storm", "k", "at").join(asking.select(*storm).distinct(), storm, "left_semi")
+    shut = pin(shut)
+    counts = shut.groupBy(*storm).agg(F.count("*").alias("n_shut"))
+    windows = asked.groupBy(*window).agg(F.min("turn").alias("first"))
+    if taken is not None:
+        # segments that other positives of the same window hold already, as ranks among those the storm leaves free
+        held = taken.join(windows.select(*window), ["start", "end"]).join(members, ["k", "segment"])
+        held = held.join(shut, [*storm, "at"], "left_anti").select(*window, "at").distinct()
+        held = _marks_up_to(held, shut, storm, "at", "__shut").withColumn("at", F.col("at") - F.col("__shut")).select(*window, "at")
+        held = pin(held)
+        windows = windows.join(held.groupBy(*window).agg(F.count("*").alias("n_held")), window, "left")
+    else:
+        held, windows = None, windows.withColumn("n_held", F.lit(0))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    open_ = asked.join(windows, window).join(size, "k").join(counts, storm, "left").withColumn("free", F.col("n") - z("n_shut") - z("n_held"))
+    asks = open_.where(F.col("turn") - F.col("first") < F.col("free")).select(*window, "event_id", F.pmod("turn", F.when(F.col("free") > 0, F.col("free"))).alias("at"))
+    if held is not None:
+        asks = _skipping(asks, held, window)
+    found = _skipping(asks, shut, storm).join(members, ["k", "at"])
+    return found.select("event_id", "start", "end", F.col("segment").alias("control"))
+
+
+def matched_controls(positives: DataFrame, universe: DataFrame, flags: DataFrame) -> DataFrame:
     """One control per positive where any pool has a free segment: ``(event_id, control, level, score)``.
 
     ``positives``: event_id, start, end, storm, segment, k1, k2, k3; ``universe``: segment, k1, k2, k3;
-    ``flags``: excluded (storm, segment).  Choices depend on earlier ones only through usage counts inside a
-    base key, so positives are taken in order, ``step`` per base key at a time, and usage is carried between
-    steps in a pinned table.  A task therefore sees at most ``step`` positives and, per pool, only the segments
-    that could win: the least used ``step + exclusions + 1``.  The result equals the one-by-one order exactly.
+    ``flags``: excluded (storm, segment).  The three levels are three rounds, whatever the number of rows.  In each, a
+    positive without a control takes the segment of its turn among those of its pool that are not excluded for its storm, not
+    reported in it and not used for the same window; it goes on to the next level only where none is left.  Turns go round the
+    pool in (start, end, event_id) order, so controls spread evenly.  ``score`` is the number of earlier controls on the segment.
+
+    Positives without a storm share the exclusions of their window.  Where one window belongs to several storms, the smallest event
+    keeps a segment that two of them chose, the others ask at the next level.
     """
-    order = ["k3", "start", "event_id"]
-    ordered = chunked_prefix(chunk_by_range(positives, order), ["k3"], ["start", "event_id"], {"seq": ("cum_sum", F.lit(1))})
-    ordered = pin(ordered.withColumn("step", F.floor((F.col("seq") - 1) / step).cast("int")).drop(CHUNK))
-    universe = pin(universe.select("segment", "k1", "k2", "k3"))
-    flags = pin(flags.select("storm", "segment").distinct())
-    steps = (ordered.agg(F.max("step")).first()[0] or 0) + 1
-    seg_type, ev_type = universe.schema["segment"].dataType, ordered.schema["event_id"].dataType
-    storm_type = ordered.schema["storm"].dataType
-    schema = f"event_id {ev_type.simpleString()}, control {seg_type.simpleString()}, level int, score double"
-    usage = universe.select("segment", F.lit(0).alias("usage"))
+    kind = F.coalesce(F.concat(F.lit("s"), F.col("storm").cast("string")), F.concat_ws("_", F.lit("w"), F.col("start").cast("string"), F.col("end").cast("string")))
+    open_ = pin(positives.select("event_id", "start", "end", kind.alias("storm"), "segment", "k1", "k2", "k3"))
+    tagged = flags.where(F.col("storm").isNotNull()).select(F.concat(F.lit("s"), F.col("storm").cast("string")).alias("storm"), "segment")
+    shut = pin(tagged.union(open_.select("storm", "segment")).distinct())
     picks = None
-    for i in range(steps):
-        now = ordered.where(F.col("step") == i)
-        storms = now.select("storm", "k3").distinct()
-        bans = salted_join(flags, storms, ["storm"]).join(universe.select("segment", F.col("k3").alias("uk")), "segment").where(F.col("uk") == F.col("k3"))
-        bans = pin(bans.select("k3", "segment", "storm", F.lit(None).cast(ev_type).alias("event_id")))
-        if picks is not None:  # a window that straddles two steps must not reuse its earlier controls
-            again = picks.join(ordered.select("event_id", "start", "end"), "event_id").select("start", "end", F.col("control").alias("segment"))
-            again = again.join(now.select("start", "end", "event_id", "k3"), ["start", "end"])
-            bans = pin(bans.unionByName(again.select("k3", "segment", F.lit(None).cast(storm_type).alias("storm"), "event_id")))
-        # most exclusions any positive of the step can meet
-        most = bans.groupBy("k3", "storm", "event_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        keep = step + 2 * most + 2
-        live = universe.join(usage, "segment")
-        pool = None
-        for lv in (1, 2, 3):
-            asked = live.join(now.select(f"k{lv}").distinct(), f"k{lv}", "left_semi")
-            top = top_n_per_group(asked, [f"k{lv}"], [F.col("usage"), F.col("segment")], keep).select("segment", "k1", "k2", "k3", "usage")
-            pool = top if pool is None else pool.union(top)
-        pool = pool.distinct().withColumn("kind", F.lit(0))
-        side = pool.unionByName(bans.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-        chosen = now.groupBy("k3").cogroup(side.groupBy("k3")).applyInPandas(_pick, schema)
-        chosen = pin(chosen)
-        picks = chosen if picks is None else pin(picks.unionByName(chosen))
-        if i + 1 < steps:
-            more = chosen.groupBy(F.col("control").alias("segment")).agg(F.count("*").alias("m"))
-            usage = pin(usage.join(more, "segment", "left").select("segment", (F.col("usage") + F.coalesce("m", F.lit(0))).cast("int").alias("usage")))
-    return picks
+    for level in (1, 2, 3):
+        k = f"k{level}"
+        members = pin(_numbered(universe.select("segment", F.col(k).alias("k")).where("k IS NOT NULL").distinct(), ["k"], ["segment"], "at"))
+        taken = None if picks is None else picks.select("start", "end", F.col("control").alias("segment"))
+        chosen = _choose(open_.select("event_id", "start", "end", "storm", F.col(k).alias("k")).where("k IS NOT NULL"), members, shut, taken)
+        first = keep_first(chosen, ["control", "start", "end"], [F.col("event_id")])
+        if picks is not None:
+            first = first.join(taken.withColumnRenamed("segment", "control"), ["control", "start", "end"], "left_anti")
+        first = pin(first.select("event_id", "start", "end", "control", F.lit(level).alias("level")))
+        picks = first if picks is None else pin(picks.unionByName(first))
+        open_ = pin(open_.join(first, "event_id", "left_anti"))
+    return _numbered(picks, ["control"], ["start", "end", "event_id"], "score").select("event_id", "control", "level", F.col("score").cast("double").alias("score"))
 
 
 def control_rows(picks: DataFrame, positives: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from eventloom.operators import controls as K
 from eventloom.operators import intervals as I
 from eventloom.plans.events import STORM_SQL, storm_windows
 from eventloom.plans.registry import query, table
+from eventloom.plans.statistics import _RB
 from eventloom.session import pin
 
 c = F.col
@@ -38,18 +39,40 @@ def exclusions(spark, sf, pos):
     return K.exclusion_flags(pos.select("storm", "segment").distinct(), spatial, none)
 
 
-@query("matched_controls", "M3 M1 M2 F27")
+U_SQL = """ub AS (SELECT p_partkey AS segment, p_type AS k3, p_brand AS road, p_size FROM part), pz AS (SELECT st.event_id, st.storm_event_id AS storm, st.user_id AS segment, ub.k3 FROM st JOIN ub ON ub.segment = st.user_id),
+pp AS (SELECT DISTINCT storm, segment FROM pz), sp2 AS (SELECT DISTINCT pp.storm, b.segment FROM pp JOIN ub a ON a.segment = pp.segment JOIN ub b ON b.segment BETWEEN a.segment - 1 AND a.segment + 1),
+fl AS (SELECT storm, segment, max(p) AS p, max(s) AS s FROM (SELECT storm, segment, 1 AS p, 0 AS s FROM pp UNION ALL SELECT storm, segment, 0, 1 FROM sp2) GROUP BY 1, 2), fk AS (SELECT fl.*, ub.k3 FROM fl JOIN ub USING (segment))"""
+
+
+def _level_sql(lv: int) -> str:
+    """Round ``lv``: turns within the pool, segments each window of a storm has free, and the one of each turn."""
+    before = " UNION ALL ".join(f'SELECT event_id, start, "end", segment FROM l{i}' for i in range(1, lv)) or 'SELECT 0 AS event_id, NULL::TIMESTAMP AS start, NULL::TIMESTAMP AS "end", 0 AS segment WHERE FALSE'
+    return f"""t{lv} AS MATERIALIZED ({before}), o{lv} AS MATERIALIZED (SELECT event_id, start, "end", storm, k{lv} AS k, row_number() OVER (PARTITION BY k{lv} ORDER BY start, "end", event_id) - 1 AS turn FROM pos WHERE event_id NOT IN (SELECT event_id FROM t{lv})),
+w{lv} AS MATERIALIZED (SELECT storm, k, start, "end", min(turn) AS low FROM o{lv} GROUP BY ALL),
+f{lv} AS MATERIALIZED (SELECT w.*, u.segment, row_number() OVER (PARTITION BY w.storm, w.k, w.start, w."end" ORDER BY u.segment) - 1 AS place, count(*) OVER (PARTITION BY w.storm, w.k, w.start, w."end") AS free
+  FROM w{lv} w JOIN uni u ON u.k{lv} = w.k ANTI JOIN fl ON fl.storm = w.storm AND fl.segment = u.segment ANTI JOIN t{lv} t ON t.start = w.start AND t."end" = w."end" AND t.segment = u.segment),
+l{lv} AS MATERIALIZED (SELECT o.event_id, o.start, o."end", f.segment, {lv} AS level FROM o{lv} o JOIN f{lv} f ON f.storm = o.storm AND f.k = o.k AND f.start = o.start AND f."end" = o."end" AND turn - low < free AND place = turn % free)"""
+
+
+BANDS = f"""eb AS (SELECT p_partkey, {_RB.format(q='10.0')} AS b FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rn, count(*) OVER () AS n FROM part)),
+uni AS MATERIALIZED (SELECT p_partkey AS segment, p_type || '|' || p_brand || '|' || b || '|' || (p_size > 25) AS k1, p_type || '|' || b || '|' || (p_size > 25) AS k2, p_type AS k3 FROM part JOIN eb USING (p_partkey))"""
+
+
+@query(
+    "matched_controls",
+    "M3 M1 F27",
+    f"""WITH {STORM_SQL}, {U_SQL}, {BANDS}, pos AS MATERIALIZED (SELECT st.event_id, st.start, st."end", st.storm_event_id AS storm, uni.* FROM st JOIN uni ON uni.segment = st.user_id),
+    {', '.join(_level_sql(lv) for lv in (1, 2, 3))}, a AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)
+    SELECT 'NEG_' || event_id AS event_id, CAST(event_id AS VARCHAR) AS matched_positive_event_id, a.segment, a.start, a."end", storm, FALSE AS occurrence, 0 AS intensity, level AS negative_sampling_level, level > 1 AS negative_sampling_relaxed,
+    ['same_road_same_elev_same_shore', 'same_elev_same_shore', 'same_borough_same_tide_same_precip'][level] AS negative_sampling_notes,
+    (row_number() OVER (PARTITION BY a.segment ORDER BY a.start, a."end", event_id) - 1)::DOUBLE AS negative_match_score FROM a JOIN (SELECT event_id, storm FROM pos) USING (event_id)""",
+)
 def matched_controls(spark, sf):
     pos = pin(positives(spark, sf))
     picks = K.matched_controls(pos, universe(spark, sf), exclusions(spark, sf, pos))
     return K.control_rows(picks, pos)
 
 
-U_SQL = """ub AS (SELECT p_partkey AS segment, p_type AS k3, p_brand AS road, p_size FROM part), pz AS (SELECT st.event_id, st.storm_event_id AS storm, st.user_id AS segment, ub.k3 FROM st JOIN ub ON ub.segment = st.user_id),
-pp AS (SELECT DISTINCT storm, segment FROM pz), sp2 AS (SELECT DISTINCT pp.storm, b.segment FROM pp JOIN ub a ON a.segment = pp.segment JOIN ub b ON b.segment BETWEEN a.segment - 1 AND a.segment + 1),
-fl AS (SELECT storm, segment, max(p) AS p, max(s) AS s FROM (SELECT storm, segment, 1 AS p, 0 AS s FROM pp UNION ALL SELECT storm, segment, 0, 1 FROM sp2) GROUP BY 1, 2), fk AS (SELECT fl.*, ub.k3 FROM fl JOIN ub USING (segment))"""
-
-
 @query(
     "sampling_diagnostics",
     "M4 A22",

@@ -226,32 +226,49 @@ def test_snapping_is_transitive_within_a_level(spark):
 
 
 # ---- matched controls ----
-def test_matched_controls_equal_the_sequential_order(spark):
+def test_matched_controls_keep_the_rules_of_every_level(spark):
     rng = random.Random(11)
     seg = [(i, f"r{rng.randrange(2)}", f"e{rng.randrange(2)}", "big" if rng.random() < 0.7 else f"b{rng.randrange(2)}") for i in range(40)]
     keys = {s[0]: (f"{s[3]}|{s[1]}|{s[2]}", f"{s[3]}|{s[2]}", s[3]) for s in seg}
     pos = []
-    for i in range(60):
-        s, t = rng.choice(seg), h(rng.randrange(12))
-        pos.append((i, t, t + timedelta(hours=1), f"S{t.hour // 4}", s[0], *keys[s[0]]))
-    flags = {(p[3], p[4]) for p in pos} | {(p[3], (p[4] + 1) % 40) for p in pos}
-    usage, used, want = dict.fromkeys(keys, 0), set(), {}
-    for p in sorted(pos, key=lambda p: (p[1], p[0])):
-        for level in (1, 2, 3):
-            free = [s for s in keys if keys[s][level - 1] == p[4 + level] and (p[3], s) not in flags and s != p[4] and (s, p[1], p[2]) not in used]
-            if free:
-                best = min(free, key=lambda s: (usage[s], s))
-                want[p[0]] = (best, level, float(usage[best]))
-                usage[best] += 1
-                used.add((best, p[1], p[2]))
-                break
+    for i in range(300):
+        s, t = rng.choice(seg), h(0 if i < 80 else rng.randrange(12))
+        storm = None if i % 50 == 49 else f"S{t.hour // 4}"
+        pos.append((i, t, t + timedelta(hours=1), storm, s[0], *(keys[s[0]] if i % 60 else ("none", "none", "none"))))
+    flags = {(p[3], p[4]) for p in pos if p[3] and p[0] % 9 == 0} | {(p[3], (p[4] + 1) % 40) for p in pos if p[3] and p[0] % 9 == 0} | {("S1", s) for s in keys if keys[s][2] == "b1"}
     got = K.matched_controls(
-        spark.createDataFrame(pos, "event_id long, start timestamp_ntz, end timestamp_ntz, storm string, segment long, k1 string, k2 string, k3 string"),
+        spark.createDataFrame(pos, "event_id long, start timestamp_ntz, end timestamp_ntz, storm string, segment long, k1 string, k2 string, k3 string").repartition(5),
         spark.createDataFrame([(s, *k) for s, k in keys.items()], "segment long, k1 string, k2 string, k3 string"),
         spark.createDataFrame(sorted(flags), "storm string, segment long"),
-        step=7,
     )
-    assert {r["event_id"]: (r["control"], r["level"], r["score"]) for r in got.collect()} == want
+    picks = {r["event_id"]: r for r in got.collect()}
+    shut = lambda p: {s for storm, s in flags if storm == p[3]} | {q[4] for q in pos if (q[3] == p[3] if p[3] else q[1] == p[1] and not q[3])}
+    window = lambda p, level: {picks[q[0]]["control"] for q in pos if q[1] == p[1] and q[0] in picks and picks[q[0]]["level"] <= level}
+    used = set()
+    for p in pos:
+        own = picks.get(p[0])
+        for level in range(1, (own["level"] if own else 4)):  # nothing was left at the levels before
+            assert not {s for s in keys if keys[s][level - 1] == p[4 + level]} - shut(p) - window(p, level)
+        if own:
+            assert keys[own["control"]][own["level"] - 1] == p[4 + own["level"]] and own["control"] not in shut(p)
+            assert (own["control"], p[1]) not in used
+            used.add((own["control"], p[1]))
+    assert {r["level"] for r in picks.values()} == {1, 2, 3} and len(picks) < len(pos)
+    by_time, usage = sorted((p for p in pos if p[0] in picks), key=lambda p: (p[1], p[0])), {}
+    for p in by_time:
+        s = picks[p[0]]["control"]
+        assert picks[p[0]]["score"] == usage.get(s, 0)
+        usage[s] = usage.get(s, 0) + 1
+
+
+def test_controls_go_round_a_pool(spark):
+    pos = [(i, h(i), h(i + 1), f"S{i}", 0, "a", "a", "a") for i in range(23)]
+    got = K.matched_controls(
+        spark.createDataFrame(pos, "event_id long, start timestamp_ntz, end timestamp_ntz, storm string, segment long, k1 string, k2 string, k3 string"),
+        spark.createDataFrame([(s, "a", "a", "a") for s in range(6)], "segment long, k1 string, k2 string, k3 string"),
+        spark.createDataFrame([], "storm string, segment long"),
+    )
+    assert {r["event_id"]: r["control"] for r in got.collect()} == {i: 1 + i % 5 for i in range(23)}
 
 
 def test_stratified_split_shares_hold_inside_a_hot_stratum(spark):
