@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.ordered import CHUNK, chunked_prefix, global_row_number
 from eventloom.operators.spatial import within_pairs
-from eventloom.session import pin
+from eventloom.session import pin, tabled
 
 MERGE_EVERY = 8
 
@@ -108,101 +108,137 @@ def label_edges(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, fallback:
     )
 
 
-def bfs_tree(edges: DataFrame) -> DataFrame:
-    """Breadth-first forest ``(node, parent, level, component)``; roots are the smallest nodes."""
-    comp = components(edges)
-    both = pin(symmetric(edges))
-    frontier = pin(comp.where(F.col("node") == F.col("component")).select("node", F.lit(None).cast(comp.schema["node"].dataType).alias("parent"), F.lit(0).alias("level")))
-    done, level = frontier, 0
-    while True:
-        level += 1
-        reached = both.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        frontier = pin(reached.join(done.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            return pin(done.join(comp, "node"))
-        done = done.unionByName(frontier)
-        if level % MERGE_EVERY == 0:
-            done = pin(done)
+def spanning_forest(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A spanning forest ``(edge_id, src, dst)`` of an undirected multigraph, and ``(node, component)`` with the smallest node as name.
 
-
-def _climb(tree: DataFrame, depth: int, own: dict[str, Column], fold: dict[str, str]) -> DataFrame:
-    """Fold a value from the leaves to the roots, one level per round: ``fold`` is sum, min or max per column."""
-    combine = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
-    reduce_ = {"sum": F.sum, "min": F.min, "max": F.max}
-    below, parts = None, []
-    for level in range(depth, -1, -1):
-        here = tree.where(F.col("level") == level).select("node", "parent", *[e.alias(n) for n, e in own.items()])
-        if below is not None:
-            up = below.groupBy(F.col("parent").alias("node")).agg(*[reduce_[k](n).alias(f"__{n}") for n, k in fold.items()])
-            here = here.join(up, "node", "left").select("node", "parent", *[combine[k](F.col(n), F.col(f"__{n}")).alias(n) for n, k in fold.items()])
-        below = pin(here)
-        parts.append(below)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return pin(out.drop("parent"))
-
-
-def _preorder(tree: DataFrame, depth: int) -> DataFrame:
-    """Preorder number per node within its component, from subtree sizes and sibling offsets."""
-    siblings = tree.where(F.col("level") > 0).withColumn(CHUNK, F.pmod(F.xxhash64("node"), F.lit(64)))
-    offs = chunked_prefix(siblings, ["parent"], [F.col(CHUNK), F.col("node")], {"__cum": ("cum_sum", F.col("size"))})
-    offs = pin(offs.select("node", "parent", "level", (F.col("__cum") - F.col("size")).alias("off")))
-    level0 = pin(tree.where(F.col("level") == 0).select("node", F.lit(0).cast("bigint").alias("pre")))
-    last, parts = level0, [level0]
-    for level in range(1, depth + 1):
-        step = offs.where(F.col("level") == level).join(last.select(F.col("node").alias("parent"), F.col("pre").alias("__p")), "parent")
-        last = pin(step.select("node", (F.col("__p") + 1 + F.col("off")).alias("pre")))
-        parts.append(last)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return tree.join(out, "node")
+    Every component takes its smallest leaving edge (in the order of a hash, so chains of choices stay short); the choices merge at
+    least two components into one each round, and pointers are doubled to the new names: rounds grow with the logarithm of the nodes.
+    """
+    h = F.xxhash64("edge_id")
+    left = tabled(edges.where("src <> dst").select(F.struct(h.alias("h"), "edge_id", "src", "dst").alias("e"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    names = tabled(nodes.select("node", F.col("node").alias("component")))
+    forest = None
+    while not left.isEmpty():
+        sides = left.union(left.select("e", F.col("b").alias("a"), F.col("a").alias("b")))
+        pick = tabled(sides.groupBy("a").agg(F.min(F.struct("e", "b")).alias("p")).select("a", F.col("p.b").alias("b"), F.col("p.e").alias("e")))
+        chosen = pick.select("e.edge_id", "e.src", "e.dst").distinct()
+        forest = chosen if forest is None else forest.unionByName(chosen)
+        # two that chose the same edge: the smaller one is the root
+        back = pick.select(F.col("a").alias("b"), F.col("b").alias("bb"))
+        up = pick.join(back, "b", "left").select("a", F.when((F.col("bb") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("b"))
+        up = jumped(up, "a", "b")
+        renamed = lambda d, c: d.join(up.select(F.col("a").alias(c), F.col("b").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+        names = tabled(renamed(names, "component"))
+        left = renamed(renamed(left, "a"), "b").where("a <> b")
+        # of the edges between two components only the smallest can be chosen
+        left = tabled(left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")).select("e", "a", "b"))
+    low = names.groupBy("component").agg(F.min("node").alias("__low"))
+    names = tabled(names.join(low, "component").select("node", F.col("__low").alias("component")))
+    return forest if forest is not None else edges.select("edge_id", "src", "dst").limit(0), names
+
+
+def jumped(links: DataFrame, key: str, to: str, jumps: int = 3) -> DataFrame:
+    """``links`` with ``to`` at the end of every chain (an end points at itself), by doubling; ``jumps`` doublings between two checkpoints."""
+    links = tabled(links.select(key, to))
+    while True:
+        step = links
+        for _ in range(jumps):
+            on = step.select(F.col(key).alias(to), F.col(to).alias("__on"))
+            step = step.join(on, to, "left").select(key, F.coalesce("__on", to).alias(to))
+        step = tabled(step.join(links.select(key, F.col(to).alias("__was")), key))
+        links = step.select(key, to)
+        if step.where(F.col(to) != F.col("__was")).isEmpty():
+            return links
+
+
+def rooted_forest(forest: DataFrame, names: DataFrame, fan: int = 1024) -> DataFrame:
+    """Forest edges hung from the smallest node of each component: ``(edge_id, node, parent, component, first, last)``.
+
+    ``first`` and ``last`` are the steps at which an Euler tour of the component goes down to ``node`` and back up, so the subtree of a
+    node is the nodes whose ``first`` lies between its own two.  The tour leaves a node on the arc after the one it came on, in
+    a circular order of the node's arcs; the places along it follow from doubling the pointers to the next arc.
+    """
+    arcs = forest.select("edge_id", "src", "dst").union(forest.select("edge_id", F.col("dst"), F.col("src")))
+    arcs = tabled(arcs.withColumn(CHUNK, F.pmod(F.xxhash64("edge_id"), F.lit(fan))))
+    order = F.struct(CHUNK, "edge_id")
+    ring = chunked_prefix(arcs, ["src"], [F.col(CHUNK), F.col("edge_id")], {"after": ("next_first", F.col("edge_id"))})
+    start = arcs.groupBy("src").agg(F.min(order).alias("o")).select("src", F.col("o.edge_id").alias("head"))
+    ring = ring.join(start, "src").select("src", "dst", "edge_id", F.coalesce("after", "head").alias("after"))
+    # an arc is named by its edge and the node it leaves
+    roots = names.select("component").distinct().join(start, F.col("component") == F.col("src")).select(F.col("src").alias("rs"), F.col("head").alias("rh"))
+    came = ring.select(F.col("dst").alias("src"), "edge_id", F.col("src").alias("dst"), F.col("after").alias("on"))
+    tour = came.join(roots, (F.col("dst") == F.col("rs")) & (F.col("on") == F.col("rh")), "left")
+    open_ = F.col("rs").isNull()
+    tour = tabled(tour.select("edge_id", "src", "dst", F.when(open_, F.col("on")).alias("on"), F.when(open_, F.col("dst")).alias("at"), open_.cast("bigint").alias("d")))
+    while not tour.where("on IS NOT NULL").isEmpty():
+        for _ in range(2):
+            ahead = tour.select(F.col("edge_id").alias("on"), F.col("src").alias("at"), F.col("on").alias("__on"), F.col("at").alias("__at"), F.col("d").alias("__d"))
+            tour = tour.join(ahead, ["on", "at"], "left").select("edge_id", "src", "dst", F.col("__on").alias("on"), F.col("__at").alias("at"), (F.col("d") + F.coalesce("__d", F.lit(0))).alias("d"))
+        tour = tabled(tour)
+    # steps still to go: the arc down is the one with more of them
+    ends = tour.groupBy("edge_id").agg(F.max_by(F.struct("src", "dst"), "d").alias("down"), F.max("d").alias("far"), F.min("d").alias("near"))
+    hung = ends.select("edge_id", F.col("down.dst").alias("node"), F.col("down.src").alias("parent"), "far", "near").join(names, "node")
+    total = hung.groupBy("component").agg((F.max("far") + 1).alias("n"))
+    return tabled(hung.join(total, "component").select("edge_id", "node", "parent", "component", (F.col("n") - F.col("far")).alias("first"), (F.col("n") - F.col("near")).alias("last")))
+
+
+def range_extremes(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """Smallest ``low`` and largest ``high`` of the points (``key, at, low, high``) inside each range (``key, id, first, last``, ends
+    included); ranges without points are missing.
+
+    Points are folded into the halving blocks around them, a range is cut into the largest blocks that fit: at most two of each
+    size, met by an equi join."""
+    bits = max(int(points.agg(F.max("at")).first()[0] or 0).bit_length(), 1)
+    block = points.select(key, F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("k"), "at", "low", "high")
+    block = block.groupBy(key, "k", F.call_function("shiftright", F.col("at"), F.col("k")).alias("b")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    first, end = F.col("first"), F.col("last") + 1
+
+    def pieces(k):
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        low, high = F.floor((first + size - 1) / size), F.floor(end / size)
+        take = lambda cond, b: F.when(cond & (low < high), F.struct(k.alias("k"), b.cast("bigint").alias("b")))
+        return F.array(take(low % 2 == 1, low), take(high % 2 == 1, high - 1))
+
+    cut = ranges.select(key, "id", F.explode(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), pieces)), lambda x: x.isNotNull())).alias("p"))
+    met = cut.select(key, "id", "p.k", "p.b").join(block, [key, "k", "b"])
+    return met.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def cut_structure(edges: DataFrame) -> dict[str, DataFrame]:
-    """Bridge edges and articulation nodes of an undirected multigraph ``(edge_id, src, dst)``.
+    """Bridge edges and articulation nodes of an undirected multigraph ``(edge_id, src, dst)``, in rounds that grow with the logarithm
+    of the nodes, whatever the diameter.
 
-    A breadth-first forest with preorder numbers, subtree sizes and the range of numbers reachable by one
-    non-tree edge from every subtree.  A tree edge is a bridge when its subtree reaches nothing outside
-    itself (a parallel edge counts as reaching).  Tree edges are grouped into blocks by connected components of
-    an auxiliary graph; a node that touches two blocks is an articulation node.  All exact, no recursion.
+    A spanning forest is hung up along an Euler tour; for every subtree the range of tour steps that its other edges reach
+    follows from range extremes.  A forest edge is a bridge when its subtree reaches nothing outside itself (a parallel edge
+    counts as reaching).  Forest edges are grouped into blocks by connected components of an auxiliary graph; a node that touches
+    two blocks is an articulation node.
     """
     edges = pin(edges.where(F.col("src") != F.col("dst")).select("edge_id", "src", "dst"))
-    tree = bfs_tree(edges)
-    depth = tree.agg(F.max("level")).first()[0] or 0
-    sizes = _climb(tree, depth, {"size": F.lit(1).cast("bigint")}, {"size": "sum"})
-    tree = pin(_preorder(pin(tree.join(sizes, "node")), depth))
-
-    up = tree.where(F.col("parent").isNotNull()).select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"), F.col("node").alias("child"))
-    keyed = edges.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
-    chosen = keyed.groupBy("a", "b").agg(F.min("edge_id").alias("edge_id")).join(up, ["a", "b"]).select("edge_id", "child")
-    chosen = pin(chosen)
-    rest = pin(keyed.join(chosen.select("edge_id"), "edge_id", "left_anti"))
-    ends = rest.select(F.col("a").alias("node"), F.col("b").alias("other")).union(rest.select(F.col("b"), F.col("a")))
-    other = tree.select(F.col("node").alias("other"), F.col("pre").alias("op"))
-    touch = ends.join(other, "other").groupBy("node").agg(F.min("op").alias("lo0"), F.max("op").alias("hi0"))
-    tree = pin(tree.join(touch, "node", "left"))
-    span = _climb(tree, depth, {"low": F.least("pre", "lo0"), "high": F.greatest("pre", "hi0")}, {"low": "min", "high": "max"})
-    tree = pin(tree.join(span, "node").drop("lo0", "hi0"))
-
-    closed = (F.col("low") >= F.col("pre")) & (F.col("high") < F.col("pre") + F.col("size"))
-    bridges = chosen.join(tree.where((F.col("level") > 0) & closed).select(F.col("node").alias("child")), "child").select("edge_id")
-
-    inner = tree.where(F.col("level") > 0)
-    pairs = rest.select("a", "b").distinct()
-    par = tree.select("node", "parent")
-    pairs = pairs.join(par.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(par.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
-    related = F.coalesce(F.col("pa") == F.col("b"), F.lit(False)) | F.coalesce(F.col("pb") == F.col("a"), F.lit(False))
-    siblings = pairs.where(~related).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    par2 = inner.select(F.col("node").alias("parent"), F.col("pre").alias("pp"), F.col("size").alias("ps"))
-    chain = inner.join(par2, "parent").where((F.col("low") < F.col("pp")) | (F.col("high") >= F.col("pp") + F.col("ps")))
-    aux = siblings.union(chain.select(F.col("node").alias("src"), F.col("parent").alias("dst")))
-    blocks = components(aux, inner.select("node"))
-    b = blocks.join(par, "node").select("node", "parent", "component")
-    touches = b.select("node", "component").union(b.select(F.col("parent").alias("node"), "component"))
-    cuts = touches.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") < F.col("y")).select("node")
-    return {"bridges": bridges, "articulation": cuts, "components": tree.select("node", "component")}
+    forest, names = spanning_forest(edges, node_ids(edges))
+    tree = rooted_forest(pin(forest), names)
+    roots = names.where("node = component").select("node", "component", F.lit(0).cast("bigint").alias("first"), F.lit(2**62).alias("last"))
+    spots = pin(tree.select("node", "component", "first", "last").unionByName(roots))
+
+    rest = edges.join(tree.select("edge_id"), "edge_id", "left_anti")
+    end = lambda c, p: spots.select(F.col("node").alias(c), F.col("first").alias(f"{p}f"), F.col("last").alias(f"{p}l"))
+    rest = pin(rest.join(end("src", "s"), "src").join(end("dst", "d"), "dst").join(names.withColumnRenamed("node", "src"), "src"))
+    touch = rest.select("component", F.col("sf").alias("at"), F.col("df").alias("to")).union(rest.select("component", "df", "sf"))
+    points = pin(touch.groupBy("component", "at").agg(F.min("to").alias("low"), F.max("to").alias("high")))
+    spans = range_extremes(points, tree.select("component", F.col("node").alias("id"), "first", "last"), "component")
+    tree = pin(tree.join(spans.withColumnRenamed("id", "node"), "node", "left"))
+
+    outside = lambda f, l: F.coalesce((F.col("low") < F.col(f)) | (F.col("high") > F.col(l)), F.lit(False))
+    bridges = tree.where(~outside("first", "last")).select("edge_id")
+
+    related = F.col("df").between(F.col("sf"), F.col("sl")) | F.col("sf").between(F.col("df"), F.col("dl"))
+    apart = rest.where(~related).select("src", "dst")
+    above = tree.select(F.col("node").alias("parent"), F.col("first").alias("pf"), F.col("last").alias("pl"))
+    chain = tree.join(above, "parent").where(outside("pf", "pl")).select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+    blocks = components(apart.union(chain), tree.select("node"))
+    b = blocks.withColumnRenamed("component", "block").join(tree.select("node", "parent"), "node")
+    touches = b.select("node", "block").union(b.select(F.col("parent").alias("node"), "block"))
+    cuts = touches.groupBy("node").agg(F.min("block").alias("x"), F.max("block").alias("y")).where(F.col("x") < F.col("y")).select("node")
+    return {"bridges": bridges, "articulation": cuts, "components": names}
 
 
 def betweenness(edges: DataFrame, sources: DataFrame | None = None, tol: float = 1e-10) -> dict[str, DataFrame]:
@@ -263,3 +299,20 @@ def component_table(labels: DataFrame, edges: DataFrame, bridges: DataFrame, cut
     total = a.agg(F.sum("n_nodes")).scalar()
     largest = a.agg(F.max("n_nodes")).scalar()
     return t.withColumn("node_share", F.col("n_nodes") / total).withColumn("in_largest", F.col("n_nodes") == largest)
+
+
+def connectivity_summary(table: DataFrame) -> DataFrame:
+    """The ten figures of a network, ``(metric, value)``, from its component table."""
+    t = table.agg(
+        F.sum("n_segments").alias("s"), F.sum("n_nodes").alias("n"), F.count("*").alias("c"), F.max_by("component", F.struct("n_nodes", "n_segments", "component")).alias("id"),
+        F.max_by("n_segments", F.struct("n_nodes", "n_segments", "component")).alias("ls"), F.sum("n_bridges").alias("b"), F.sum("n_articulation").alias("a"),
+    )
+    pct = lambda x, y: F.round(100 * F.col(x) / F.col(y), 2).cast("string")
+    text = lambda x: F.col(x).cast("string")
+    figures = {
+        "segments_total": text("s"), "nodes_total": text("n"), "weak_components_total": text("c"), "largest_component_id": text("id"), "largest_component_segments": text("ls"),
+        "largest_component_share_pct": pct("ls", "s"), "bridge_segments_total": text("b"), "bridge_segments_share_pct": pct("b", "s"),
+        "articulation_nodes_total": text("a"), "articulation_nodes_share_pct": pct("a", "n"),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in figures.items()])
+    return t.select(F.explode(rows).alias("r")).select("r.metric", "r.value")

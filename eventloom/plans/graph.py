@@ -97,17 +97,52 @@ def edge_label_propagation(spark, sf):
     return e.select("edge_id", "label", "hops", "seed_edge")
 
 
-@query("bridge_edges", "N7")
+# A leaf's edge is a bridge and its neighbour, if it has others, an articulation node.  For all else: walks from one end of an edge
+# without that edge, and from a node's smallest neighbour without that node.
+CUT = f"""{CC}, dg AS (SELECT src AS node, count(*) AS d FROM sy GROUP BY 1), lf AS MATERIALIZED (SELECT node FROM dg WHERE d = 1), core AS MATERIALIZED (SELECT edge_id, src, dst FROM net WHERE src NOT IN (FROM lf) AND dst NOT IN (FROM lf)),
+dup AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM net GROUP BY ALL HAVING count(*) > 1),
+cs AS MATERIALIZED (SELECT edge_id, src, dst FROM core UNION ALL SELECT edge_id, dst, src FROM core), walk(cut, node) AS (SELECT edge_id, src FROM core UNION SELECT cut, cs.dst FROM walk JOIN cs ON cs.src = node AND cs.edge_id <> cut),
+br AS MATERIALIZED (SELECT edge_id FROM net WHERE (src IN (FROM lf) OR dst IN (FROM lf)) AND (least(src, dst), greatest(src, dst)) NOT IN (SELECT (a, b) FROM dup) UNION ALL SELECT edge_id FROM core ANTI JOIN walk ON walk.cut = core.edge_id AND walk.node = core.dst),
+nb AS MATERIALIZED (SELECT DISTINCT src AS v, dst AS w FROM cs), go(cut, node) AS (SELECT v, min(w) FROM nb GROUP BY v UNION SELECT cut, nb.w FROM go JOIN nb ON nb.v = node AND nb.w <> cut),
+ap AS MATERIALIZED (SELECT node FROM dg WHERE d > 1 AND node IN (SELECT sy.dst FROM sy JOIN lf ON sy.src = lf.node) UNION SELECT nb.v FROM nb ANTI JOIN go ON go.cut = nb.v AND go.node = nb.w)"""
+TABLE = """dt AS (SELECT node, count(*) AS deg FROM (SELECT src AS node FROM net UNION ALL SELECT dst FROM net) GROUP BY 1), tn AS (SELECT component, count(*) AS n_nodes, count(ap.node) AS n_articulation, avg(deg) AS mean_degree FROM cc LEFT JOIN ap USING (node) JOIN dt USING (node) GROUP BY 1),
+te AS (SELECT component, count(*) AS n_segments, count(br.edge_id) AS n_bridges FROM net JOIN cc ON cc.node = net.src LEFT JOIN br USING (edge_id) GROUP BY 1), tab AS (SELECT * FROM tn JOIN te USING (component))"""
+
+
+@query("bridge_edges", "N7", f"{CUT} SELECT edge_id FROM br")
 def bridge_edges(spark, sf):
     return N.cut_structure(network(spark, sf))["bridges"]
 
 
-@query("component_report", "N8 N9 J5")
-def component_report(spark, sf):
+@query("articulation_nodes", "N8", f"{CUT} SELECT node FROM ap")
+def articulation_nodes(spark, sf):
+    return N.cut_structure(network(spark, sf))["articulation"]
+
+
+def _component_table(spark, sf):
     net = network(spark, sf)
     cut = N.cut_structure(net)
-    t = N.component_table(cut["components"], net, cut["bridges"], cut["articulation"], N.degrees(net))
-    return t.withColumns({k: r(c(k)) for k in ("mean_degree", "node_share")})
+    return N.component_table(cut["components"], net, cut["bridges"], cut["articulation"], N.degrees(net))
+
+
+@query(
+    "component_report",
+    "N9 J5",
+    f"{CUT}, {TABLE} SELECT component, n_nodes, n_articulation, round(mean_degree, 6) AS mean_degree, n_segments, n_bridges, round(n_nodes / sum(n_nodes) OVER (), 6) AS node_share, n_nodes = max(n_nodes) OVER () AS in_largest FROM tab",
+)
+def component_report(spark, sf):
+    return _component_table(spark, sf).withColumns({k: r(c(k)) for k in ("mean_degree", "node_share")})
+
+
+@query(
+    "connectivity_summary",
+    "N9",
+    f"""{CUT}, {TABLE}, big AS (SELECT * FROM tab ORDER BY n_nodes DESC, n_segments DESC, component DESC LIMIT 1), tot AS (SELECT CAST(sum(n_segments) AS BIGINT) AS s, CAST(sum(n_nodes) AS BIGINT) AS n, count(*) AS c, CAST(sum(n_bridges) AS BIGINT) AS b, CAST(sum(n_articulation) AS BIGINT) AS a FROM tab)
+    SELECT unnest(['segments_total', 'nodes_total', 'weak_components_total', 'largest_component_id', 'largest_component_segments', 'largest_component_share_pct', 'bridge_segments_total', 'bridge_segments_share_pct', 'articulation_nodes_total', 'articulation_nodes_share_pct']) AS metric,
+    unnest([s::VARCHAR, n::VARCHAR, c::VARCHAR, component, n_segments::VARCHAR, round(100 * n_segments / s, 2)::VARCHAR, b::VARCHAR, round(100 * b / s, 2)::VARCHAR, a::VARCHAR, round(100 * a / n, 2)::VARCHAR]) AS value FROM tot, big""",
+)
+def connectivity_summary(spark, sf):
+    return N.connectivity_summary(_component_table(spark, sf))
 
 
 @query("weighted_betweenness", "N5")

@@ -43,6 +43,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the checkpoint folder and read it again.
+
+    For loops that join a result with itself: a checkpoint keeps the planner's size estimate, which such a join squares every
+    round until planning takes longer than the work; a table has its true size."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint location for tables that outlive one job."""
     ensure_checkpoint_dir(spark)

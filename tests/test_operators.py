@@ -183,6 +183,30 @@ def test_bridges_and_articulation_match_removal(spark, seed):
     assert {r["node"]: r["component"] for r in got["components"].collect()} == lab
 
 
+def test_a_long_path_takes_logarithmic_rounds(spark, monkeypatch):
+    rounds = []
+    for name in ("pin", "tabled"):
+        monkeypatch.setattr(N, name, lambda df, keep=getattr(N, name): rounds.append(1) or keep(df))
+    path = spark.range(4999).select(F.col("id").alias("edge_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    loop = path.union(spark.createDataFrame([(9999, 4999, 4000)], path.schema))
+    got = N.cut_structure(loop)
+    assert got["bridges"].count() == 4000 and got["articulation"].count() == 4000
+    assert len(rounds) < 60
+
+
+def test_range_extremes_equal_a_scan(spark):
+    rng = random.Random(8)
+    points = [(k, at, rng.randrange(100), rng.randrange(100)) for k in "ab" for at in rng.sample(range(90), 25)]
+    ranges = [("ab"[i % 2], i, lo := rng.randrange(90), lo + rng.randrange(60)) for i in range(80)]
+    got = N.range_extremes(spark.createDataFrame(points, "key string, at long, low long, high long"), spark.createDataFrame(ranges, "key string, id long, first long, last long"), "key")
+    want = {}
+    for k, i, lo, hi in ranges:
+        inside = [p for p in points if p[0] == k and lo <= p[1] <= hi]
+        if inside:
+            want[i] = (min(p[2] for p in inside), max(p[3] for p in inside))
+    assert {r["id"]: (r["low"], r["high"]) for r in got.collect()} == want
+
+
 def test_betweenness_matches_brandes(spark):
     rng = random.Random(5)
     edges = [(i, rng.randrange(9), rng.randrange(9), float(rng.choice([1, 1, 2, 3]))) for i in range(30)]
