@@ -116,7 +116,7 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Data
     """
     h = F.xxhash64("edge_id")
     left = tabled(edges.where("src <> dst").select(F.struct(h.alias("h"), "edge_id", "src", "dst").alias("e"), F.col("src").alias("a"), F.col("dst").alias("b")))
-    names = tabled(nodes.select("node", F.col("node").alias("component")))
+    names = nodes = tabled(nodes.select("node", F.col("node").alias("component")))
     forest = None
     while not left.isEmpty():
         sides = left.union(left.select("e", F.col("b").alias("a"), F.col("a").alias("b")))
@@ -128,10 +128,11 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Data
         up = pick.join(back, "b", "left").select("a", F.when((F.col("bb") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("b"))
         up = jumped(up, "a", "b")
         renamed = lambda d, c: d.join(up.select(F.col("a").alias(c), F.col("b").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
-        names = tabled(renamed(names, "component"))
+        names = renamed(names, "component")  # one join a round, carried out at the end
         left = renamed(renamed(left, "a"), "b").where("a <> b")
         # of the edges between two components only the smallest can be chosen
         left = tabled(left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")).select("e", "a", "b"))
+    names = names if names is nodes else tabled(names)
     low = names.groupBy("component").agg(F.min("node").alias("__low"))
     names = tabled(names.join(low, "component").select("node", F.col("__low").alias("component")))
     return forest if forest is not None else edges.select("edge_id", "src", "dst").limit(0), names
@@ -139,15 +140,17 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Data
 
 def jumped(links: DataFrame, key: str, to: str, jumps: int = 3) -> DataFrame:
     """``links`` with ``to`` at the end of every chain (an end points at itself), by doubling; ``jumps`` doublings between two checkpoints."""
-    links = tabled(links.select(key, to))
+    links = links.select(key, to)
     while True:
         step = links
         for _ in range(jumps):
             on = step.select(F.col(key).alias(to), F.col(to).alias("__on"))
             step = step.join(on, to, "left").select(key, F.coalesce("__on", to).alias(to))
-        step = tabled(step.join(links.select(key, F.col(to).alias("__was")), key))
+        # an end is reached when the node pointed at points at itself
+        on = step.select(F.col(key).alias(to), F.col(to).alias("__on"))
+        step = tabled(step.join(on, to, "left").select(key, to, (F.col("__on") != F.col(to)).alias("open")))
         links = step.select(key, to)
-        if step.where(F.col(to) != F.col("__was")).isEmpty():
+        if step.where("open").isEmpty():
             return links
 
 
@@ -171,7 +174,7 @@ def rooted_forest(forest: DataFrame, names: DataFrame, fan: int = 1024) -> DataF
     open_ = F.col("rs").isNull()
     tour = tabled(tour.select("edge_id", "src", "dst", F.when(open_, F.col("on")).alias("on"), F.when(open_, F.col("dst")).alias("at"), open_.cast("bigint").alias("d")))
     while not tour.where("on IS NOT NULL").isEmpty():
-        for _ in range(2):
+        for _ in range(3):  # doublings between two tables
             ahead = tour.select(F.col("edge_id").alias("on"), F.col("src").alias("at"), F.col("on").alias("__on"), F.col("at").alias("__at"), F.col("d").alias("__d"))
             tour = tour.join(ahead, ["on", "at"], "left").select("edge_id", "src", "dst", F.col("__on").alias("on"), F.col("__at").alias("at"), (F.col("d") + F.coalesce("__d", F.lit(0))).alias("d"))
         tour = tabled(tour)
