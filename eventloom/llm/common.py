@@ -36,6 +36,17 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches, rows: int = 512):
     """Small pieces of Arrow batches, so that a worker holds few texts as Python objects at once."""
     for batch in batches:

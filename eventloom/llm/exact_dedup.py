@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACE
+from eventloom.llm.common import SPACE, spare
 from eventloom.operators.ordered import global_row_number
 from eventloom.session import pin
 
@@ -74,14 +74,14 @@ def exact_classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class of equal texts, all columns as they are.
 
-    Rows that repeat an id are told apart by their text; of rows repeated whole, one stays.
+    Rows that repeat an id are told apart by their text; of rows that share both, the one that is smallest written as JSON stays.
     """
-    kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    tagged = docs.withColumn("__sha", F.sha2(normalise(F.col("text")).cast("binary"), 256))
-    same = tagged["doc_id"].eqNullSafe(kept["__id"]) & (tagged["__sha"] == kept["__sha"])
-    out = tagged.join(kept, same, "left_semi")
-    twice = out.groupBy("doc_id", "__sha").agg(F.count("*").alias("c")).where("c > 1")
+    sha, no, owner, own = spare(docs, "sha", "no", "owner", "own")
+    kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias(owner), F.col("text_sha256").alias(own)).distinct()
+    tagged = docs.withColumn(sha, F.sha2(normalise(F.col("text")).cast("binary"), 256))
+    out = tagged.join(kept, F.col("doc_id").eqNullSafe(F.col(owner)) & (F.col(sha) == F.col(own)), "left_semi")
+    twice = out.groupBy("doc_id", sha).agg(F.count("*").alias(no)).where(F.col(no) > 1)
     if not twice.isEmpty():
-        rest = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
-        out = out.groupBy("doc_id", "__sha").agg(*rest).select(*docs.columns, "__sha")
+        row = F.struct(*docs.columns)
+        out = out.groupBy("doc_id", sha).agg(F.min_by(row, F.to_json(row)).alias(no)).select(f"{no}.*")
     return out.select(*docs.columns)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import arrow_map, raw, slices
+from eventloom.llm.common import arrow_map, raw, slices, spare
 from eventloom.operators.graph import components
 from eventloom.session import pin
 
@@ -271,5 +271,6 @@ def near_classes(docs: DataFrame, shingle: int = 2, threshold: float = 0.8, band
 
 def drop_near(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate class (the smallest id), all columns as they are."""
-    kept = near_classes(docs, shingle, threshold).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    (owner,) = spare(docs, "owner")
+    kept = near_classes(docs, shingle, threshold).where("kept").select(F.col("doc_id").alias(owner)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(owner)), "left_semi")

@@ -12,10 +12,11 @@ all others.  Rows that repeat an id are separate documents.  An empty table give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACE, arrow_map
+from eventloom.llm.common import SPACE, arrow_map, spare
+from eventloom.operators.joins import salted_join
 from eventloom.operators.ordered import global_row_number
 from eventloom.session import pin
 
@@ -86,6 +87,8 @@ def multipliers(hist: DataFrame, targets: DataFrame, limit: float = LIMIT, steps
         near = F.abs("gap") <= F.greatest(F.col("target") * tolerance, F.lit(1e-9))
         t = F.when(~F.col("open") | near, F.col("t")).when(inside, F.col("newton")).otherwise(half)
         state = pin(j.withColumns({"t": t, "open": F.col("open") & ~near}).select(*state.columns))
+    if not state.where("open").isEmpty():
+        raise RuntimeError(f"a source has not met its target after {steps} steps")
     # sums of doubles depend on their order in the last digits: rounded, a rerun gives the same rates
     return state.select("source", "source_size", "target", "mean", F.round("t", 9).alias("t"))
 
@@ -111,27 +114,48 @@ def _round(batches):
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT, rows_per_chunk: int = ROWS_PER_CHUNK, keys: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """Per row of ``docs``: ``*keys, size, source_size, target, rate, copies, taken``; texts are read once and never shuffled."""
-    rows = pin(docs.select(*keys, words(F.col("text")).alias("size")))
+    """Per row of ``docs``: ``*keys, size, source_size, target, rate, copies, taken``; texts are read once and never shuffled.
+
+    Rounding runs in chunks of a source that a hash of the id and the text deals out; rows repeated whole more often than a chunk has
+    rows are dealt out by their place in the table as well."""
+    rows = pin(docs.select(*keys, words(F.col("text")).alias("size"), F.xxhash64("text").alias("hash")).withColumn("place", F.monotonically_increasing_id()))
     hist = pin(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("__rows"))
     solved = multipliers(hist, source_targets(sizes.drop("__rows"), weights, limit), limit)
     counts = sizes.select(F.col("source").alias("__c"), F.ceil(F.col("__rows") / rows_per_chunk).alias("chunks"))
     solved = pin(solved.join(counts, solved["source"].eqNullSafe(F.col("__c"))).withColumnRenamed("source", "__s").drop("__c"))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("bigint")
+    often = pin(rows.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_chunk).select(F.col("doc_id").alias("__i"), F.col("hash").alias("__h")))
+    if not often.isEmpty():
+        same = rows["doc_id"].eqNullSafe(F.col("__i")) & (rows["hash"] == F.col("__h"))
+        # fewer rows than one in rows_per_chunk
+        rows = rows.join(often, same, "left").withColumn("place", F.when(F.col("__h").isNotNull(), F.floor(F.col("place") / rows_per_chunk)).otherwise(0)).drop("__i", "__h")
+    else:
+        rows = rows.withColumn("place", F.lit(0).cast("bigint"))
+    chunk = F.pmod(F.xxhash64("doc_id", "hash", "place"), F.col("chunks")).cast("bigint")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("t").isNull(), F.lit(limit)).otherwise(F.least(F.lit(limit), F.exp(F.least(F.col("t") * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    placed = rows.join(solved, rows["source"].eqNullSafe(F.col("__s"))).select(*keys, "size", "source_size", "target", chunk.alias("chunk"), rate.alias("rate"))
-    placed = placed.repartition("source", "chunk").sortWithinPartitions("source", "chunk", F.desc("size"), *[k for k in keys if k != "source"])
+    placed = rows.join(solved, rows["source"].eqNullSafe(F.col("__s"))).select(*keys, "size", "source_size", "target", chunk.alias("chunk"), rate.alias("rate"), "hash")
+    placed = placed.repartition("source", "chunk").sortWithinPartitions("source", "chunk", F.desc("size"), "hash", *[k for k in keys if k != "source"])
     out = arrow_map(placed, _round, ", ".join(f"{n} {t}" for n, t in placed.dtypes) + ", copies bigint")
-    return out.drop("chunk").withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop("chunk", "hash").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it (never, up to ``limit`` times), all columns as they are."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))
-    tagged = docs.withColumn("__no", F.row_number().over(order))
-    plan = mix(tagged, weights, limit, keys=("doc_id", "source", "__no")).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("__no").alias("__no2"), F.col("copies").alias("__copies"))
-    same = tagged["doc_id"].eqNullSafe(F.col("__id")) & (tagged["__no"] == F.col("__no2"))
-    return tagged.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+    """``docs`` with each row repeated as often as the mix takes it (never, up to ``limit`` times), all columns as they are.
+
+    Rows that share id, source and text share the copies of their key evenly."""
+    who, what, n, copies, part, nth, before, again = spare(docs, "who", "what", "rows", "copies", "part", "nth", "before", "again")
+    tagged = docs.withColumns({who: F.to_json(F.struct("doc_id", "source")), what: F.xxhash64("text")})
+    plan = mix(tagged.select("doc_id", "source", "text", who, what), weights, limit, keys=("doc_id", "source", who, what))
+    plan = pin(plan.groupBy(who, what).agg(F.count("*").alias(n), F.sum("copies").alias(copies)).where(F.col(copies) > 0))
+    joined = tagged.join(plan, [who, what]) if plan.where(F.col(n) > 1).isEmpty() else salted_join(tagged, plan, [who, what], rows_per_task=100_000)
+    out = joined.where(F.col(n) == 1)
+    many = pin(joined.where(F.col(n) > 1))
+    if not many.isEmpty():
+        # numbered by partition, so that a row repeated very often is nowhere one group
+        many = many.withColumn(part, F.spark_partition_id())
+        local = many.withColumn(nth, F.row_number().over(Window.partitionBy(part, who, what).orderBy(who)) - 1)
+        run = Window.partitionBy(who, what).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = many.groupBy(who, what, part).agg(F.count("*").alias(before)).select(who, what, part, F.coalesce(F.sum(before).over(run), F.lit(0)).alias(before))
+        share = F.floor(F.col(copies) / F.col(n)) + (F.col(nth) + F.col(before) < F.pmod(copies, n)).cast("bigint")
+        out = out.unionByName(local.join(offsets, [who, what, part]).withColumn(copies, share).where(F.col(copies) > 0).select(*out.columns))
+    return out.withColumn(again, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).select(*docs.columns)

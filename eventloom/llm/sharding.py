@@ -108,9 +108,3 @@ def shard(docs: DataFrame, shards: int = SHARDS, min_ranges: int = 1024, max_ran
     done = pin(run.select("doc_id", "size", "text_crc32", number.alias("shard"), (F.col("base_rows") + F.col("nth")).alias("nth")))
     firsts = done.groupBy("shard").agg(F.min("nth").alias("first"))  # one row per shard
     return done.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("nth") - F.col("first")).cast("bigint").alias("slot"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """``docs`` as one folder of Parquet files per shard.  Rows that share an id must share their text."""
-    plan = shard(docs, shards).select(F.col("doc_id").alias("__id"), "shard").distinct()
-    docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id").write.partitionBy("shard").parquet(path)
