@@ -54,7 +54,7 @@ def slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-def sized(batches, column: int, size: int = 6 << 20):
+def sized(batches, column: int, size: int = 3 << 20):
     """Pieces of Arrow batches whose texts in ``column`` are together about ``size`` bytes at most, or one row if that has more."""
     for batch in batches:
         ends = flat(batch.column(column))[1]
@@ -145,7 +145,7 @@ class WordTokenizer:
     ``<|endoftext|>``, which the library finds before it cuts.
     """
 
-    LIMIT = 1_000_000  # pre-tokens of the memo; beyond it those met in one batch only go, which changes nothing but speed
+    LIMIT = 400_000  # pre-tokens of the memo; beyond it those met in one batch only go, which changes nothing but speed
     CHUNK = 1_000_000  # pre-tokens whose ids are gathered at a time
 
     def __init__(self, path: str):
