@@ -105,6 +105,13 @@ def ring_area(ring: Column) -> Column:
     return F.abs(cross) / 2
 
 
+def ring_span(ring: Column) -> Column:
+    """Twice the largest triangle over the first vertex and the one farthest from it: zero only when all vertices lie on a line."""
+    o = F.element_at(ring, 1)
+    far = F.element_at(F.array_sort(F.transform(ring, lambda v: F.struct((-hypot(v["x"] - o["x"], v["y"] - o["y"])).alias("d"), v.alias("v")))), 1)["v"]
+    return F.array_max(F.transform(ring, lambda v: F.abs((far["x"] - o["x"]) * (v["y"] - o["y"]) - (far["y"] - o["y"]) * (v["x"] - o["x"]))))
+
+
 def endpoints(line: Column) -> tuple[Column, Column]:
     return F.element_at(line, 1), F.element_at(line, -1)
 

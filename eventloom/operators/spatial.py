@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import geometry as G
+from eventloom.operators.cells import first_hits
 from eventloom.operators.joins import salted_join
 from eventloom.operators.sampling import top_n_per_group
 from eventloom.session import pin
@@ -257,17 +258,8 @@ def coastward_endpoints(lines: DataFrame, shore: DataFrame, lid: str, line: str,
 
 def first_shore_hit(anchors: DataFrame, shore: DataFrame, lid: str, shore_id: str, reach: float, cell: float) -> DataFrame:
     """Nearest shore piece crossed by the ray from each anchor; parallel pieces never count."""
-    rays = anchors.select(
-        lid, F.col("ax").alias("x1"), F.col("ay").alias("y1"), (F.col("ax") + F.col("ux") * reach).alias("x2"), (F.col("ay") + F.col("uy") * reach).alias("y2")
-    )
-    l = _cells(_rename(rays, lid, "lid", L4), L4, cell, 0.0, "l")
-    r = _cells(_rename(shore, shore_id, "rid", R4), R4, cell, 0.0, "r")
-    j = salted_join(l, r, ["cx", "cy"]).where((F.col("cx") == F.greatest("lx0", "rx0")) & (F.col("cy") == F.greatest("ly0", "ry0")))
-    a, b = G.point(F.col("rx1"), F.col("ry1")), G.point(F.col("rx2"), F.col("ry2"))
-    t, u = G.cut_parameters(*[F.col(c) for c in L4], a, b)
-    hit = j.withColumns({"t": t, "u": u}).where(F.col("t").between(0, 1) & F.col("u").between(0, 1))
-    best = hit.groupBy(F.col("lid").alias(lid)).agg(F.min(F.struct("t", "rid")).alias("b"))
-    return best.select(lid, F.col("b.rid").alias(shore_id), (F.col("b.t") * reach).alias("touch_distance"))
+    rays = anchors.select(lid, F.col("ax").alias("x"), F.col("ay").alias("y"), "ux", "uy")
+    return first_hits(rays, shore, lid, shore_id, reach, cell).withColumnRenamed("distance", "touch_distance")
 
 
 def seed_edges(lines: DataFrame, shore: DataFrame, lid: str, line: str, shore_id: str, buffer: float, reach: float, cell: float, keep: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ from eventloom.functions import temporal as T
 from eventloom.functions import text as X
 from eventloom.functions import units as U
 from eventloom.plans.registry import query, table
+from eventloom.sources.nested import CLEARANCE_KEYS, deep_find_number, station_catalog
 
 c = F.col
 
@@ -269,27 +270,64 @@ def target_transforms(spark, sf):
     )
 
 
-def _nested(spark, sf):
+_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+#: Payloads of several shapes made from the event rows: direct, nested, in lists, hidden behind a text, absent.
+_PAYLOADS = f"""p AS (SELECT event_id, CASE event_id % 5
+    WHEN 0 THEN '{{"clearance": "' || {_K} || '", "deep": {{"clearance_ft": 1}}}}'
+    WHEN 1 THEN '{{"name": "' || event_type || '", "z": {{"list": [1, {{"a": {{"clearance": "n/a", "b": {{"air_gap_height": ' || {_K} || '}}}}}}, {{"clearance": 7}}]}}, "clearance": null, "b": {{"clearance": -1}}}}'
+    WHEN 2 THEN '[{{"x": "{{\\"clearance\\": 5}}"}}, {{"vertical_clearance": ' || value || ', "bridge_clearance": ""}}]'
+    WHEN 3 THEN '{{"station": {{"bridge": {{"clearance": {{"clearance": ' || {_K} || '}}}}}}}}'
+    ELSE '{{"name": "' || event_type || '", "values": [1, 2, 3]}}' END AS payload FROM events)"""
+
+
+def _payloads(spark, sf):
     e = table(spark, sf, "events")
-    body = F.to_json(F.struct(F.struct(F.struct(F.get_json_object("props", "$.k").alias("clearance")).alias("bridge"), F.col("event_type").alias("name")).alias("station")))
-    return e.select("event_id", "props", body.alias("payload"))
+    k, v = F.get_json_object("props", "$.k").cast("int").cast("string"), c("value").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    shape = F.pmod("event_id", F.lit(5))
+    body = (
+        F.when(shape == 0, text('{"clearance": "', k, '", "deep": {"clearance_ft": 1}}'))
+        .when(shape == 1, text('{"name": "', c("event_type"), '", "z": {"list": [1, {"a": {"clearance": "n/a", "b": {"air_gap_height": ', k, '}}}, {"clearance": 7}]}, "clearance": null, "b": {"clearance": -1}}'))
+        .when(shape == 2, text('[{"x": "{\\"clearance\\": 5}"}, {"vertical_clearance": ', v, ', "bridge_clearance": ""}]'))
+        .when(shape == 3, text('{"station": {"bridge": {"clearance": {"clearance": ', k, "}}}}"))
+        .otherwise(text('{"name": "', c("event_type"), '", "values": [1, 2, 3]}'))
+    )
+    return e.select("event_id", "event_type", body.alias("payload"))
+
+
+_PRIORITY = "CASE key " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(CLEARANCE_KEYS)) + " END"
 
 
 @query(
     "nested_search",
-    "F30 S8 S27",
-    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS first_hit, round(CAST(json_extract_string(props, '$.k') AS DOUBLE) * 0.3048, 6) AS clearance_m,
-    CASE WHEN event_type = 'error' THEN 'station ' || event_id ELSE event_type END AS station_name FROM events""",
+    "F30",
+    f"""WITH {_PAYLOADS}, t AS (SELECT event_id, j.parent AS owner, {_PRIORITY} AS rank, CASE WHEN j.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN try_cast(json_extract_string(j.value, '$') AS DOUBLE) END AS v FROM p, json_tree(p.payload) j),
+    h AS (SELECT event_id, arg_min(v, (owner, rank)) AS v FROM t WHERE rank IS NOT NULL AND v IS NOT NULL GROUP BY 1) SELECT event_id, v AS first_hit, round(v * 0.3048, 6) AS clearance_m FROM p LEFT JOIN h USING (event_id)""",
 )
 def nested_search(spark, sf):
-    e = _nested(spark, sf)
-    paths = ["$.clearance", "$.station.clearance", "$.station.bridge.clearance"]
-    hit = F.coalesce(*[F.get_json_object("payload", p).try_cast("double") for p in paths])
-    name = F.get_json_object("payload", "$.station.name")
-    return e.select(
-        "event_id", hit.alias("first_hit"), r(hit * U.FT_TO_M).alias("clearance_m"),
-        F.when(name == "error", F.concat(F.lit("station "), c("event_id").cast("string"))).otherwise(name).alias("station_name"),
+    hit = deep_find_number(_payloads(spark, sf), "event_id", "payload", CLEARANCE_KEYS, "first_hit")
+    return hit.select("event_id", "first_hit", r(c("first_hit") * U.FT_TO_M).alias("clearance_m"))
+
+
+@query(
+    "station_catalog",
+    "S27 S8",
+    """SELECT CASE WHEN s_suppkey % 3 = 2 THEN 'S' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS station_id, CASE WHEN s_suppkey % 3 = 2 THEN 'fallback' ELSE s_name END AS station_name, 'primary' AS role,
+    CASE WHEN s_suppkey % 3 < 2 THEN 40.0::DOUBLE + s_nationkey END AS lat, CASE WHEN s_suppkey % 3 < 2 THEN -74.0::DOUBLE END AS lon, CASE WHEN s_suppkey % 3 = 1 THEN 'NY' END AS state, CASE WHEN s_suppkey % 3 = 0 THEN 'true' END AS tidal,
+    CASE WHEN s_suppkey % 3 = 1 THEN 'bridge' END AS station_type, CASE WHEN s_suppkey % 3 < 2 THEN round(s_nationkey * 0.3048::DOUBLE, 6) END AS bridge_clearance_m FROM supplier""",
+)
+def station_catalog_rows(spark, sf):
+    key, nation = c("s_suppkey").cast("string"), c("s_nationkey").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    shape = F.pmod("s_suppkey", F.lit(3))
+    name = text('"name": "', c("s_name"), '"')
+    body = (
+        F.when(shape == 0, text('{"id": "', key, '", ', name, ', "lat": ', (c("s_nationkey") + 40).cast("string"), ', "lng": -74, "tidal": true, "details": {"clearance": ', nation, "}}"))
+        .when(shape == 1, text('{"count": 1, "stations": [{"id": "', key, '", ', name, ', "latitude": "', (c("s_nationkey") + 40).cast("string"), '", "longitude": "-74.0", "stateCode": "NY", "type": "bridge", "more": [[{"air_gap_height_ft": ', nation, "}]]}]}"))
+        .otherwise(F.lit('{"units": "feet", "stations": []}'))
     )
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("S"), key).alias("given"), F.lit("fallback").alias("name"), F.lit("primary").alias("role"), body.alias("payload"))
+    return station_catalog(s, "payload", "given", "name", "role").withColumn("bridge_clearance_m", r(c("bridge_clearance_m")))
 
 
 @query(

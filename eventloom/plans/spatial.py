@@ -9,6 +9,7 @@ from eventloom.functions import labels as L
 from eventloom.functions.text import decimal_point
 from eventloom.functions.units import US_FT_TO_M
 from eventloom.operators import spatial as S
+from eventloom.operators.cells import boundary_filter, points_in_cover, polygon_cover
 from eventloom.plans.registry import query, table
 
 c = F.col
@@ -419,12 +420,40 @@ def modal_label(spark, sf):
     return S.modal_label(table(spark, sf, "lineitem"), "l_suppkey", "l_linenumber")
 
 
+# a city with a bay: the upper edge of the boundary is notched down to its middle
+BOUNDARY = [(-150, -150), (150, -150), (150, 150), (20, 150), (0, -40), (-20, 150), (-150, 150)]
+
+
+def boundary(spark, sf):
+    """The notched boundary as one row, taken from the smallest id so that it comes from the tables."""
+    ring = F.array(*[G.point(F.lit(float(x)), F.lit(float(y))) for x, y in BOUNDARY])
+    return table(spark, sf, "embeddings").agg(F.min("vec_id").alias("bid")).select("bid", ring.alias("ring"))
+
+
+_BEDGES = "be AS (SELECT * FROM (VALUES " + ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(BOUNDARY, BOUNDARY[1:] + BOUNDARY[:1])) + ") AS t(x1, y1, x2, y2))"
+
+
+def _odd(edges, px, py):
+    return f"(SELECT count(*) FROM {edges} e WHERE ((e.y1 > {py}) <> (e.y2 > {py})) AND {px} < (e.x2 - e.x1) * ({py} - e.y1) / (e.y2 - e.y1) + e.x1) % 2 = 1"
+
+
 @query(
-    "boundary_pieces",
+    "boundary_zones",
     "G17 G6",
-    f"SELECT vec_id AS lid FROM embeddings WHERE {_s(17)} BETWEEN -150 AND 150 AND {_s(18)} BETWEEN -150 AND 150",
+    f"""WITH {QUAD}, {_BEDGES}, rg AS ({_RINGS}), cr AS (SELECT DISTINCT a.gid FROM rg a JOIN be b ON {_cross('a', 'b')}), vi AS (SELECT DISTINCT gid FROM rg WHERE {_odd('be', 'rg.x1', 'rg.y1')}),
+    bi AS (SELECT DISTINCT gid FROM qd JOIN (SELECT x1 AS px, y1 AS py FROM be) ON {_inside('px', 'py')}) SELECT gid, zone FROM qd WHERE gid IN (FROM cr) OR gid IN (FROM vi) OR gid IN (FROM bi)""",
 )
-def boundary_pieces(spark, sf):
-    box = F.array(*[G.point(F.lit(float(x)), F.lit(float(y))) for x, y in ((-150, -150), (150, -150), (150, 150), (-150, 150))])
-    l = lines(spark, sf)
-    return l.where(G.inside_ring(box, c("line")[0]["x"], c("line")[0]["y"])).select("lid")
+def boundary_zones(spark, sf):
+    q = quads(spark, sf)
+    return q.join(boundary_filter(q, boundary(spark, sf), "gid", 25.0), "gid", "left_semi").select("gid", "zone")
+
+
+@query(
+    "points_in_boundary",
+    "G17 G6 P6",
+    f"WITH {PTS}, {_BEDGES} SELECT vec_id, {_odd('be', 'pts.x', 'pts.y')} AS inside FROM pts",
+)
+def points_in_boundary(spark, sf):
+    p = points(spark, sf)
+    hit = points_in_cover(p, polygon_cover(boundary(spark, sf), "bid", 25.0), "vec_id", "bid", 25.0)
+    return p.join(hit, "vec_id", "left").select("vec_id", c("bid").isNotNull().alias("inside"))
