@@ -85,7 +85,7 @@ def chunk_windows(spark, sf):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("monthly_landing", "S13 S25 P1", "SELECT strftime(o_orderdate, '%Y_%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
+@query("monthly_landing", "S13 P1", "SELECT strftime(o_orderdate, '%Y_%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
 def monthly_landing(spark, sf):
     o = table(spark, sf, "orders")
     path = scratch_path(spark, "landed")
@@ -95,6 +95,22 @@ def monthly_landing(spark, sf):
     return spark.read.parquet(path).groupBy(c("month").cast("string").alias("month")).agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query(
+    "plan_driven_landing",
+    "S25 S13",
+    """SELECT CASE WHEN o_orderdate < DATE '1995-01-01' THEN 'orders_to_1994' ELSE 'orders_from_1995' END AS folder, strftime(o_orderdate, '%Y_%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
+    FROM orders WHERE o_orderdate >= DATE '1992-03-10' AND o_orderdate < DATE '1998-07-01' GROUP BY 1, 2""",
+)
+def plan_driven_landing(spark, sf):
+    o = table(spark, sf, "orders")
+    root = scratch_path(spark, "planned")
+    archives = {"early": ("1992-03-10", "1994-12-31", "orders_to_1994"), "late": ("1995-01-01", "1998-06-30", "orders_from_1995")}
+    plan = spark.createDataFrame([(a, *row) for a, row in archives.items()], "archive string, start string, end string, folder string")
+    L.land_plan(plan.where("archive = 'early'"), lambda archive: o, "o_orderdate", root)
+    L.land_plan(plan, lambda archive: o, "o_orderdate", root)  # the first archive's months are in the manifest
+    return L.landed(spark, root, o.schema).groupBy("folder", "month").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("streamed_landing", "S13", "SELECT strftime(ts, '%Y_%m') AS month, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streamed_landing(spark, sf):
     base = scratch_path(spark, "stream")

@@ -420,8 +420,19 @@ def modal_label(spark, sf):
     return S.modal_label(table(spark, sf, "lineitem"), "l_suppkey", "l_linenumber")
 
 
+@query(
+    "boundary_pieces",
+    "G6",
+    f"SELECT vec_id AS lid FROM embeddings WHERE {_s(17)} BETWEEN -150 AND 150 AND {_s(18)} BETWEEN -150 AND 150",
+)
+def boundary_pieces(spark, sf):
+    box = F.array(*[G.point(F.lit(float(x)), F.lit(float(y))) for x, y in ((-150, -150), (150, -150), (150, 150), (-150, 150))])
+    l = lines(spark, sf)
+    return l.where(G.inside_ring(box, c("line")[0]["x"], c("line")[0]["y"])).select("lid")
+
+
 # a city with a bay: the upper edge of the boundary is notched down to its middle
-BOUNDARY = [(-150, -150), (150, -150), (150, 150), (20, 150), (0, -40), (-20, 150), (-150, 150)]
+BOUNDARY = [(30, 30), (180, 30), (180, 180), (110, 180), (100, 60), (90, 180), (30, 180)]
 
 
 def boundary(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from eventloom.session import path_exists
 from eventloom.sources.columns import is_complete
+from eventloom.sources.windows import calendar_months
 
 
 ROWS_PER_FILE = 4_000_000
@@ -48,6 +50,50 @@ def land_months(batch: DataFrame, ts: str, path: str, clean: Callable[[DataFrame
     return new
 
 
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    schema = "archive string, folder string, month string, batch string, rows bigint"
+    path = f"{root}/manifest"
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def land_plan(plan: DataFrame, read: Callable[[str], DataFrame], ts: str, root: str, before_commit: Callable[[str], None] | None = None) -> int:
+    """Land the months that ``plan (archive, start, end, folder)`` asks for and the manifest lacks; returns how many were new.
+
+    ``read(archive)`` gives an archive's rows; those with ``start <= day of ts <= end`` are written to a fresh batch folder,
+    a partition per month, and only then is one file appended to the manifest, with a row for every month of the batch (months
+    without rows too, so that they are not asked for again).  ``landed`` reads what the manifest names, so a batch whose writer
+    died before that file is never seen, and the next run lands its months once more: no month is missed or repeated.
+    One writer at a time per root.  Rows without a time belong to no month of a plan.  The driver holds plan rows and months only."""
+    spark = plan.sparkSession
+    windows = plan.select("archive", "folder", F.inline(calendar_months(F.col("start").cast("date"), F.col("end").cast("date")))).withColumnRenamed("tag", "month")
+    pending = windows.join(_manifest(spark, root), ["archive", "folder", "month"], "left_anti").collect()  # one row per month of a plan
+    day = F.to_date(ts)
+    for archive, folder in sorted({(p.archive, p.folder) for p in pending}):
+        asked = [p for p in pending if (p.archive, p.folder) == (archive, folder)]
+        window = spark.createDataFrame([(p.month, p.window_start, p.window_end) for p in asked], "month string, __start date, __end date")
+        rows = read(archive).where((F.col(ts) >= F.lit(min(p.window_start for p in asked))) & (F.col(ts) < F.lit(max(p.window_end for p in asked))))
+        rows = rows.withColumn("month", F.date_format(ts, "yyyy_MM")).join(F.broadcast(window), "month").where((day >= F.col("__start")) & (day < F.col("__end"))).drop("__start", "__end")
+        batch = f"{root}/data/{folder}/{uuid.uuid4().hex}"
+        rows.write.partitionBy("month").parquet(batch)
+        if before_commit:
+            before_commit(archive)
+        written = spark.read.schema(rows.schema).parquet(batch).groupBy(F.col("month").cast("string")).count()  # one row per month
+        counts = dict(tuple(r) for r in written.collect())
+        entries = [(archive, folder, p.month, batch, counts.get(p.month, 0)) for p in asked]
+        spark.createDataFrame(entries, "archive string, folder string, month string, batch string, rows bigint").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return len(pending)
+
+
+def landed(spark: SparkSession, root: str, schema: T.StructType | str, folder: str | None = None) -> DataFrame:
+    """Rows of the batches that the manifest names, of one folder or all, with their ``folder`` and ``month``."""
+    named = _manifest(spark, root).where("rows > 0")
+    named = (named.where(F.col("folder") == folder) if folder else named).select("folder", "batch").distinct().collect()  # one row per batch
+    parts = [spark.read.parquet(b.batch).withColumns({"month": F.col("month").cast("string"), "folder": F.lit(b.folder)}) for b in sorted(named)]
+    if not parts:
+        return spark.createDataFrame([], schema).withColumns({"month": F.lit(None).cast("string"), "folder": F.lit(None).cast("string")})
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def materialize_if_stale(spark: SparkSession, path: str, build: Callable[[], DataFrame], required: Sequence[str], flag: Column | None = None) -> tuple[DataFrame, bool]:
     """Read the cached table when it meets its contract, else build and write it; says whether it was built."""
     if path_exists(spark, path):
