@@ -53,10 +53,9 @@ def snap_endpoints(endpoints: DataFrame, tolerance: float) -> DataFrame:
     appearance in ``idx`` order.
     """
     spots = pin(endpoints.groupBy("level", "x", "y").agg(F.min("idx").alias("spot")))
-    tagged = spots.select(F.struct("level", "spot").alias("pid"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    close = within_pairs(tagged, tagged, "pid", "pid", tolerance, (True, True))
-    close = close.where((F.col("lid.level") == F.col("rid.level")) & (F.col("lid.spot") < F.col("rid.spot")))
-    edges = close.select(F.col("lid.spot").alias("src"), F.col("rid.spot").alias("dst"))
+    tagged = spots.select(F.col("spot").alias("pid"), "level", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    close = within_pairs(tagged, tagged, "pid", "pid", tolerance, (True, True), by=["level"])
+    edges = close.where(F.col("lid") < F.col("rid")).select(F.col("lid").alias("src"), F.col("rid").alias("dst"))
     comp = components(edges, spots.select(F.col("spot").alias("node")))
     numbers = global_row_number(comp.select("component").distinct(), ["component"], "n").select("component", (F.col("n") - 1).alias("node_id"))
     spot_nodes = comp.join(numbers, "component").select(F.col("node").alias("spot"), "node_id")

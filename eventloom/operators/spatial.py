@@ -44,8 +44,8 @@ def _cells(df: DataFrame, p: Sequence[str], size: float, grow: float, tag: str)
     return out.withColumn("cy", F.explode(F.sequence(F.col(f"{tag}y0"), yn)))
 
 
-def _rename(df: DataFrame, id_: str, new: str, names: Sequence[str]) -> DataFrame:
-    return df.select(F.col(id_).alias(new), *[F.col(c).alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), names)])
+def _rename(df: DataFrame, id_: str, new: str, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return df.select(F.col(id_).alias(new), *by, *[F.col(c).alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), names)])
 
 
 def piece_distance(points: tuple[bool, bool] = (False, False)) -> Column:
@@ -67,13 +67,13 @@ def piece_distance(points: tuple[bool, bool] = (False, False)) -> Column:
     return F.when(G.segments_cross(lx1, ly1, lx2, ly2, rx1, ry1, rx2, ry2), F.lit(0.0)).otherwise(ends)
 
 
-def within_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, d: float, points: tuple[bool, bool] = (False, False), cell: float | None = None) -> DataFrame:
-    """Piece pairs ``(lid, rid, dist)`` at distance ``<= d``; a pair of shapes appears once per piece pair."""
+def within_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, d: float, points: tuple[bool, bool] = (False, False), cell: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Piece pairs ``(lid, rid, dist)`` at distance ``<= d``, equal in the columns ``by``; a pair of shapes appears once per piece pair."""
     size = cell or d
-    l = _cells(_rename(left, lid, "lid", L4), L4, size, 0.0, "l")
-    r = _cells(_rename(right, rid, "rid", R4), R4, size, d, "r")
+    l = _cells(_rename(left, lid, "lid", L4, by), L4, size, 0.0, "l")
+    r = _cells(_rename(right, rid, "rid", R4, by), R4, size, d, "r")
     first = (F.col("cx") == F.greatest("lx0", "rx0")) & (F.col("cy") == F.greatest("ly0", "ry0"))
-    j = salted_join(l, r, ["cx", "cy"]).where(first)
+    j = salted_join(l, r, ["cx", "cy", *by]).where(first)
     return j.withColumn("dist", piece_distance(points)).where(F.col("dist") <= d).select("lid", "rid", "dist")
 
 
@@ -275,6 +275,11 @@ def seed_edges(lines: DataFrame, shore: DataFrame, lid: str, line: str, shore_id
     return top_n_per_group(s, [shore_id], [F.col("touch_distance"), F.col(lid)], keep)
 
 
+def label_lengths(df: DataFrame, label: str, length: str) -> DataFrame:
+    """Number of edges and their total length per label; edges without a label are a group of their own."""
+    return df.groupBy(label).agg(F.count("*").alias("edges"), F.sum(length).alias("total_length_ft"))
+
+
 def modal_label(df: DataFrame, key: str, label: str) -> DataFrame:
     """Most frequent label per key, smallest on ties, null labels ignored."""
     counts = df.where(F.col(label).isNotNull()).groupBy(key, label).agg(F.count("*").alias("n"))

@@ -86,7 +86,7 @@ def bfs_labels(spark, sf):
 
 @query(
     "edge_label_propagation",
-    "N10 N11 A31",
+    "N10 N11",
     f"""{BFS} SELECT edge_id, coalesce(CASE WHEN a.node IS NULL OR (b.hops, b.label) < (a.hops, a.label) THEN b.label ELSE a.label END, 'nearest') AS label, CASE WHEN a.node IS NULL THEN b.hops WHEN b.node IS NULL THEN a.hops ELSE least(a.hops, b.hops) END AS hops, edge_id LIKE 's%' AND seed.node IS NOT NULL AS seed_edge
     FROM net LEFT JOIN bf a ON a.node = src LEFT JOIN bf b ON b.node = dst LEFT JOIN seed ON seed.node = edge_id""",
 )

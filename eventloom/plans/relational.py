@@ -69,7 +69,7 @@ def outer_reduce(spark, sf):
 
 @query(
     "outer_counts",
-    "J5 A31",
+    "J5",
     """WITH a AS (SELECT c_nationkey AS k, count(*) AS customers, sum(c_acctbal) AS bal FROM customer WHERE c_acctbal < 0 GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
     SELECT k, coalesce(customers, 0) AS customers, round(coalesce(bal, 0), 2) AS bal, coalesce(suppliers, 0) AS suppliers FROM a FULL JOIN b USING (k)""",
 )

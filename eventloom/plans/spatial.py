@@ -411,6 +411,18 @@ def shore_seed_edges(spark, sf):
     return s.select("lid", "station", r(c("touch_distance"), 5).alias("touch_distance"), "terminal")
 
 
+@query(
+    "shore_label_summary",
+    "A31",
+    f"""WITH {SHORE}, {PIECES}, {ENDS}, {RAYS}, le AS (SELECT lid, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS length_ft FROM ln GROUP BY 1)
+    SELECT hit AS station, count(*) AS edges, round(sum(length_ft), 3) AS total_length_ft FROM le LEFT JOIN fh USING (lid) GROUP BY 1""",
+)
+def shore_label_summary(spark, sf):
+    sh, l = shore(spark, sf), lines(spark, sf)
+    hits = S.first_shore_hit(S.coastward_endpoints(l, sh, "lid", "line", "station", 60.0), sh, "lid", "station", 500.0, 120.0)
+    return S.label_lengths(l.join(hits, "lid", "left"), "station", "length_ft").withColumn("total_length_ft", r(c("total_length_ft"), 3))
+
+
 @query(
     "modal_label",
     "G24 A4",
