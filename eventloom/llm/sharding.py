@@ -3,12 +3,15 @@
 Rows are ordered by ``(hash of the text, hash of the id)``, so equal texts are neighbours and the order is random otherwise.
 A sample drawn in proportion to size gives the quantiles of that order; they cut it into ranges, a key that owns several
 quantiles is cut by its second hash, and a range that still holds more than twice its share is cut into equal steps.  Exact
-byte and row totals per range, and running totals within a range, place the middle of every row at its exact byte position.  A
-shard is one of ``shards`` equal stretches of bytes; a group of equal texts goes whole to the shard of its middle
-unless it holds more than ``whole_share`` of a shard.
+byte and row totals per range, and running totals within a range, place every row at its exact byte position.
+
+A shard is one ``shards``-th of the bytes.  Groups of equal texts above a quarter of a range (at most four for each range, so
+their hashes and sizes may go to the driver) are placed first, largest first, whole, in the fullest shard that has room.  All
+other rows flow in order into the room that is left, a group of equal texts whole at the place of its middle.  Only a
+group that no shard has room for flows in row by row and is split.
 
 Only (id, size, checksum, hashes) travel, never texts.  The driver holds the splitters and range totals: at most
-``max_ranges`` ranges and 16 sampled keys for each.
+``max_ranges`` ranges, 16 sampled keys and four large groups for each.
 
 Defined cases: a null text is empty (size 1, checksum 0).  Null ids come first among equals.  Rows repeated whole are separate
 rows.  An empty table gives an empty result.
@@ -25,11 +28,12 @@ from eventloom.session import pin
 
 SHARDS = 16
 PER_RANGE = 16
+LARGE = 4  # a group of equal texts is large above this part of a range
 
 
-def splitters(sample: list[tuple[int, int, float]], ranges: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def splitters(sample: list[tuple[int, int, float]], ranges: int, divisible: set[int] | dict[int, int] | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Range bounds from weighted ``(k1, k2, weight)``: first hashes that start a range, and for a first hash that owns more than
-    one quantile, the second hashes that cut it."""
+    one quantile, the second hashes that cut it.  Only ``divisible`` first hashes (by default all) are cut."""
     s = sorted(sample)
     if not s:
         return np.zeros(0, np.int64), {}
@@ -39,11 +43,24 @@ def splitters(sample: list[tuple[int, int, float]], ranges: int) -> tuple[np.nda
     first: dict[int, list[int]] = {}
     for a, b in picks:
         first.setdefault(a, []).append(b)
-    hot = {a: np.unique(np.array(b, dtype=np.int64)) for a, b in first.items() if len(b) > 1}
+    hot = {a: np.unique(np.array(b, dtype=np.int64)) for a, b in first.items() if len(b) > 1 and (divisible is None or a in divisible)}
     starts = set(first) | {a + 1 for a in hot if a < 2**63 - 1}  # a hot key has its ranges to itself
     return np.array(sorted(starts), dtype=np.int64), hot
 
 
+def placements(groups: dict[int, int], total: int, shards: int) -> tuple[dict[int, int], list[float]]:
+    """``(shard of each group that fits, room left in each shard)``: largest first, into the shard with the least room that will do."""
+    room = [total / shards] * shards
+    placed = {}
+    for key, size in sorted(groups.items(), key=lambda g: (-g[1], g[0])):
+        fits = [(left, i) for i, left in enumerate(room) if left >= size]
+        if fits:
+            _, i = min(fits)
+            placed[key] = i
+            room[i] -= size
+    return placed, room
+
+
 def _ranger(starts: np.ndarray, hot: dict[int, np.ndarray]):
     """Number of the range of each row; a hot key takes one number for each of its cuts."""
     extra = np.zeros(len(starts) + 1, dtype=np.int64)
@@ -66,7 +83,7 @@ def _ranger(starts: np.ndarray, hot: dict[int, np.ndarray]):
     return run
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, min_ranges: int = 1024, max_ranges: int = 65_536, rows_per_range: int = 1_000_000, whole_share: float = 0.01) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, min_ranges: int = 1024, max_ranges: int = 65_536, rows_per_range: int = 1_000_000) -> DataFrame:
     """Per row of ``docs``: ``doc_id, size, text_crc32, shard, slot`` with slots from 0 without gaps in each shard."""
     b = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.length(b) + 1).cast("bigint").alias("size"), F.crc32(b).alias("text_crc32"), F.xxhash64(b).alias("k1"), F.xxhash64("doc_id").alias("k2"))
@@ -75,10 +92,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, min_ranges: int = 1024, max_ran
     if not n:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     ranges = int(min(max_ranges, max(min_ranges, n // rows_per_range)))
+    large = {r.k1: r["size"] for r in rows.groupBy("k1").agg(F.sum("size").alias("size")).where(F.col("size") > total / (LARGE * ranges)).collect()}  # fewer than LARGE * ranges
+    fitted, room = placements(large, total, shards)
+    kinds = rows.sparkSession.createDataFrame([(k, fitted.get(k)) for k in large], "k1 bigint, at int")
+    # `at`: the shard of a large group that fits; `flow`: the bytes a row takes of the room left
+    rows = rows.join(F.broadcast(kinds.withColumn("large", F.lit(True))), "k1", "left").withColumn("flow", F.when(F.col("at").isNull(), F.col("size")).otherwise(0))
     chance = F.least(F.lit(1.0), F.col("size") * (PER_RANGE * ranges / total))
     draw = F.pmod(F.xxhash64("k2", "k1", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < chance).select("k1", "k2", (F.col("size") / chance).alias("w")).collect()
-    starts, hot = splitters([tuple(r) for r in sample], ranges)
+    starts, hot = splitters([tuple(r) for r in sample], ranges, large)
     types = dict(rows.dtypes)
     placed = arrow_map(rows, _ranger(starts, hot), ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", range bigint")
 
@@ -92,19 +114,29 @@ def shard(docs: DataFrame, shards: int = SHARDS, min_ranges: int = 1024, max_ran
     placed = placed.join(F.broadcast(over), F.col("range") == F.col("r"), "left").select(*types, "range", step.alias("step"))
     placed = pin(placed)
 
-    counts = sorted(tuple(r) for r in placed.groupBy("range", "step").agg(F.sum("size"), F.count("*")).collect())  # at most 3 * max_ranges rows
-    bases, at_bytes, at_rows = [], 0, 0
-    for r, s, size, k in counts:
-        bases.append((r, s, at_bytes, at_rows))
-        at_bytes, at_rows = at_bytes + size, at_rows + k
-    base = rows.sparkSession.createDataFrame(bases, "range bigint, step bigint, base_bytes bigint, base_rows bigint")
+    flows = F.col("at").isNull()
+    # at most 3 * max_ranges rows
+    counts = sorted(tuple(r) for r in placed.groupBy("range", "step").agg(F.sum("flow"), F.count_if(flows), F.count("*")).collect())
+    bases, at_bytes, at_flow, at_row = [], 0, 0, 0
+    for r, s, size, k, k_all in counts:
+        bases.append((r, s, at_bytes, at_flow, at_row))
+        at_bytes, at_flow, at_row = at_bytes + size, at_flow + k, at_row + k_all
+    base = rows.sparkSession.createDataFrame(bases, "range bigint, step bigint, base_bytes bigint, base_flow bigint, base_row bigint")
     order = Window.partitionBy("range", "step").orderBy("k1", "k2", F.col("doc_id").asc_nulls_first(), "size")
     group = Window.partitionBy("range", "step", "k1")
-    run = placed.withColumns({"before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "nth": F.row_number().over(order) - 1})
-    run = run.withColumns({"first": F.min("before").over(group), "own": F.sum("size").over(group)}).join(F.broadcast(base), ["range", "step"])
-    whole = F.col("own") <= whole_share * total / shards
-    middle = F.col("base_bytes") + F.when(whole, F.col("first") + F.col("own") / 2).otherwise(F.col("before") + F.col("size") / 2)
-    number = F.least(F.floor(middle * shards / F.lit(total)), F.lit(shards - 1)).cast("int")
-    done = pin(run.select("doc_id", "size", "text_crc32", number.alias("shard"), (F.col("base_rows") + F.col("nth")).alias("nth")))
-    firsts = done.groupBy("shard").agg(F.min("nth").alias("first"))  # one row per shard
-    return done.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("nth") - F.col("first")).cast("bigint").alias("slot"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumns({"before": F.sum("flow").over(upto) - F.col("flow"), "nth_flow": F.count_if(flows).over(upto) - 1, "nth_row": F.row_number().over(order) - 1})
+    run = run.withColumns({"first": F.min("before").over(group), "own": F.sum("flow").over(group)}).join(F.broadcast(base), ["range", "step"])
+    middle = F.col("base_bytes") + F.when(F.col("large"), F.col("before") + F.col("flow") / 2).otherwise(F.col("first") + F.col("own") / 2)
+    bounds = F.array(*[F.lit(float(x)) for x in np.cumsum(room)[:-1]]).cast("array<double>")
+    last = max((i for i, left in enumerate(room) if left > 0), default=0)
+    number = F.coalesce("at", F.least(F.size(F.filter(bounds, lambda b: b <= middle)), F.lit(last)))
+    # rows of a shard: those that flowed into it, then its large groups one by one
+    unit = F.when(~flows, F.col("k1"))
+    nth = F.when(flows, F.col("base_flow") + F.col("nth_flow")).otherwise(F.col("base_row") + F.col("nth_row"))
+    done = pin(run.select("doc_id", "size", "text_crc32", number.cast("int").alias("shard"), unit.alias("unit"), nth.alias("nth")))
+    units = done.groupBy("shard", "unit").agg(F.min("nth").alias("first"), F.count("*").alias("n"))  # a row per shard and large group
+    earlier = Window.partitionBy("shard").orderBy(F.col("unit").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    units = units.select(F.col("shard").alias("s"), F.col("unit").alias("u"), (F.sum("n").over(earlier) - F.col("n") - F.col("first")).alias("shift"))
+    out = done.join(F.broadcast(units), (F.col("shard") == F.col("s")) & F.col("unit").eqNullSafe(F.col("u")))
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("nth") + F.col("shift")).cast("bigint").alias("slot"))

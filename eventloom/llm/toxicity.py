@@ -1,7 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Documents labelled toxic are the positives; documents without a usable label are the unlabelled mixture; both lie outside
-the held-out fold.  The class prior is the share of toxic documents among the labelled ones there (or a parameter); labels of
+Documents labelled toxic are the positives; all documents, labelled or not, with their labels hidden, are the unlabelled mixture;
+both lie outside the held-out fold.  The class prior is the share of toxic documents among the labelled ones there (or a parameter); labels of
 0 serve for that share only and are never negatives.  A linear numpy classifier on word and word-beginning features minimises
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``: where the corrected negative risk turns negative, the step goes back up,
 so the classifier cannot fit the positives hidden in the mixture as negatives.  Its penalty is chosen on a quarter of the sample.
@@ -12,8 +12,7 @@ feature weights and the sample's sparse rows, both bounded.
 
 Defined cases: a null or empty text has no feature and gets the score of the intercept.  Null labels and null ids are never
 trained on.  A document with several labels is toxic if one says so.  Without a positive, or without labels, every score is the
-prior (0 without labels).  Where fewer documents lack a label than are positive, labelled documents join the mixture with their
-labels hidden; with every document labelled the fit is that of plain logistic regression.  Rows that repeat an id are scored one by one; the
+prior (0 without labels).  With every document labelled and sampled the fit is that of plain logistic regression.  Rows that repeat an id are scored one by one; the
 fit takes one of them, the text first by hash.  An empty table gives an empty result.
 """
 
@@ -103,10 +102,7 @@ def sampled_ids(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_rows
     first = lambda ids: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most max_rows narrow rows
     n, n_p = marks.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     positives = first(marks.where("toxic = 1")).select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
-    bare = docs.select("doc_id").where(usable).distinct().join(marks, "doc_id", "left_anti")
-    mixture = first(bare).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
-    if bare.limit(max_rows).count() < min(n_p, max_rows):
-        mixture = mixture.unionByName(first(marks).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u")))
+    mixture = first(docs.select("doc_id").where(usable).distinct()).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
     return positives.unionByName(mixture).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u")), n_p / n if n else 0.0
 
 

@@ -215,6 +215,26 @@ def test_hot_text_is_spread_and_the_rest_stays_together(spark):
     assert max(size.values()) < 1.02 * sum(size.values()) / 8 and sum(len(s) > 1 for s in where.values()) == 1
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """Groups of a third, a quarter and a tenth of all bytes: with three shards each fits; with six the first two cannot."""
+    rows = [(i, f"text {'third' if i % 60 < 19 else 'quart' if i % 60 < 34 else 'tenth' if i % 60 < 40 else 100_000 + i // 3}") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for shards, split in ((3, 0), (6, 2)):
+        got = sharding.shard(docs, shards).collect()
+        size, where, slots = Counter(), defaultdict(set), defaultdict(list)
+        for r in got:
+            size[r.shard] += r["size"]
+            where[r.text_crc32].add(r.shard)
+            slots[r.shard].append(r.slot)
+        assert len(size) == shards and max(size.values()) < 1.02 * sum(size.values()) / shards and sum(len(s) > 1 for s in where.values()) == split
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert sorted(map(tuple, got)) == sorted(map(tuple, sharding.shard(docs.repartition(2), shards).collect()))
+
+
+def test_placements_fill_the_fullest_shard_that_has_room():
+    assert sharding.placements({7: 50, 5: 30, 3: 25, 9: 120}, 200, 2) == ({7: 0, 5: 0, 3: 1}, [20.0, 75.0])
+
+
 def test_licence_places(docs, rows):
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     want = Counter()
@@ -313,7 +333,7 @@ def test_toxicity_learns_and_marks_held_out_rows(spark):
 
 
 def test_toxicity_finds_hidden_positives(spark):
-    """Few toxic texts are labelled, others hide among the labels of 0 and among texts without a label."""
+    """Few toxic texts are labelled, others hide among the labels of 0 and among texts without a label; the mixture is all of them."""
     import random
 
     rng = random.Random(2)
@@ -332,7 +352,7 @@ def test_toxicity_finds_hidden_positives(spark):
     got = {r.doc_id: (r.p, r.u) for r in sample.collect()}
     marked = dict(labels)
     free = lambda i: zlib.crc32(str(i).encode()) % toxicity.FOLDS != 0
-    assert got == {i: (0, 1) if i not in marked else (1, 0) for i in truth if free(i) and marked.get(i) != 0}
+    assert got == {i: (int(marked.get(i) == 1), 1) for i in truth if free(i)}
     scores = toxicity.score(docs, toxicity.train(docs, marks, prior=0.2)).collect()
     assert sum((r.score >= 0.5) == truth[r.doc_id] for r in scores) >= 2380
 
