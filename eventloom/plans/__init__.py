@@ -2,7 +2,7 @@
 
 from eventloom.plans.registry import QUERIES
 
-MODULES = ["events", "series", "scalars", "relational", "statistics", "audits", "spatial", "graph", "controls", "modelling", "scans"]
+MODULES = ["events", "series", "scalars", "relational", "statistics", "audits", "spatial", "graph", "controls", "tables", "modelling", "scans"]
 
 
 def load() -> dict:

@@ -110,7 +110,7 @@ def variance_inflation(spark, sf):
 
 @query(
     "validation_checks",
-    "A18 A22 M2",
+    "A18 A22",
     f"""WITH {HOLES} SELECT 'rows' AS metric, count(*) AS value FROM h UNION ALL SELECT 'unique_orders', count(DISTINCT l_orderkey) FROM h UNION ALL SELECT 'null_tax', count(*) - count(l_tax) FROM h
     UNION ALL SELECT 'negative_quantity', count(*) FILTER (WHERE l_quantity < 0) FROM h UNION ALL SELECT 'duplicate_order_rows', count(*) - count(DISTINCT l_orderkey) FROM h
     UNION ALL SELECT 'duplicate_signature_copies', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM h GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""",

@@ -13,7 +13,7 @@ from tests.oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 DEFAULT = [
     "interval_merge_events", "storm_clusters", "temporal_conflict", "as_of_period", "series_gap_fill", "clean_requests", "normalize_segment_ids", "text_fallback_match",
-    "keep_first_rows", "numeric_summary", "rank_bins", "value_bins", "class_metrics", "leakage_audit", "point_in_polygon", "nearest_segment_max", "components", "snapped_network",
+    "keep_first_rows", "numeric_summary", "rank_bins", "value_bins", "class_metrics", "balanced_table", "leakage_audit", "point_in_polygon", "nearest_segment_max", "components", "snapped_network",
     "dbscan_labels", "dbscan_grid", "silhouette_exact", "factor_query", "cond_prob_table", "regression_metrics", "monthly_landing", "chunk_windows", "station_resolution", "composite_keys", "tide_levels", "geometry_parsing", "coordinate_coalescing",
 ]
 QUERIES = load()
