@@ -8,6 +8,7 @@ its cell, and only points in a ring cell look at edges, those of their own cell.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,33 +20,81 @@ from eventloom.session import pin
 
 #: Share of a cell by which a walk is widened, so that rounding never hides a shared cell.
 SLACK = 1e-6
+#: Rows that could be moved in the time a further round of a search takes to start.
+ROUND_COST = 500_000
 #: Where in a cell its reference point lies, off the middle so that round coordinates do not fall on it.
 REF_X, REF_Y = 0.5 + math.pi / 1000, 0.5 - math.e / 1000
 
 
+def _heights(cx: Column, x1: Column, y1: Column, x2: Column, y2: Column, size: float, g: float) -> tuple[Column, Column]:
+    """First and last row of cells in column ``cx`` within ``g`` of the segment's stretch there."""
+    at = lambda v: F.floor(v / F.lit(size)).cast("bigint")
+    low, high, dx, dy = F.least(x1, x2), F.greatest(x1, x2), x2 - x1, y2 - y1
+    left, right = F.greatest(cx * F.lit(size) - g, low), F.least((cx + 1) * F.lit(size) + g, high)
+    # heights at both sides of the column; an upright segment has its whole height in it
+    a, b = (F.when(dx == 0, F.lit(upright)).otherwise(F.least(F.greatest(F.try_divide(v - x1, dx), F.lit(0.0)), F.lit(1.0))) for v, upright in ((left, 0.0), (right, 1.0)))
+    ya, yb = y1 + a * dy, y1 + b * dy
+    return at(F.least(ya, yb) - g), at(F.greatest(ya, yb) + g)
+
+
+def _columns(x1: Column, x2: Column, size: float, g: float) -> Column:
+    at = lambda v: F.floor(v / F.lit(size)).cast("bigint")
+    return F.sequence(at(F.least(x1, x2) - g), at(F.greatest(x1, x2) + g))
+
+
 def walked_cells(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Column:
     """Array of ``struct<cx, cy>`` that a segment passes, column by column; at most about ``3 + 3 * length / size`` of them."""
     g = SLACK * size
-    at = lambda v: F.floor(v / F.lit(size)).cast("bigint")
-    low, high, dx, dy = F.least(x1, x2), F.greatest(x1, x2), x2 - x1, y2 - y1
 
     def column(cx: Column) -> Column:
-        left, right = F.greatest(cx * F.lit(size) - g, low), F.least((cx + 1) * F.lit(size) + g, high)
-        # heights at both sides of the column; an upright segment has its whole height in it
-        a, b = (F.when(dx == 0, F.lit(upright)).otherwise(F.least(F.greatest(F.try_divide(v - x1, dx), F.lit(0.0)), F.lit(1.0))) for v, upright in ((left, 0.0), (right, 1.0)))
-        ya, yb = y1 + a * dy, y1 + b * dy
-        rows = F.sequence(at(F.least(ya, yb) - g), at(F.greatest(ya, yb) + g))
+        rows = F.sequence(*_heights(cx, x1, y1, x2, y2, size, g))
         return F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
 
-    return F.flatten(F.transform(F.sequence(at(low - g), at(high + g)), column))
+    return F.flatten(F.transform(_columns(x1, x2, size, g), column))
+
+
+def walk(df: DataFrame, ends: Sequence[Column], size: float, grow: float = 0.0) -> DataFrame:
+    """Rows repeated over the cells ``cx, cy`` their segment passes; with ``grow`` all cells that hold a point within that
+    distance of it are among them.  Two plain explodes, which Spark compiles."""
+    g = SLACK * size + grow
+    x1, _, x2, _ = ends
+    out = df.withColumn("cx", F.explode(_columns(x1, x2, size, g)))
+    first, last = _heights(F.col("cx"), *ends, size, g)
+    return out.withColumn("cy", F.explode(F.sequence(first, last)))
+
+
+def spread(pieces: DataFrame, ends: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> dict[str, float]:
+    """Number of pieces, their mean length, and the area over which their middles are spread (as of a normal distribution)."""
+    x1, y1, x2, y2 = (F.col(c) for c in ends)
+    n, length, sx, sy = pieces.agg(F.count("*"), F.avg(G.hypot(x2 - x1, y2 - y1)), F.stddev_pop((x1 + x2) / 2), F.stddev_pop((y1 + y2) / 2)).first()
+    wide = max(sx or 0.0, sy or 0.0)
+    return {"n": n, "length": length or 0.0, "area": 4 * math.pi * max(sx or 0.0, 0.01 * wide) * max(sy or 0.0, 0.01 * wide)}
+
+
+def fitting_cell(n: int, length: float, right: dict[str, float], largest: float, rounds: int = 1) -> float:
+    """Cell size, ``largest`` at most, for which a search of ``n`` pieces among the right ones makes the fewest rows and candidates.
+
+    Small cells repeat long pieces, large ones hold many candidates, and searches that find nothing go on with larger cells."""
+    if not n or not right["n"] or not 0 < right["area"] < math.inf or not math.isfinite(right["length"]) or not math.isfinite(length):
+        return largest
+
+    def cost(c: float) -> float:
+        rows, seen = rounds * right["n"] * (1 + 1.3 * right["length"] / c), n * (4 + 2.6 * length / c)
+        return rows + seen * (1 + 0.3 * right["n"] * (c * c + 1.3 * right["length"] * c) / right["area"])
+
+    def total(c: float) -> float:
+        found = right["n"] * (0.25 * math.pi * c * c + c * (length + right["length"])) / right["area"]
+        return ROUND_COST + cost(c) + (math.exp(-found) * total(4 * c) if 4 * c <= largest else 0.0)
+
+    return min((largest / 2**k for k in range(30)), key=total)
 
 
 def first_hits(rays: DataFrame, pieces: DataFrame, ray: str, piece: str, reach: float, cell: float) -> DataFrame:
     """First piece hit by each ray ``(ray, x, y, ux, uy)`` within ``reach`` (smallest id on ties) and its distance.
 
-    Cells are searched outwards: the first cell's length, then stretches twice as long each, and a ray that has hit something
-    takes no part in the next stretch; the number of stretches is the logarithm of ``reach / cell``.  Parallel pieces never
-    count.  A ray without a hit, or with a null or non-finite start or direction, has no row."""
+    Cells are searched outwards: the first cell's length, then stretches that end four times as far each, and a ray that has hit
+    something takes no part in the next stretch; the number of stretches is the logarithm of ``reach / cell``.  ``cell`` is the
+    largest size; crowded pieces get smaller cells.  Parallel pieces never count.  A ray without a hit, or with a null or non-finite start or direction, has no row."""
     finite = F.lit(True)
     for name in ("x", "y", "ux", "uy"):
         finite = finite & F.coalesce(F.abs(F.col(name)) < float("inf"), F.lit(False))
@@ -53,12 +102,13 @@ def first_hits(rays: DataFrame, pieces: DataFrame, ray: str, piece: str, reach:
     ends = [F.col(n) for n in ("rx1", "ry1", "rx2", "ry2")]
     whole = pieces.where("x1 + y1 + x2 + y2 IS NOT NULL AND NOT isnan(x1 + y1 + x2 + y2)")
     r = whole.select(F.col(piece).alias("rid"), *[F.col(o).alias(n) for o, n in zip(("x1", "y1", "x2", "y2"), ("rx1", "ry1", "rx2", "ry2"))])
-    r = pin(r.withColumn("c", F.explode(walked_cells(*ends, cell))).select("rid", "rx1", "ry1", "rx2", "ry2", "c.cx", "c.cy"))
+    cell = fitting_cell(todo.count(), 0.0, spread(r, ("rx1", "ry1", "rx2", "ry2")), cell, rounds=4)
+    r = pin(walk(r, ends, cell))
     found, near = None, 0.0
     while True:
-        far = min(reach, 2 * near if near else cell)
+        far = min(reach, 4 * near if near else cell)
         along = lambda d: (F.col("x") + F.col("ux") * d, F.col("y") + F.col("uy") * d)
-        l = todo.withColumn("c", F.explode(walked_cells(*along(near), *along(far), cell))).select("lid", "x", "y", "ux", "uy", "c.cx", "c.cy")
+        l = walk(todo, (*along(near), *along(far)), cell)
         j = salted_join(l, r, ["cx", "cy"])
         # parameters on the whole ray, so that a hit has one distance whatever the stretch
         t, u = G.cut_parameters(F.col("x"), F.col("y"), *along(reach), G.point(ends[0], ends[1]), G.point(ends[2], ends[3]))

@@ -11,11 +11,12 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import geometry as G
-from eventloom.operators.cells import first_hits
+from eventloom.operators.cells import first_hits, fitting_cell, spread, walk
 from eventloom.operators.joins import salted_join
 from eventloom.operators.sampling import top_n_per_group
 from eventloom.session import pin
@@ -83,34 +84,94 @@ def nearest_join(
 ) -> DataFrame:
     """One row per left shape: its nearest right shape (smallest id on ties) and the distance.
 
-    Searches within ``radius``; only shapes that found nothing go on with a four times larger radius, so the
-    answer is exact and the candidates stay local.  With ``max_distance`` farther shapes are left out.  Without it, shapes
-    with a null or NaN vertex, and all shapes when the right side has none to offer, get a null id and distance.
+    Searches within a radius that fits the crowding, ``radius`` at most; shapes that found nothing meet the blocks of right shapes
+    that may hold their nearest one, so the answer is exact and the candidates stay local.  Right shapes of one place are folded to their smallest id, left
+    points of one place are searched once.  With ``max_distance`` farther shapes are left out.  Without it, shapes with a null or
+    NaN vertex, and all shapes when the right side has none to offer, get a null id and distance.
     """
     whole = reduce(lambda a, b: a & b, [F.col(x).isNotNull() & ~F.isnan(F.col(x)) for x in ENDS])
     kind = dict(right.dtypes)[rid]
     blank = lambda ids: ids.select(lid, F.lit(None).cast(kind).alias(rid), F.lit(None).cast("double").alias(out_distance))
-    right, todo = right.where(whole), left.where(whole)
-    box = right.select(*ENDS).union(todo.select(*ENDS)).agg(*[f(g(a, b)) for f, g in ((F.min, F.least), (F.max, F.greatest)) for a, b in (("x1", "x2"), ("y1", "y2"))]).first()
+    right = pin(right.where(whole).groupBy(*ENDS).agg(F.min(rid).alias("rid")))
+    todo = left.where(whole)
     none = right.isEmpty()
-    reach = 0.0 if box[0] is None else 1.01 * math.hypot(box[2] - box[0], box[3] - box[1]) + 1e-9
-    found, r = None, radius if max_distance is None else min(radius, max_distance)
+    r = radius if max_distance is None else min(radius, max_distance)
     if none:
         ids = left.select(lid).distinct()
         return blank(ids) if max_distance is None else blank(ids.limit(0))
+    folded = points[0]
+    todo = todo.select(F.struct("x1", "y1").alias("lid"), *ENDS).distinct() if folded else todo.select(F.col(lid).alias("lid"), *ENDS)
+    todo, right = pin(_spread_out(todo)), pin(_spread_out(right))
+    size = spread(todo)
+    r = min(r, fitting_cell(size["n"], size["length"], spread(right), 2 * r) / 2)
+    found = pin(_nearest_within(todo, right, r, points))
+    if max_distance is None or r < max_distance:
+        todo = pin(_spread_out(todo.join(found.select("lid"), "lid", "left_anti")))
+        if not todo.isEmpty():
+            found = found.unionByName(pin(_nearest_in_blocks(todo, right, points, math.inf if max_distance is None else max_distance)))
+    if folded:
+        places = found.select("lid.x1", "lid.y1", "b")
+        found = salted_join(left.where(whole).select(F.col(lid).alias("lid"), "x1", "y1"), places, ["x1", "y1"]).groupBy("lid").agg(F.min("b").alias("b"))
+    found = found.select(F.col("lid").alias(lid), F.col("b.rid").alias(rid), F.col("b.dist").alias(out_distance))
     if max_distance is None and not left.where(~whole).isEmpty():
-        found = blank(left.select(lid).distinct().join(todo.select(lid).distinct(), lid, "left_anti"))
-    while True:
-        pairs = within_pairs(todo, right, lid, rid, r, points)
-        best = pairs.groupBy("lid").agg(F.min(F.struct("dist", "rid")).alias("b"))
-        best = pin(best.select(F.col("lid").alias(lid), F.col("b.rid").alias(rid), F.col("b.dist").alias(out_distance)))
-        found = best if found is None else found.unionByName(best)
-        if max_distance is not None and r >= max_distance:
-            return found
-        todo = pin(todo.join(best.select(lid), lid, "left_anti"))
-        if todo.isEmpty() or (max_distance is None and r > reach):
-            return found
-        r = r * 4 if max_distance is None else min(r * 4, max_distance)
+        found = found.unionByName(blank(left.select(lid).distinct().join(left.where(whole).select(lid).distinct(), lid, "left_anti")))
+    return found
+
+
+def _spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all cores: a small table whose rows multiply later must not be left in one partition."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def _nearest_within(left: DataFrame, right: DataFrame, d: float, points: tuple[bool, bool]) -> DataFrame:
+    """Nearest right piece ``(lid, b<dist, rid>)`` within ``d``, from cells walked by the right pieces and around the left ones."""
+    size = 2 * d
+    at = lambda v: F.floor(F.col(v) / F.lit(size)).cast("bigint")
+    l = walk(_rename(left, "lid", "lid", L4), [F.col(n) for n in L4], size, d)
+    r = _rename(right, "rid", "rid", R4)
+    r = r.withColumns({"cx": at("rx1"), "cy": at("ry1")}) if points[1] else walk(r, [F.col(n) for n in R4], size)
+    j = salted_join(_spread_out(l, "cx", "cy"), r, ["cx", "cy"]).withColumn("dist", piece_distance(points)).where(F.col("dist") <= d)
+    return j.groupBy("lid").agg(F.min(F.struct("dist", "rid")).alias("b"))
+
+
+#: Blocks of right pieces along the longer axis in the search of shapes far from all others.
+BLOCKS = 64
+
+
+def _nearest_in_blocks(left: DataFrame, right: DataFrame, points: tuple[bool, bool], most: float) -> DataFrame:
+    """Nearest right piece ``(lid, b<dist, rid>)`` within ``most``, however far.
+
+    Right pieces lie in the blocks they pass, ``(BLOCKS + 2) ** 2`` at most.  A left piece meets the blocks that are not farther than the
+    farthest corner of any block, as each holds a right piece."""
+    x0, xn, y0, yn = right.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
+    size = max(xn - x0, yn - y0) / BLOCKS or 1.0
+    at = lambda v: F.floor(F.col(v) / F.lit(size)).cast("bigint")
+    r = _rename(right, "rid", "rid", R4)
+    r = r.withColumns({"cx": at("rx1"), "cy": at("ry1")}) if points[1] else walk(r, [F.col(n) for n in R4], size)
+    blocks = np.array([tuple(b) for b in r.select("cx", "cy").distinct().collect()], dtype=np.int64)  # one row per block
+    shared = left.sparkSession.sparkContext.broadcast(blocks)
+
+    def meet(batches):
+        at_ = shared.value
+        slack = 1e-5 * size
+        (bx1, by1), (bx2, by2) = (at_ * size - slack).T, ((at_ + 1) * size + slack).T
+        for whole in batches:
+            for i in range(0, len(whole), 1000):
+                b = whole.iloc[i : i + 1000]
+                x, y = ((b[f"l{k}1"] + b[f"l{k}2"]).to_numpy(float)[:, None] / 2 for k in "xy")
+                half = np.hypot(b["lx2"] - b["lx1"], b["ly2"] - b["ly1"]).to_numpy(float)[:, None] / 2
+                best = np.hypot(np.maximum(np.abs(x - bx1), np.abs(x - bx2)), np.maximum(np.abs(y - by1), np.abs(y - by2))).min(1)
+                gap = np.hypot(np.maximum(np.maximum(bx1 - x, x - bx2), 0), np.maximum(np.maximum(by1 - y, y - by2), 0)) - half
+                row, col = np.nonzero(gap <= (np.minimum(best, most) * (1 + 1e-9) + 1e-9)[:, None])
+                yield b.iloc[row][["n", *L4]].assign(cx=at_[col, 0], cy=at_[col, 1])
+
+    # pieces are numbered, as ids of any type may come
+    numbered = pin(_rename(left, "lid", "lid", L4).withColumn("n", F.monotonically_increasing_id()))
+    pairs = numbered.select("n", *L4).mapInPandas(meet, "n bigint, lx1 double, ly1 double, lx2 double, ly2 double, cx bigint, cy bigint")
+    j = salted_join(_spread_out(pairs, "cx", "cy"), r, ["cx", "cy"]).withColumn("dist", piece_distance(points)).where(F.col("dist") <= most)
+    best = j.groupBy("n").agg(F.min(F.struct("dist", "rid")).alias("b"))
+    return best.join(numbered.select("n", "lid"), "n").groupBy("lid").agg(F.min("b").alias("b"))
 
 
 def count_within(left: DataFrame, points: DataFrame, lid: str, radii: dict[str, float], left_points: bool = False) -> DataFrame:
@@ -264,8 +325,8 @@ def first_shore_hit(anchors: DataFrame, shore: DataFrame, lid: str, shore_id: st
 
 def seed_edges(lines: DataFrame, shore: DataFrame, lid: str, line: str, shore_id: str, buffer: float, reach: float, cell: float, keep: int = 3) -> DataFrame:
     """Lines near the shore labelled by the station their ray touches first, else by the nearest one; a few per station."""
-    near = within_pairs(line_pieces(lines, lid, line), shore, lid, shore_id, buffer).select(F.col("lid").alias(lid)).distinct()
-    close = lines.join(near, lid, "left_semi")
+    near = nearest_join(line_pieces(lines, lid, line), shore, lid, shore_id, buffer, max_distance=buffer)
+    close = pin(lines.join(near, lid, "left_semi"))
     anchors = pin(coastward_endpoints(close, shore, lid, line, shore_id, buffer))
     hits = first_shore_hit(anchors, shore, lid, shore_id, reach, cell)
     j = anchors.join(hits, lid, "left")
