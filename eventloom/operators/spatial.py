@@ -14,6 +14,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from eventloom.functions import geometry as G
 from eventloom.operators.cells import first_hits, fitting_cell, spread, walk
@@ -205,9 +206,31 @@ def _ring_cells(polygons: DataFrame, gid: str, cell: float) -> DataFrame:
 
 
 def first_polygon(points: DataFrame, polygons: DataFrame, pid: str, gid: str, cell: float) -> DataFrame:
-    """Left join keeping the smallest polygon id per point; points outside every polygon keep null."""
-    hit = points_in_polygons(points, polygons, pid, gid, cell).groupBy(pid).agg(F.min(gid).alias(gid))
-    return points.select(pid).distinct().join(hit, pid, "left")
+    """Left join keeping the smallest polygon id per point; points outside every polygon keep null.
+
+    Polygons are tried in order of their ids, four times as many each round, and a point that lies in one takes no part in the next
+    round, so a point in very many polygons meets only the first of them."""
+    n = polygons.count()
+    shares = [FIRST_POLYGONS * 4**k / n for k in range(20) if FIRST_POLYGONS * 4**k < n] if isinstance(polygons.schema[gid].dataType, NumericType) else []
+    # the bounds only deal the ids over rounds, so they may be approximate
+    bounds = polygons.agg(F.percentile_approx(gid, shares)).first()[0] if shares else []
+    todo, found = pin(_spread_out(points)), None
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        some = polygons
+        if low is not None:
+            some = some.where(F.col(gid) > low)
+        if high is not None:
+            some = some.where(F.col(gid) <= high)
+        hit = pin(points_in_polygons(todo, _spread_out(some), pid, gid, cell).groupBy(pid).agg(F.min(gid).alias(gid)))
+        found = hit if found is None else found.unionByName(hit)
+        todo = pin(_spread_out(todo.join(hit.select(pid), pid, "left_anti")))
+        if todo.isEmpty():
+            break
+    return points.select(pid).distinct().join(found, pid, "left")
+
+
+#: Polygons of the first round of ``first_polygon``.
+FIRST_POLYGONS = 500
 
 
 def within_then_nearest(points: DataFrame, polygons: DataFrame, pid: str, gid: str, cell: float, radius: float) -> DataFrame:

@@ -46,3 +46,17 @@ def test_cells_shrink_with_the_crowd_so_that_candidates_grow_as_the_rows():
         c = fitting_cell(n, 0.0, {"n": n, "length": 0.0, "area": 200_000.0}, 40.0)
         seen[n] = n * (c / 2 * 4) ** 2 / 200_000.0
     assert seen[1_000_000] < 3 * seen[10_000] + 50
+
+
+def test_points_in_many_polygons_meet_the_first_ones_only(spark, monkeypatch):
+    rng = random.Random(4)
+    rings = [(i, [(x - 9, y - 9), (x + 9, y - 9), (x + 9, y + 9), (x - 9, y + 9)]) for i in range(40) for x, y in [(rng.gauss(0, 8), rng.gauss(0, 8))]]
+    pts = [(i, rng.gauss(0, 9), rng.gauss(0, 9)) for i in range(60)] + [(99, 500.0, 500.0)]
+    met, plain = [], S.points_in_polygons
+    monkeypatch.setattr(S, "FIRST_POLYGONS", 2)
+    monkeypatch.setattr(S, "points_in_polygons", lambda p, *rest: met.append(p.count()) or plain(p, *rest))
+    polygons = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in ring]) for i, ring in rings], "gid int, ring array<struct<x: double, y: double>>")
+    got = {r.pid: r.gid for r in S.first_polygon(spark.createDataFrame(pts, "pid int, x1 double, y1 double"), polygons, "pid", "gid", 5.0).collect()}
+    inside = lambda x, y, ring: ring[0][0] <= x < ring[2][0] and ring[0][1] <= y < ring[2][1]
+    assert got == {i: min((g for g, ring in rings if inside(x, y, ring)), default=None) for i, x, y in pts}
+    assert len(met) > 1 and met[-1] < met[0]
