@@ -21,3 +21,12 @@ def test_interpolation_rounds_as_the_sql_does(spark):
     con.execute("CREATE TABLE t(k INTEGER, v DOUBLE)")
     con.executemany("INSERT INTO t VALUES (?, ?)", rows)
     assert got == dict(con.execute("SELECT k, quantile_cont(v, 0.75) FROM t GROUP BY k").fetchall())
+
+
+def test_rows_of_few_groups_are_not_shuffled_to_their_bounds(spark):
+    df = spark.createDataFrame([(i % 3, float(i)) for i in range(3000)], "k int, v double")
+    q = exact_quantiles(df, ["k"], "v", {"m": 0.5})
+    plan = q._jdf.queryExecution().sparkPlan().toString()
+    # the rows are read for the counts outside and inside the bounds, each time beside a broadcast table
+    assert plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin") >= 2
+    assert {r.k: r.m for r in q.collect()} == {0: 1498.5, 1: 1499.5, 2: 1500.5}
