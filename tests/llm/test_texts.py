@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -105,6 +106,27 @@ def test_circulant_signature_estimates_jaccard():
     assert abs((a == b).mean() - 2000 / 3000) < 0.03
 
 
+def test_signature_of_a_large_set_works_in_the_cache():
+    x = np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64)
+    tracemalloc.start()
+    a = minhash.signature(x, 336)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_200_000  # three arrays of 336 x 1,024 numbers, and more, before
+    # the minimum over a set is the least of the minima over its parts, wherever the parts are cut
+    parts = [minhash.signature(p, 336) for p in (x[:700], x[700:701], x[701:])]
+    assert (np.minimum.reduce(parts) == a).all()
+
+
+def test_shingles_need_no_table_of_words():
+    texts = [b"A  b\tc a b", b"a", b"", b" \n", b"x x x x", "\u00c4 \u00e4 z".encode()]
+    for t in texts:
+        w = t.lower().split()
+        want = {tuple(w[k : k + 2]) for k in range(len(w) - 1)} or ({tuple(w)} if w else set())
+        got = minhash.shingle_set(t, 2)
+        assert len(got) == len(want) and (np.diff(got.view(np.int64).astype(object)) != 0).all() and (got[:-1] < got[1:]).all()
+
+
 def test_mix(docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
