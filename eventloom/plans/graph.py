@@ -12,6 +12,7 @@ from eventloom.functions.units import speed_ms
 from eventloom.operators import graph as N
 from eventloom.operators.ordered import global_row_number
 from eventloom.plans.registry import query, table
+from eventloom.session import pin
 
 c = F.col
 
@@ -111,7 +112,7 @@ te AS (SELECT component, count(*) AS n_segments, count(br.edge_id) AS n_bridges
 
 @query("bridge_edges", "N7", f"{CUT} SELECT edge_id FROM br")
 def bridge_edges(spark, sf):
-    return N.cut_structure(network(spark, sf))["bridges"]
+    return N.cut_structure(network(spark, sf), articulation=False)["bridges"]
 
 
 @query("articulation_nodes", "N8", f"{CUT} SELECT node FROM ap")
@@ -120,7 +121,7 @@ def articulation_nodes(spark, sf):
 
 
 def _component_table(spark, sf):
-    net = network(spark, sf)
+    net = pin(network(spark, sf))  # read by the cuts, the degrees and the counts
     cut = N.cut_structure(net)
     return N.component_table(cut["components"], net, cut["bridges"], cut["articulation"], N.degrees(net))
 
