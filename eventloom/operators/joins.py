@@ -122,7 +122,8 @@ def overlap_join(
     """Pairs of closed intervals that overlap, per key.
 
     Both sides are laid out over time buckets; a pair that shares several buckets is kept only in the first
-    shared one, so no distinct is needed.
+    shared one, so no distinct is needed.  A row lies in a bucket once, so when no key has more rows than a task takes, no bucket has,
+    and the laid out rows need not be counted.
     """
     b = "__bucket"
     (ls, le), (rs, re_) = left_span, right_span
@@ -131,4 +132,6 @@ def overlap_join(
     r = right.where(F.col(re_) >= F.col(rs)).withColumn(b, F.explode(_buckets(F.col(rs), F.col(re_), seconds)))
     first = F.floor(F.greatest(micros(F.col(ls)), micros(F.col(rs))) / width).cast("bigint")
     overlap = (F.col(rs) <= F.col(le)) & (F.col(re_) >= F.col(ls))
-    return salted_join(l, r, [*on, b], "inner").where(overlap & (F.col(b) == first)).drop(b)
+    most = left.groupBy(*on).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    joined = l.join(r, [*on, b]) if most <= ROWS_PER_TASK else salted_join(l, r, [*on, b], "inner")
+    return joined.where(overlap & (F.col(b) == first)).drop(b)
