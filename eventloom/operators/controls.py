@@ -57,33 +57,44 @@ def _skipping(asks: DataFrame, gaps: DataFrame, keys: Sequence[str]) -> DataFram
     return out.withColumn("at", F.col("at") + F.col("__gaps")).drop("__gaps")
 
 
-def _choose(asking: DataFrame, members: DataFrame, flags: DataFrame, taken: DataFrame | None) -> DataFrame:
+def _choose(asking: DataFrame, members: DataFrame, flags: DataFrame, taken: DataFrame | None, most: int) -> DataFrame:
     """``event_id, start, end, control`` for the asking positives of one level that have a free segment in their pool ``k``.
 
     A positive's turn within its pool, in order of time, is its rank among the segments its storm leaves free, modulo their
-    number.  Positives of one window have turns in a row, so they get different segments as long as there are any."""
+    number.  Positives of one window have turns in a row, so they get different segments as long as there are any.
+    No window has more than ``most`` positives."""
     storm, window = ["storm", "k"], ["storm", "k", "start", "end"]
     asked = _numbered(asking, ["k"], ["start", "end", "event_id"], "turn")
     size = members.groupBy("k").agg(F.count("*").alias("n"))
-    shut = salted_join(flags, members, ["segment"]).select("storm", "k", "at").join(asking.select(*storm).distinct(), storm, "left_semi")
-    shut = pin(shut)
+    pairs = pin(asking.select(*storm).distinct())
+    shut = pin(salted_join(flags, members, ["segment"]).select("storm", "k", "at").join(pairs, storm, "left_semi"))
     counts = shut.groupBy(*storm).agg(F.count("*").alias("n_shut"))
-    windows = asked.groupBy(*window).agg(F.min("turn").alias("first"))
-    if taken is not None:
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    pairs = pin(pairs.join(size, "k").join(counts, storm, "left").select(*storm, (F.col("n") - z("n_shut")).alias("free")))
+    open_ = asked.join(pairs, storm)
+    at = F.pmod("turn", F.when(F.col("free") > 0, F.col("free"))).alias("at")
+    if taken is None:
+        # pools with as many free segments as a window can have turns need no look at the windows; an open window has no control
+        roomy = (F.col("free") >= most) & F.col("start").isNotNull() & F.col("end").isNotNull()
+        asks = open_.where(roomy).select(*storm, "start", "end", "event_id", at)
+        if not pairs.where(F.col("free") < most).isEmpty():
+            tight = open_.where(F.col("free") < most)
+            firsts = tight.groupBy(*window).agg(F.min("turn").alias("first"))
+            asks = asks.unionByName(tight.join(firsts, window).where(F.col("turn") - F.col("first") < F.col("free")).select(*storm, "start", "end", "event_id", at))
+    else:
+        windows = asked.groupBy(*window).agg(F.min("turn").alias("first"))
         # segments that other positives of the same window hold already, as ranks among those the storm leaves free
         held = taken.join(windows.select(*window), ["start", "end"]).join(members, ["k", "segment"])
         held = held.join(shut, [*storm, "at"], "left_anti").select(*window, "at").distinct()
         held = _marks_up_to(held, shut, storm, "at", "__shut").withColumn("at", F.col("at") - F.col("__shut")).select(*window, "at")
         held = pin(held)
         windows = windows.join(held.groupBy(*window).agg(F.count("*").alias("n_held")), window, "left")
-    else:
-        held, windows = None, windows.withColumn("n_held", F.lit(0))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    open_ = asked.join(windows, window).join(size, "k").join(counts, storm, "left").withColumn("free", F.col("n") - z("n_shut") - z("n_held"))
-    asks = open_.where(F.col("turn") - F.col("first") < F.col("free")).select(*window, "event_id", F.pmod("turn", F.when(F.col("free") > 0, F.col("free"))).alias("at"))
-    if held is not None:
-        asks = _skipping(asks, held, window)
-    found = _skipping(asks, shut, storm).join(members, ["k", "at"])
+        open_ = open_.join(windows, window).withColumn("free", F.col("free") - z("n_held"))
+        asks = _skipping(open_.where(F.col("turn") - F.col("first") < F.col("free")).select(*window, "event_id", at), held, window)
+    asks = pin(asks)
+    # turns go round the pool, so there are far fewer places than turns: each is looked up once
+    places = _skipping(asks.select(*storm, "at").distinct().withColumn("rank", F.col("at")), shut, storm).join(members, ["k", "at"])
+    found = asks.withColumnRenamed("at", "rank").join(places.select(*storm, "rank", "segment"), [*storm, "rank"])
     return found.select("event_id", "start", "end", F.col("segment").alias("control"))
 
 
@@ -103,29 +114,35 @@ def matched_controls(positives: DataFrame, universe: DataFrame, flags: DataFrame
     open_ = pin(positives.select("event_id", "start", "end", kind.alias("storm"), "segment", "k1", "k2", "k3"))
     tagged = flags.where(F.col("storm").isNotNull()).select(F.concat(F.lit("s"), F.col("storm").cast("string")).alias("storm"), "segment")
     shut = pin(tagged.union(open_.select("storm", "segment")).distinct())
-    picks = None
+    per = open_.groupBy("start", "end").agg(F.count("*").alias("n"), (F.min("storm") != F.max("storm")).alias("mixed"))
+    most, mixed = per.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("mixed"), F.lit(False))).first()
+    picks, left = None, open_.count()
     for level in (1, 2, 3):
         k = f"k{level}"
         members = pin(_numbered(universe.select("segment", F.col(k).alias("k")).where("k IS NOT NULL").distinct(), ["k"], ["segment"], "at"))
         taken = None if picks is None else picks.select("start", "end", F.col("control").alias("segment"))
-        chosen = _choose(open_.select("event_id", "start", "end", "storm", F.col(k).alias("k")).where("k IS NOT NULL"), members, shut, taken)
-        first = keep_first(chosen, ["control", "start", "end"], [F.col("event_id")])
+        chosen = _choose(open_.select("event_id", "start", "end", "storm", F.col(k).alias("k")).where("k IS NOT NULL"), members, shut, taken, most)
+        # the turns of a storm's window, and the pools of a level, never meet on a segment
+        first = keep_first(chosen, ["control", "start", "end"], [F.col("event_id")]) if mixed else chosen
         if picks is not None:
             first = first.join(taken.withColumnRenamed("segment", "control"), ["control", "start", "end"], "left_anti")
         first = pin(first.select("event_id", "start", "end", "control", F.lit(level).alias("level")))
         picks = first if picks is None else pin(picks.unionByName(first))
+        left -= first.count()
+        if not left:  # nobody asks at the next level
+            break
         open_ = pin(open_.join(first, "event_id", "left_anti"))
     return _numbered(picks, ["control"], ["start", "end", "event_id"], "score").select("event_id", "control", "level", F.col("score").cast("double").alias("score"))
 
 
-def control_rows(picks: DataFrame, positives: DataFrame) -> DataFrame:
-    """Control events: the positive's window on the chosen segment, with no outcome."""
-    j = picks.join(positives.select("event_id", "start", "end", "storm"), "event_id")
+def control_rows(picks: DataFrame, positives: DataFrame, copied: Sequence[str] = ()) -> DataFrame:
+    """Control events: the positive's window, and its ``copied`` columns, on the chosen segment, with no outcome."""
+    j = picks.join(positives.select("event_id", "start", "end", "storm", *copied), "event_id")
     note = F.element_at(F.create_map(*[F.lit(x) for kv in LEVEL_NOTES.items() for x in kv]), F.col("level"))
     return j.select(
         F.concat(F.lit("NEG_"), F.col("event_id").cast("string")).alias("event_id"), F.col("event_id").cast("string").alias("matched_positive_event_id"), F.col("control").alias("segment"),
         "start", "end", "storm", F.lit(False).alias("occurrence"), F.lit(0).alias("intensity"), F.col("level").alias("negative_sampling_level"),
-        (F.col("level") > 1).alias("negative_sampling_relaxed"), note.alias("negative_sampling_notes"), F.col("score").alias("negative_match_score"),
+        (F.col("level") > 1).alias("negative_sampling_relaxed"), note.alias("negative_sampling_notes"), F.col("score").alias("negative_match_score"), *copied,
     )
 
 

@@ -124,16 +124,27 @@ def merge_spans(df: DataFrame, keys: Sequence[str], start: str, end: str, gap_se
     return _islands(seen, keys, is_new).select(*keys, "__start", "__end", "__n", F.col("__island").alias("span_no"))
 
 
+def storm_starts(events: DataFrame, start: str, end: str, gap_seconds: int = 6 * 3600, chunk_seconds: int = 6 * 3600) -> DataFrame:
+    """One row per distinct start: its storm's id, the storm's number of events, and its hours from first start to latest end.
+
+    Storms are summed over starts, so events are read once, however many a storm has."""
+    spans = merge_spans(events, [], start, end, gap_seconds, chunk_seconds)
+    hours = (micros(F.max("__end")) - micros(F.min("__start"))) / F.lit(3_600_000_000.0)
+    storms = spans.groupBy("span_no").agg(F.sum("__n").alias("n_positive_events"), hours.alias("storm_duration_hours"))
+    return spans.join(storms, "span_no").select(F.col("__start").alias(start), _storm_name(), "n_positive_events", "storm_duration_hours")
+
+
+def _storm_name() -> Column:
+    return F.format_string("STORM_%05d", F.col("span_no")).alias("storm_event_id")
+
+
 def storm_clusters(events: DataFrame, start: str, end: str, gap_seconds: int = 6 * 3600, chunk_seconds: int = 6 * 3600) -> DataFrame:
     """Events with a global storm id: a storm ends when nothing starts within the gap of its latest end.
 
     The ordering has no key, so the scan is cut into time chunks and carried over a one-row-per-chunk summary.
     """
     spans = merge_spans(events, [], start, end, gap_seconds, chunk_seconds)
-    ids = spans.select(
-        F.col("__start").alias(start), F.format_string("STORM_%05d", F.col("span_no")).alias("storm_event_id")
-    )
-    return salted_join(events, ids, [start])
+    return salted_join(events, spans.select(F.col("__start").alias(start), _storm_name()), [start])
 
 
 def storm_summary(clustered: DataFrame, start: str, end: str, event: str, segment: str, borough: str) -> DataFrame:

@@ -12,7 +12,7 @@ from eventloom.operators import intervals as I
 from eventloom.plans.events import STORM_SQL, storm_windows
 from eventloom.plans.registry import query, table
 from eventloom.plans.statistics import _RB
-from eventloom.session import pin
+from eventloom.session import pin, tabled
 
 c = F.col
 
@@ -25,18 +25,23 @@ def universe(spark, sf):
     return K.stratum_keys(p, ["borough"], "road", ["elevation_band", "shore_band"])
 
 
-def positives(spark, sf):
+def positives(spark, sf, segments):
     storms = I.storm_clusters(storm_windows(spark, sf), "start", "end", 600, 6 * 3600)
-    u = universe(spark, sf).select("segment", "k1", "k2", "k3")
-    return storms.select("event_id", "start", "end", c("storm_event_id").alias("storm"), c("user_id").alias("segment")).join(u, "segment")
+    return with_pools(storms.select("event_id", "start", "end", c("storm_event_id").alias("storm"), c("user_id").alias("segment")), segments)
 
 
-def exclusions(spark, sf, pos):
+def with_pools(pos, segments):
+    """Positives on known segments, with the keys of their pools."""
+    return pos.join(segments.select("segment", "k1", "k2", "k3"), "segment")
+
+
+def exclusions(segments, pos):
     # the neighbours of a segment are the ones numbered next to it
-    near = pos.select("storm", F.explode(F.array(c("segment"), c("segment") - 1, c("segment") + 1)).alias("segment")).distinct()
-    spatial = near.join(universe(spark, sf).select("segment"), "segment", "left_semi").select("storm", "segment")
+    own = pin(pos.select("storm", "segment").distinct())
+    near = own.select("storm", F.explode(F.array(c("segment"), c("segment") - 1, c("segment") + 1)).alias("segment")).distinct()
+    spatial = near.join(segments.select("segment"), "segment", "left_semi").select("storm", "segment")
     none = spatial.where(F.lit(False))
-    return K.exclusion_flags(pos.select("storm", "segment").distinct(), spatial, none)
+    return K.exclusion_flags(own, spatial, none)
 
 
 U_SQL = """ub AS (SELECT p_partkey AS segment, p_type AS k3, p_brand AS road, p_size FROM part), pz AS (SELECT st.event_id, st.storm_event_id AS storm, st.user_id AS segment, ub.k3 FROM st JOIN ub ON ub.segment = st.user_id),
@@ -68,8 +73,9 @@ uni AS MATERIALIZED (SELECT p_partkey AS segment, p_type || '|' || p_brand || '|
     (row_number() OVER (PARTITION BY a.segment ORDER BY a.start, a."end", event_id) - 1)::DOUBLE AS negative_match_score FROM a JOIN (SELECT event_id, storm FROM pos) USING (event_id)""",
 )
 def matched_controls(spark, sf):
-    pos = pin(positives(spark, sf))
-    picks = K.matched_controls(pos, universe(spark, sf), exclusions(spark, sf, pos))
+    segments = tabled(universe(spark, sf))
+    pos = pin(positives(spark, sf, segments))
+    picks = K.matched_controls(pos, segments, exclusions(segments, pos))
     return K.control_rows(picks, pos)
 
 
@@ -81,8 +87,9 @@ def matched_controls(spark, sf):
     CAST(nps - fk.p * fk.s AS BIGINT) AS excluded_by_spatiotemporal_buffer, 0 AS excluded_by_possible_unreported FROM pz JOIN bs USING (k3) JOIN ag ON ag.storm = pz.storm AND ag.k3 = pz.k3 JOIN fk ON fk.storm = pz.storm AND fk.segment = pz.segment AND fk.k3 = pz.k3""",
 )
 def sampling_diagnostics(spark, sf):
-    pos = pin(positives(spark, sf))
-    return K.sampling_diagnostics(pos, universe(spark, sf), exclusions(spark, sf, pos))
+    segments = tabled(universe(spark, sf))
+    pos = pin(positives(spark, sf, segments))
+    return K.sampling_diagnostics(pos, segments, exclusions(segments, pos))
 
 
 def _roles(spark, sf):
