@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import geometry as G
@@ -22,6 +22,8 @@ from eventloom.session import pin
 SLACK = 1e-6
 #: Rows that could be moved in the time a further round of a search takes to start.
 ROUND_COST = 500_000
+#: Pieces in the cells that a ray looks at in its first round, about.
+FEW_PIECES = 64
 #: Where in a cell its reference point lies, off the middle so that round coordinates do not fall on it.
 REF_X, REF_Y = 0.5 + math.pi / 1000, 0.5 - math.e / 1000
 
@@ -93,32 +95,50 @@ def first_hits(rays: DataFrame, pieces: DataFrame, ray: str, piece: str, reach:
     """First piece hit by each ray ``(ray, x, y, ux, uy)`` within ``reach`` (smallest id on ties) and its distance.
 
     Cells are searched outwards: the first cell's length, then stretches that end four times as far each, and a ray that has hit
-    something takes no part in the next stretch; the number of stretches is the logarithm of ``reach / cell``.  ``cell`` is the
+    something takes no part in the next stretch.  A stretch ends earlier where its cells hold more than ``FEW_PIECES`` pieces, four times
+    as many each round, so a ray that comes upon a crowd looks at the crowd's edge only; the number of rounds is a logarithm.  ``cell`` is the
     largest size; crowded pieces get smaller cells.  Parallel pieces never count.  A ray without a hit, or with a null or non-finite start or direction, has no row."""
     finite = F.lit(True)
     for name in ("x", "y", "ux", "uy"):
         finite = finite & F.coalesce(F.abs(F.col(name)) < float("inf"), F.lit(False))
-    todo = rays.where(finite).select(F.col(ray).alias("lid"), "x", "y", "ux", "uy")
+    parts = max(rays.sparkSession.sparkContext.defaultParallelism, int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    todo = pin(rays.where(finite).select(F.col(ray).alias("lid"), "x", "y", "ux", "uy", F.lit(0.0).alias("near")).repartition(parts).withColumn("n", F.monotonically_increasing_id()))
     ends = [F.col(n) for n in ("rx1", "ry1", "rx2", "ry2")]
     whole = pieces.where("x1 + y1 + x2 + y2 IS NOT NULL AND NOT isnan(x1 + y1 + x2 + y2)")
     r = whole.select(F.col(piece).alias("rid"), *[F.col(o).alias(n) for o, n in zip(("x1", "y1", "x2", "y2"), ("rx1", "ry1", "rx2", "ry2"))])
     cell = fitting_cell(todo.count(), 0.0, spread(r, ("rx1", "ry1", "rx2", "ry2")), cell, rounds=4)
-    r = pin(walk(r, ends, cell))
-    found, near = None, 0.0
+    r = pin(walk(r.repartition(parts), ends, cell))
+    crowd = pin(r.groupBy("cx", "cy").agg(F.count("*").alias("here")))
+    along = lambda d: (F.col("x") + F.col("ux") * d, F.col("y") + F.col("uy") * d)
+    slack = F.lit(4 * SLACK * cell)
+
+    def entry(k: str) -> Column:
+        """Where the ray comes to its cell's column or row of cells."""
+        low, u = F.col(f"c{k}") * F.lit(cell), F.col(f"u{k}")
+        return F.coalesce(F.try_divide(F.when(u > 0, low).otherwise(low + cell) - F.col(k), u), F.lit(0.0))
+
+    found, few = None, FEW_PIECES
     while True:
-        far = min(reach, 4 * near if near else cell)
-        along = lambda d: (F.col("x") + F.col("ux") * d, F.col("y") + F.col("uy") * d)
-        l = walk(todo, (*along(near), *along(far)), cell)
+        todo = todo.withColumn("far", F.least(F.lit(float(reach)), F.greatest(F.lit(cell), 4 * F.col("near"))))
+        l = walk(todo, (*along(F.col("near")), *along(F.col("far"))), cell).join(crowd, ["cx", "cy"])
+        order = Window.partitionBy("n").orderBy("entry", "cx", "cy")
+        l = l.withColumn("entry", F.greatest(entry("x"), entry("y"), F.lit(0.0))).withColumn("before", F.sum("here").over(order) - F.col("here"))
+        # the first cell that is left for the next round bounds what this one can settle
+        left = F.min(F.when(F.col("before") >= few, F.greatest(F.col("entry") - slack, F.col("near")))).over(Window.partitionBy("n"))
+        l = pin(l.withColumn("end", F.coalesce(left, F.col("far"))).where(F.col("before") < few).drop("entry", "before", "here").repartition(parts, "cx", "cy"))
         j = salted_join(l, r, ["cx", "cy"])
         # parameters on the whole ray, so that a hit has one distance whatever the stretch
         t, u = G.cut_parameters(F.col("x"), F.col("y"), *along(reach), G.point(ends[0], ends[1]), G.point(ends[2], ends[3]))
-        hit = j.withColumns({"t": t, "u": u}).where(F.col("t").between(0, 1) & F.col("u").between(0, 1) & (F.col("t") * reach <= far))
-        best = hit.groupBy("lid").agg(F.min(F.struct("t", "rid")).alias("b"))
-        best = pin(best.select("lid", F.col("b.rid").alias("rid"), (F.col("b.t") * reach).alias("distance")))
+        hit = j.withColumns({"t": t, "u": u}).where(F.col("t").between(0, 1) & F.col("u").between(0, 1) & (F.col("t") * reach <= F.col("end")))
+        best = pin(hit.groupBy("n", "lid").agg(F.min(F.struct("t", "rid")).alias("b")))
         found = best if found is None else found.unionByName(best)
-        if far >= reach:
-            return found.select(F.col("lid").alias(ray), F.col("rid").alias(piece), "distance")
-        todo, near = pin(todo.join(best.select("lid"), "lid", "left_anti")), far
+        ended = l.groupBy("n").agg(F.min("end").alias("end"))
+        todo = todo.join(best.select("n"), "n", "left_anti").join(ended, "n", "left").withColumn("near", F.coalesce("end", "far"))
+        todo = pin(todo.where(F.col("near") < reach).drop("end", "far").repartition(parts, "n"))
+        if todo.isEmpty():
+            best = found.groupBy("lid").agg(F.min("b").alias("b"))
+            return best.select(F.col("lid").alias(ray), F.col("b.rid").alias(piece), (F.col("b.t") * reach).alias("distance"))
+        few *= 4
 
 
 def polygon_cover(polygons: DataFrame, gid: str, cell: float) -> DataFrame:

@@ -176,6 +176,36 @@ def _nearest_in_blocks(left: DataFrame, right: DataFrame, points: tuple[bool, bo
     return best.join(numbered.select("n", "lid"), "n").groupBy("lid").agg(F.min("b").alias("b"))
 
 
+#: Cells of a presence search along its radius.
+REACH_CELLS = 4
+
+
+def near_any(left: DataFrame, right: DataFrame, lid: str, d: float) -> DataFrame:
+    """Distinct ids of the left shapes that have a right piece within ``d`` of one of their pieces; which one is not searched.
+
+    Cells that right pieces pass mark the cells around them as surely or possibly within ``d``.  A left piece in a sure cell is settled, one
+    without a marked cell too; only those between measure distances, to the right pieces around them.  Shapes with a null or non-finite vertex are near nothing."""
+    finite = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(n)) < math.inf, F.lit(False)) for n in ENDS])
+    size, ends = d / REACH_CELLS, [F.col(n) for n in ENDS]
+    left = pin(_spread_out(left.where(finite).select(F.col(lid).alias("lid"), *ENDS)))
+    right = pin(_spread_out(right.where(finite).select(*ENDS).distinct()))
+    passed = walk(right, ends, size).select("cx", "cy").distinct()
+    around, steps = range(-REACH_CELLS - 1, REACH_CELLS + 2), []
+    for i, j in ((i, j) for i in around for j in around):
+        nearest, farthest = math.hypot(max(abs(i) - 1, 0), max(abs(j) - 1, 0)) * size, math.hypot(abs(i) + 1, abs(j) + 1) * size
+        if nearest <= d * (1 + 1e-5):
+            steps.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(farthest <= d * (1 - 1e-5)).alias("sure")))
+    marks = passed.withColumn("s", F.explode(F.array(*steps))).groupBy((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy")).agg(F.bool_or("s.sure").alias("sure"))
+    met = pin(walk(left, ends, size).join(marks, ["cx", "cy"]).groupBy("lid").agg(F.bool_or("sure").alias("sure")))
+    sure = met.where("sure").select("lid")
+    todo = _spread_out(left.join(met.where("NOT sure"), "lid", "left_semi"))
+    l = walk(_rename(todo, "lid", "lid", L4), [F.col(n) for n in L4], d / 2, d)
+    r = walk(_rename(right.withColumn("rid", F.lit(0)), "rid", "rid", R4), [F.col(n) for n in R4], d / 2)
+    j = salted_join(_spread_out(l, "cx", "cy"), r, ["cx", "cy"])
+    found = j.where(B.segment_distance(*L4, *R4) <= d).select("lid").distinct()
+    return sure.unionByName(found).withColumnRenamed("lid", lid)
+
+
 def count_within(left: DataFrame, points: DataFrame, lid: str, radii: dict[str, float], left_points: bool = False) -> DataFrame:
     """Points strictly closer than each radius of a shape; counted where blocks of shapes and points meet, so no pair travels."""
     at = points.where("abs(x1) < double('inf') AND abs(y1) < double('inf')").select(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("p"))
@@ -389,8 +419,7 @@ def first_shore_hit(anchors: DataFrame, shore: DataFrame, lid: str, shore_id: st
 
 def seed_edges(lines: DataFrame, shore: DataFrame, lid: str, line: str, shore_id: str, buffer: float, reach: float, cell: float, keep: int = 3) -> DataFrame:
     """Lines near the shore labelled by the station their ray touches first, else by the nearest one; a few per station."""
-    near = nearest_join(line_pieces(lines, lid, line), shore, lid, shore_id, buffer, max_distance=buffer)
-    close = pin(lines.join(near, lid, "left_semi"))
+    close = pin(lines.join(near_any(line_pieces(lines, lid, line), shore, lid, buffer), lid, "left_semi"))
     anchors = pin(coastward_endpoints(close, shore, lid, line, shore_id, buffer))
     hits = first_shore_hit(anchors, shore, lid, shore_id, reach, cell)
     j = anchors.join(hits, lid, "left")
