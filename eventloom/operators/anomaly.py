@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eventloom.operators.bins import at_least_quantile, average_ranks
 from eventloom.operators.cluster import dbscan, knn
 from eventloom.operators.quantiles import exact_quantiles
-from eventloom.session import pin
+from eventloom.session import pin, tabled
 
 TREES, TREE_ROWS, SEED = 100, 256, 42
 
@@ -80,7 +80,7 @@ def isolation_scores(points: DataFrame, trees: int = TREES, rows: int = TREE_ROW
 
 def local_outlier_factor(points: DataFrame, k: int, radius: float) -> DataFrame:
     """LOF from exact neighbours: ratio of the neighbours' reachability density to the point's own."""
-    near = pin(knn(points, k, radius))
+    near = tabled(knn(points, k, radius))
     kdist = near.groupBy(F.col("lid").alias("rid")).agg(F.max("dist").alias("kd"))
     reach = near.join(kdist, "rid").withColumn("reach", F.greatest("dist", "kd"))
     lrd = pin(reach.groupBy(F.col("lid").alias("id")).agg((1.0 / (F.avg("reach") + F.lit(1e-10))).alias("lrd")))
