@@ -99,7 +99,8 @@ def robust_deviation(points: DataFrame) -> DataFrame:
 
 def ensemble(points: DataFrame, k: int, radius: float, eps: float, min_samples: int) -> DataFrame:
     """Flags of four methods, their agreement, and the mean percentile rank of the three scores."""
-    points = pin(points)
+    # dealt over all cores: a small file is one partition, and a row has many trees to pass
+    points = pin(points.repartition(2 * points.sparkSession.sparkContext.defaultParallelism, "id"))
     iso = isolation_scores(points).select("id", F.col("score").alias("anomaly_score_isolation_forest"))
     lof = local_outlier_factor(points, k, radius).select("id", F.col("score").alias("anomaly_score_lof"))
     rob = robust_deviation(points).select("id", F.col("score").alias("anomaly_score_robust_z"))
