@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import bins as B
 from eventloom.operators import stats as S
-from eventloom.operators.quantiles import exact_quantiles
+from eventloom.operators.quantiles import exact_quantiles, groups_are_small, small_group_quantiles
 from eventloom.operators.sampling import top_n_per_group
 from eventloom.plans.registry import query, table
+from eventloom.session import tabled
 
 c = F.col
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -177,8 +178,15 @@ def station_series_summary(spark, sf):
     """SELECT l_suppkey, round(median(m), 6) AS value FROM (SELECT l_suppkey, l_orderkey, median(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1""",
 )
 def two_level_median(spark, sf):
-    inner = exact_quantiles(table(spark, sf, "lineitem"), ["l_suppkey", "l_orderkey"], "l_extendedprice", {"m": 0.5})
-    return exact_quantiles(inner, ["l_suppkey"], "m", {"value": 0.5}).withColumn("value", r(c("value")))
+    l = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_extendedprice")
+    if groups_are_small(l, ["l_suppkey"]):
+        # rows dealt by the outer key serve both levels: one shuffle, and no table between them
+        inner = small_group_quantiles(l.repartition("l_suppkey"), ["l_suppkey", "l_orderkey"], "l_extendedprice", {"m": 0.5})
+        outer = small_group_quantiles(inner, ["l_suppkey"], "m", {"value": 0.5})
+    else:
+        inner = tabled(exact_quantiles(l, ["l_suppkey", "l_orderkey"], "l_extendedprice", {"m": 0.5}, many=True).select("l_suppkey", "m"))
+        outer = exact_quantiles(inner, ["l_suppkey"], "m", {"value": 0.5}, many=True)
+    return outer.withColumn("value", r(c("value")))
 
 
 @query(

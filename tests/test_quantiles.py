@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from eventloom.operators import quantiles as Q
 from eventloom.operators.quantiles import exact_quantiles
+from eventloom.plans import load
 
 
 def test_rows_are_counted_and_ranked_between_the_same_bounds(spark):
@@ -30,3 +32,29 @@ def test_rows_of_few_groups_are_not_shuffled_to_their_bounds(spark):
     # the rows are read for the counts outside and inside the bounds, each time beside a broadcast table
     assert plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin") >= 2
     assert {r.k: r.m for r in q.collect()} == {0: 1498.5, 1: 1499.5, 2: 1500.5}
+
+
+def test_many_small_groups_take_one_shuffle_and_crowded_ones_the_bounds(spark, monkeypatch):
+    rows = [(i // 3 if i % 7 else None, "ab"[i % 2], float(i * 37 % 101) if i % 11 else None) for i in range(900)] + [(-1, "a", float(i % 50)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, s string, v double")
+    want = sorted(map(str, Q.exact_quantiles(df, ["k", "s"], "v", {"m": 0.5, "t": 0.8}).collect()))
+    bounds, plain = [], Q.exact_quantiles
+    monkeypatch.setattr(Q, "exact_quantiles", lambda d, *a, **k: bounds.append(d.count()) or plain(d, *a, **k))
+    monkeypatch.setattr(Q, "FEW_GROUPS", 20)
+    for limit, through in ((1000, 0), (100, 1)):
+        monkeypatch.setattr(Q, "SMALL_GROUP", limit)
+        bounds.clear()
+        got = plain(df, ["k", "s"], "v", {"m": 0.5, "t": 0.8}, many=True)
+        assert sorted(map(str, got.collect())) == want and len(want) > 300
+        assert len(bounds) == through and sum(bounds) < 200
+    monkeypatch.setattr(Q, "SMALL_GROUP", 1000)
+    plan = plain(df, ["k", "s"], "v", {"m": 0.5}, many=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_two_levels_of_medians_share_one_shuffle(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    got = load()["two_level_median"].build(spark, sf)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    monkeypatch.setattr(Q, "SMALL_GROUP", 100)
+    assert sorted(got.collect()) == sorted(load()["two_level_median"].build(spark, sf).collect())
